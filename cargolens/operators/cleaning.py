@@ -101,6 +101,14 @@ def _fillable(df: DataFrame, extra_numeric: Sequence[str]) -> list[str]:
     return [c for c in wanted if c in df.columns]
 
 
+def unique_medians(
+    unique: DataFrame, extra_numeric: Sequence[str] = (), *, exact: bool = True
+) -> dict[str, float]:
+    """Medians that C5 fills in, from rows that are already one per container."""
+    rows = drop_missing_critical(unique)
+    return numeric_medians(rows, _fillable(rows, extra_numeric), exact=exact)
+
+
 def fill_numeric(df: DataFrame, medians: Mapping[str, float]) -> DataFrame:
     """Replace NULL numbers by the given medians."""
     return df.withColumns({c: F.coalesce(col(c), F.lit(m)) for c, m in medians.items()})
@@ -187,7 +195,7 @@ def clean(
     unique = prepare_rows(df, order_cols, strict=strict, date_formats=date_formats)
     if medians is None:
         unique = staging(drop_missing_critical(unique), "unique")
-        medians = numeric_medians(unique, _fillable(unique, extra_numeric), exact=exact)
+        medians = unique_medians(unique, extra_numeric, exact=exact)
     return finish_rows(unique, medians, limits=limits, keep_null=keep_null)
 
 
@@ -252,9 +260,9 @@ def row_accounting(
         F.count_if(F.col("reason") == "missing_critical").alias("missing"),
         F.count_if(F.col("reason") == "invalid_range").alias("invalid"),
     )
-    received = df.agg(F.count(F.lit(1)).alias("rows_received"))
+    received = df.agg(F.count(F.lit(1))).scalar()
     valid = F.col("unique") - F.col("missing") - F.col("invalid")
-    return received.crossJoin(judged).select(
+    return judged.withColumn("rows_received", received).select(
         F.when(valid > 0, "success").otherwise("partial_success").alias("status"),
         "rows_received",
         valid.alias("rows_valid"),
@@ -273,8 +281,7 @@ def clean_medians(
     exact: bool = True,
 ) -> dict[str, float]:
     """Medians that C8 would fill in, from standardised rows."""
-    unique = drop_missing_critical(remove_duplicates(df, order_cols))
-    return numeric_medians(unique, _fillable(unique, extra_numeric), exact=exact)
+    return unique_medians(remove_duplicates(df, order_cols), extra_numeric, exact=exact)
 
 
 # --- C11, C13 ---------------------------------------------------------------------------

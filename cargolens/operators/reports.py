@@ -174,11 +174,9 @@ def summary_record(df: DataFrame, clearance: DataFrame | None = None) -> DataFra
     statuses = clearance_distribution(clearance)
     # ends as one value per distinct status
     as_map = statuses.agg(
-        F.map_from_entries(F.collect_list(F.struct("clearance_status", "n"))).alias(
-            "clearance_status_distribution"
-        )
+        F.map_from_entries(F.collect_list(F.struct("clearance_status", "n")))
     )
-    return record.crossJoin(as_map)
+    return record.withColumn("clearance_status_distribution", as_map.scalar())
 
 
 def clearance_distribution(df: DataFrame) -> DataFrame:
@@ -299,7 +297,7 @@ def report_totals(df: DataFrame) -> DataFrame:
 
 def line_breakdown(df: DataFrame, top: int = TOP) -> DataFrame:
     """Shipping lines with the most flagged rows."""
-    named = df.where(F.coalesce(col("line"), F.lit("")).isin("", "N/A") == F.lit(False))
+    named = df.where((col("line") != "") & (col("line") != "N/A"))
     counts = named.groupBy(col("line").alias("name")).agg(
         _count().alias("total"), F.count_if(flagged()).alias("flagged")
     )
@@ -348,39 +346,32 @@ def rank_all(df: DataFrame, *, staging: Callable[[DataFrame, str], DataFrame] =
     return with_rank(df.select("id", "score"), by_score(), staging=staging)
 
 
+def _own_place(df: DataFrame, container_id: str) -> Column:
+    """(-score, id) of one container as a scalar subquery; NULL when it is absent."""
+    place = F.struct((-col("score")).alias("s"), col("id").alias("i"))
+    return find_container(df, container_id).select(place).limit(1).scalar()
+
+
 def rank_of(df: DataFrame, container_id: str) -> DataFrame:
-    """Rank of one container: one aggregate against its score."""
-    own = find_container(df, container_id).select(
-        col("id").alias("_id"), col("score").alias("_score")
-    ).limit(1)
-    ahead = (col("score") > col("_score")) | (
-        (col("score") == col("_score")) & (col("id") < col("_id"))
-    )
-    # ``own`` holds one row
-    return (
-        df.select("id", "score")
-        .join(F.broadcast(own))
-        .groupBy(col("_id").alias("id"))
-        .agg((F.count_if(ahead) + 1).alias("rank"))
+    """Rank of one container, 0 when absent: one aggregate against its place."""
+    own = _own_place(df, container_id)
+    place = F.struct((-col("score")).alias("s"), col("id").alias("i"))
+    rows = df.select((place < own).alias("ahead"), (place == own).alias("same"))
+    found = F.count_if("same") > 0
+    return rows.agg(
+        F.lit(container_id).alias("id"),
+        F.when(found, F.count_if("ahead") + 1).otherwise(0).alias("rank"),
     )
 
 
 def neighbours_of(df: DataFrame, container_id: str) -> DataFrame:
     """Containers just before and after one container in score order."""
-    own = find_container(df, container_id).select(
-        col("id").alias("_id"), col("score").alias("_score")
-    ).limit(1)
-    place = F.struct(-col("score"), col("id"))
-    here = F.struct(-col("_score"), col("_id"))
-    # ``own`` holds one row
-    return (
-        df.select("id", "score")
-        .join(F.broadcast(own))
-        .groupBy(col("_id").alias("id"))
-        .agg(
-            F.max_by(F.when(place < here, col("id")), F.when(place < here, place)).alias("prev_id"),
-            F.min_by(F.when(place > here, col("id")), F.when(place > here, place)).alias("next_id"),
-        )
+    place = F.struct((-col("score")).alias("s"), col("id").alias("i"))
+    rows = df.select(place.alias("place"), _own_place(df, container_id).alias("own"))
+    before = F.max(F.when(col("place") < col("own"), col("place")))
+    after = F.min(F.when(col("place") > col("own"), col("place")))
+    return rows.agg(
+        F.lit(container_id).alias("id"), before["i"].alias("prev_id"), after["i"].alias("next_id")
     )
 
 
@@ -395,7 +386,7 @@ def neighbours_all(
     offers = ranked.select(
         "id",
         F.explode(F.array(*[F.struct((col("rank") + d).alias("rank"), F.lit(d).alias("d")) for d in (-1, 0, 1)])).alias("o"),
-    ).select(col("o.rank").alias("rank"), col("o.d").alias("d"), "id")
+    ).select("o.rank", "o.d", "id")
 
     def offered(step: int, name: str) -> Column:
         return F.max(F.when(col("d") == step, col("id"))).alias(name)
@@ -409,12 +400,10 @@ def neighbours_all(
 
 def peers_of(df: DataFrame, container_id: str, top: int = 5) -> DataFrame:
     """First containers of the same origin and level; none for a Low one."""
-    own = find_container(df, container_id).where(col("level") != "Low").select(
-        col("id").alias("_id"), "origin", "level"
-    ).limit(1)
-    # ``own`` holds one row
-    same = df.join(F.broadcast(own), ["origin", "level"]).where(col("id") != col("_id"))
-    return same.drop("_id").orderBy(*by_score()).limit(top)
+    own = find_container(df, container_id).where(col("level") != "Low")
+    group = own.select(F.struct("origin", "level")).limit(1).scalar()
+    same = df.where((F.struct("origin", "level") == group) & (col("id") != container_id))
+    return same.orderBy(*by_score()).limit(top)
 
 
 def peers_all(df: DataFrame, top: int = 5) -> DataFrame:
@@ -438,7 +427,7 @@ def peers_all(df: DataFrame, top: int = 5) -> DataFrame:
     joined = risky.select("id", "origin", "level").join(lists, ["origin", "level"])
     others = F.slice(F.filter("heads", lambda h: h["peer_id"] != col("id")), 1, top)
     return joined.select("id", "origin", "level", F.posexplode(others).alias("pos", "peer")).select(
-        "id", "origin", "level", (col("pos") + 1).alias("place"), col("peer.peer_id").alias("peer_id")
+        "id", "origin", "level", (col("pos") + 1).alias("place"), "peer.peer_id"
     )
 
 
