@@ -31,9 +31,10 @@ def standardize(df: DataFrame, date_formats: Iterable[str] = ()) -> DataFrame:
     """Canonical headers, date and numeric types; values that do not parse become NULL."""
     df = normalize_columns(df)
     typed = {}
-    for name in df.columns:
+    for name, kind in df.dtypes:
         if name == "Declaration_Date":
-            typed[name] = to_date(name, date_formats)
+            parsed = kind in ("date", "timestamp", "timestamp_ntz")
+            typed[name] = col(name).cast("date") if parsed else to_date(name, date_formats)
         elif any(part in name.lower() for part in NUMERIC_NAME_PARTS):
             typed[name] = to_double(name)
     return df.select(*[typed.get(c, col(c)).alias(c) for c in df.columns])
@@ -212,10 +213,11 @@ def _reject_reason(
 
 def reject_reasons(
     df: DataFrame,
-    order_cols: Sequence[str | Column],
+    order_cols: Sequence[str],
     medians: Mapping[str, float],
     *,
     limits: Mapping[str, tuple] = RANGE_LIMITS,
+    unique_order: bool = False,
 ) -> DataFrame:
     """Every input row with the reason it failed, NULL for a good one.
 
@@ -223,12 +225,17 @@ def reject_reasons(
     third of the table is one row from there on. The first row of each container comes from a
     partial aggregate, and the rows meet it through an equi-join whose big side AQE can split.
     A kept row with copies appears twice: once as kept, once for the copies that were dropped.
+
+    ``unique_order`` says that no two rows agree in ``order_cols``, as with the ingest columns
+    of the readers. There are no exact copies then, and one shuffle less is needed.
     """
     columns = df.columns
-    place = F.struct(
-        *[c.alias(f"o{i}") for i, c in enumerate([*_order(order_cols), *map(col, columns)])]
-    )
-    rows = df.groupBy(*map(col, columns)).agg(F.count(F.lit(1)).alias("_n"))
+    if unique_order:
+        ties, rows = [], df.withColumn("_n", F.lit(1).cast("long"))
+    else:
+        ties = [col(c) for c in columns if c not in order_cols and c != ID]
+        rows = df.groupBy(*map(col, columns)).agg(F.count(F.lit(1)).alias("_n"))
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*_order(order_cols), *ties])])
     first = rows.groupBy(col(ID).alias("_id")).agg(F.min(place).alias("_first"))
     matched = rows.join(first, col(ID).eqNullSafe(F.col("_id")))
     duplicate = F.lit("duplicate")

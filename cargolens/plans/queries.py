@@ -428,7 +428,7 @@ def c9(spark, sf_dir):
 def c10(spark, sf_dir):
     rows = shipments(spark, sf_dir)
     medians = cleaning.unique_medians(derived.unique(spark, sf_dir))
-    out = cleaning.reject_reasons(rows, ORDER, medians)
+    out = cleaning.reject_reasons(rows, ORDER, medians, unique_order=True)
     return out.select("Container_ID", "k_part", "k_supp", r("k_price", 4).alias("k_price"), "reject_reason", "copies")
 
 
