@@ -21,20 +21,15 @@ class BatchStore:
     """Cleaned rows, predictions and summary of every batch below one folder.
 
     Tables are partitioned by batch, predictions by level as well, so reading a batch or a level
-    touches only its files. Writing a batch again replaces that batch and no other.
+    touches only its files. Writing a batch again replaces its folder and no other.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def _write(self, df: DataFrame, table: str, batch_id: str, *levels: str) -> None:
-        (
-            df.withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id", *levels)
-            .parquet(f"{self.path}/{table}")
-        )
+        writer = df.write.mode("overwrite").partitionBy(*levels)
+        writer.parquet(f"{self.path}/{table}/batch_id={batch_id}")
 
     def _read(self, table: str, batch_id: str) -> DataFrame:
         df = self.spark.read.option("basePath", f"{self.path}/{table}").parquet(
