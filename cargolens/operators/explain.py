@@ -9,6 +9,13 @@ from cargolens import constants as K
 from cargolens.functions.columns import col, fill_text, fixed
 
 
+INPUTS = [
+    "weight_diff_pct", "value_per_kg", "flag_high_value_density", "flag_low_value_density",
+    "origin_country_risk", "dest_country_risk", "route_frequency", "Dwell_Time_Hours",
+    "flag_excessive_dwell", "flag_minimal_dwell", "is_night", "is_weekend", "HS_Code",
+]
+
+
 def _listed(template: str, *reasons: Column) -> Column:
     """``template`` filled with the reasons that apply; NULL when none does."""
     found = F.array_compact(F.array(*reasons))

@@ -148,14 +148,17 @@ def predict_scores(
     model: RiskModel,
     bounds: tuple[float, float] | None = None,
     *,
+    keep: Sequence[str] | None = None,
     staging: Callable[[DataFrame, str], DataFrame] = stage,
 ) -> DataFrame:
-    """Both scores of every row.
+    """Both scores of every row (M9, M10), beside the columns in ``keep`` or all.
 
     Without ``bounds`` the anomaly score is scaled over this batch, so the raw scores are staged
     and the Python walk runs once. With bounds from fitting the plan stays lazy.
     """
     scored = raw_scores(df, model)
+    if keep is not None:
+        scored = scored.select(*keep, "classifier_score", "isolation")
     if bounds is None:
         scored = staging(scored, "scores")
         bounds = score_bounds(scored) or (0.0, 0.0)

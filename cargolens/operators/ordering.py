@@ -61,3 +61,44 @@ def with_rank(
     """1-based position of every row in the given total order."""
     parts = ordered_parts(df, order, staging=staging)
     return running_sums(parts, order, {name: F.lit(1).cast("long")}).drop(PART)
+
+
+def with_neighbours(
+    df: DataFrame,
+    order: Sequence[Column],
+    key: str,
+    *,
+    staging: Callable[[DataFrame, str], DataFrame] = stage,
+) -> DataFrame:
+    """Rank of every row and the ``key`` of the rows just before and after it.
+
+    ``lag`` and ``lead`` share the ranges and the sort of the rank. Only the first and last row
+    of a range look outside it, into a table with one row per range.
+    """
+    parts = ordered_parts(df, order, staging=staging)
+    within = Window.partitionBy(PART).orderBy(*order)
+    ranked = running_sums(parts, order, {"rank": F.lit(1).cast("long")}).withColumns(
+        {"prev": F.lag(key).over(within), "next": F.lead(key).over(within)}
+    )
+    edges = (
+        ranked.where(col("prev").isNull() | col("next").isNull())
+        .groupBy(PART)
+        .agg(F.min_by(key, "rank").alias("first"), F.max_by(key, "rank").alias("last"))
+    )
+    ranges = Window.orderBy(PART)
+    outside = edges.select(
+        PART,
+        F.lag("last").over(ranges).alias("_before"),
+        F.lead("first").over(ranges).alias("_after"),
+    )
+    # one row per partition, as above
+    return (
+        ranked.join(F.broadcast(outside), PART)
+        .withColumns(
+            {
+                f"prev_{key}": F.coalesce("prev", "_before"),
+                f"next_{key}": F.coalesce("next", "_after"),
+            }
+        )
+        .drop(PART, "prev", "next", "_before", "_after")
+    )

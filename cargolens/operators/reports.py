@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cargolens import constants as K
 from cargolens.functions.columns import col, flag, in_classes, level_rank
 from cargolens.operators.cleaning import remove_duplicates
-from cargolens.operators.ordering import with_rank
+from cargolens.operators.ordering import with_neighbours, with_rank
 from cargolens.plans.staging import stage
 
 TOP = 8
@@ -378,24 +378,9 @@ def neighbours_of(df: DataFrame, container_id: str) -> DataFrame:
 def neighbours_all(
     df: DataFrame, *, staging: Callable[[DataFrame, str], DataFrame] = stage
 ) -> DataFrame:
-    """Previous and next container of every container (A24), by rank.
-
-    Each row offers itself to the ranks beside it, and one aggregate by rank joins the three.
-    """
-    ranked = rank_all(df, staging=staging)
-    offers = ranked.select(
-        "id",
-        F.explode(F.array(*[F.struct((col("rank") + d).alias("rank"), F.lit(d).alias("d")) for d in (-1, 0, 1)])).alias("o"),
-    ).select("o.rank", "o.d", "id")
-
-    def offered(step: int, name: str) -> Column:
-        return F.max(F.when(col("d") == step, col("id"))).alias(name)
-
-    return (
-        offers.groupBy("rank")
-        .agg(offered(0, "id"), offered(1, "prev_id"), offered(-1, "next_id"))
-        .where(col("id").isNotNull())
-    )
+    """Rank, previous and next container of every container."""
+    found = with_neighbours(df.select("id", "score"), by_score(), "id", staging=staging)
+    return found.select("id", "rank", "prev_id", "next_id")
 
 
 def peers_of(df: DataFrame, container_id: str, top: int = 5) -> DataFrame:

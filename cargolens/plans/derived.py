@@ -2,6 +2,7 @@
 
 Staged tables are kept for the life of a session and re-used while the input files are
 unchanged (same names, sizes and times). Inputs outside the local file system are never re-used.
+Call ``forget`` before ``release``, which deletes staged tables.
 """
 
 from __future__ import annotations

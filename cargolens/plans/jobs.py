@@ -22,6 +22,7 @@ from cargolens.operators.cleaning import (
     standardize_history,
     unique_medians,
 )
+from cargolens.operators.explain import INPUTS
 from cargolens.operators.features import engineer_features, with_measures
 from cargolens.operators.forest import isolation_score, score_bounds
 from cargolens.operators.labels import (
@@ -144,7 +145,9 @@ def score_table(
         store.write_cleaned(cleaned, batch_id)
         cleaned = store.cleaned(batch_id)
         features = engineer_features(cleaned, profile, staging=staging)
-        scored = score_rows(predict_scores(features, model, bounds, staging=staging), weights)
+        keep = [c for c in ("Container_ID", "ingest_seq") if c in features.columns]
+        both = predict_scores(features, model, bounds, keep=[*keep, *INPUTS], staging=staging)
+        scored = score_rows(both, weights)
         store.write_predictions(to_predictions(scored), batch_id)
     stored = store.predictions(batch_id).select(
         col("risk_level").alias("level"), col("risk_score").alias("score"), "anomaly_score"
@@ -178,7 +181,8 @@ def evaluate(
         "cleaned",
     )
     features = engineer_features(cleaned, staging=staging)
-    scored = staging(score_rows(predict_scores(features, model, staging=staging), weights), "scored")
+    both = predict_scores(features, model, keep=["Container_ID", "label"], staging=staging)
+    scored = score_rows(both, weights)
     report = evaluation_report(labelled, scored, threshold=threshold, staging=staging)
     rows = evaluation_rows(predict_at(scored, threshold))
     if rows_path:

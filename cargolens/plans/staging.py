@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
+_open_paths: list[str] = []
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -31,7 +32,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the checkpoint folder, removed by ``release``."""
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _open_paths.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -41,6 +45,19 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    hadoop = spark._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(hadoop).delete(path, True)
+    paths.clear()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this process has staged; no DataFrame over it may be used afterwards."""
+    _delete(spark, _open_paths)
+
+
 class Staging:
     """Staged tables of one job, deleted together when the job has written its results."""
 
@@ -49,7 +66,7 @@ class Staging:
         self._paths: list[str] = []
 
     def __call__(self, df: DataFrame, name: str = "stage") -> DataFrame:
-        path = stage_path(self._spark, name)
+        path = f"{checkpoint_folder(self._spark)}/{name}-{uuid.uuid4().hex}"
         self._paths.append(path)
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
@@ -58,8 +75,4 @@ class Staging:
         return self
 
     def __exit__(self, *_) -> None:
-        hadoop = self._spark._jsc.hadoopConfiguration()
-        for name in self._paths:
-            path = self._spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(hadoop).delete(path, True)
-        self._paths.clear()
+        _delete(self._spark, self._paths)

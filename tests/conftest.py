@@ -24,8 +24,11 @@ def make_session() -> SparkSession:
 
 @pytest.fixture(scope="session")
 def spark():
+    from cargolens.plans.staging import release
+
     session = make_session()
     yield session
+    release(session)
     session.stop()
 
 

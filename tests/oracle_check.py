@@ -58,6 +58,7 @@ def compare(spark, con, sf_dir: str, fn, text: str) -> str:
 
 
 def main() -> None:
+    from cargolens.plans.staging import release
     from tests.conftest import make_session
 
     import __spark_entry__ as entry
@@ -80,6 +81,7 @@ def main() -> None:
         bad += bool(problem)
         kind = "sql" if name in oracle else "rows"
         print(f"{'FAIL' if problem else 'ok':4} {kind:4} {time.time() - start:6.1f}s {name} {problem}", flush=True)
+    release(spark)
     print(f"{bad} failed")
 
 
