@@ -127,6 +127,7 @@ class RiskModel:
     forest: Forest
     features: list[str]
     stats: dict = field(default_factory=dict)
+    bounds: tuple[float, float] | None = None
 
 
 def classifier_scores(df: DataFrame, model: RiskModel) -> DataFrame:
@@ -182,7 +183,8 @@ def train(
 ) -> RiskModel:
     """Fit classifier and forest on 80 percent and measure on the rest.
 
-    The assembled matrix is staged: boosting reads it once per round.
+    The assembled matrix is staged, since fitting reads it many times. ``bounds`` of the model
+    are the lowest and highest isolation score of all rows, for frozen scoring.
     """
     features = available_features(df)
     matrix = feature_matrix(df, features).select("Container_ID", label, *features)
@@ -200,6 +202,7 @@ def train(
     model = RiskModel(
         recipe.fit(weighted), fit_forest(train_rows, features, trees=trees, seed=seed), features
     )
+    model.bounds = score_bounds(matrix.select(isolation_score(model.forest).alias("isolation")))
     judged = staging(
         classifier_scores(test_rows, model).select(
             col(label).alias("label"), col("classifier_score").alias("score")

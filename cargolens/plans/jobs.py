@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +24,6 @@ from cargolens.operators.cleaning import (
 )
 from cargolens.operators.explain import INPUTS
 from cargolens.operators.features import engineer_features, with_measures
-from cargolens.operators.forest import isolation_score, score_bounds
 from cargolens.operators.labels import (
     label_fallback,
     label_history,
@@ -36,7 +35,7 @@ from cargolens.operators.metrics import evaluation_report, evaluation_rows, pred
 from cargolens.operators.models import RiskModel, predict_scores, train
 from cargolens.operators.profile import Profile, fit_profile
 from cargolens.operators.scoring import blend_weights, score_rows, to_predictions
-from cargolens.plans.staging import Staging
+from cargolens.plans.staging import Staging, stage
 from cargolens.sources.csv import INGEST_ORDER, from_records, read_uploaded_csv, rename_history
 from cargolens.sources.sinks import write_csv, write_report_json
 from cargolens.sources.store import BatchStore, ModelStore
@@ -93,13 +92,11 @@ def train_model(
         profile.medians = medians
         features = engineer_features(cleaned, profile)
         labelled, label_source = _labelled(features, label, rules)
-        labelled = staging(labelled, "features")
         model = train(labelled, "label", staging=staging, **options)
-        raw = labelled.select(isolation_score(model.forest).alias("isolation"))
-        profile.anomaly_bounds = score_bounds(raw)
+        profile.anomaly_bounds = model.bounds
         report = {
             "label_column": label_source,
-            "rows_after_cleaning": labelled.count(),
+            "rows_after_cleaning": model.stats["train_size"] + model.stats["test_size"],
             "feature_count": len(model.features),
             "risk_scorer_weights": {"classifier_weight": blend[0], "anomaly_weight": blend[1]},
             "validation_metrics": {k: v for k, v in model.stats.items() if k != "class_weights"},
@@ -167,12 +164,11 @@ def evaluate(
     weights: tuple[float, float] | None = None,
     rows_path: str = "",
     report_path: str = "",
-    staging: Staging | None = None,
+    staging: Callable[[DataFrame, str], DataFrame] = stage,
 ) -> tuple[DataFrame, DataFrame]:
     """Report and row-level table for a labelled input."""
     if label not in df.columns:
         raise ValueError(f"label column {label!r} not found; there are {', '.join(df.columns)}")
-    staging = staging or Staging(df.sparkSession)
     labelled = normalize_labels(df, label)
     if readable_labels(labelled, "label").limit(1).count() == 0:
         raise ValueError(f"no label in column {label!r} could be read")
