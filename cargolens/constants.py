@@ -124,4 +124,3 @@ HISTORY_RENAMES = {
     "Destination_Country": "Destination_Country",
     "Destination_Port": "Destination_Port",
 }
-REFERENCE_RISK_FACTORS = ["weight_discrepancy", "unusual_route", "high_value_density"]

@@ -35,6 +35,11 @@ def mean_path(size: float) -> float:
     return 2.0 * (math.log(size - 1.0) + np.euler_gamma) - 2.0 * (size - 1.0) / size
 
 
+def max_depth(sample: int) -> int:
+    """Depth at which a tree over ``sample`` rows stops."""
+    return max(1, math.ceil(math.log2(sample)))
+
+
 def _grow(x: np.ndarray, rng: np.random.Generator, depth_limit: int) -> list[tuple]:
     """Nodes of one tree as (node, feature, threshold, left, right, length); feature -1 is a leaf."""
     nodes, todo, used = [], [(0, x, 0)], 1
@@ -112,7 +117,8 @@ def fit_forest(
     """Fit ``trees`` isolation trees on ``sample`` rows each (M8)."""
     values = F.array(*[F.coalesce(col(c).cast("double"), F.lit(0.0)) for c in features])
     drawn = draw_rows(df, id_col, trees, sample, seed, values)
-    depth_limit = max(1, math.ceil(math.log2(sample)))
+    used = min(sample, max(2, df.limit(sample).count()))
+    depth_limit = max_depth(used)
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(rows["tree"].iloc[0])
@@ -126,7 +132,6 @@ def fit_forest(
     # bounded by trees x 2 x sample rows, so the driver can hold it for the broadcast
     table = nodes.toPandas()
     spark = df.sparkSession
-    used = min(sample, max(2, df.limit(sample).count()))
     return Forest(spark.createDataFrame(table, NODE_SCHEMA), list(features), used)
 
 
@@ -137,31 +142,30 @@ def isolation_score(forest: Forest) -> Column:
     sizes = table.groupby("tree").size()
     roots = np.concatenate([[0], np.cumsum(sizes.to_numpy())[:-1]])
     start = np.repeat(roots, sizes.to_numpy())
-    flat = {
-        "roots": roots,
-        "feature": table["feature"].to_numpy(),
-        "threshold": table["threshold"].to_numpy(),
-        "left": table["left"].to_numpy() + start,
-        "right": table["right"].to_numpy() + start,
-        "length": table["length"].to_numpy(),
-    }
-    shared = spark.sparkContext.broadcast(flat)
-    scale = mean_path(forest.sample)
+    # a leaf is its own child, so all rows of a batch can take the same number of steps
+    children = np.stack([table["right"].to_numpy() + start, table["left"].to_numpy() + start], axis=1)
+    shared = spark.sparkContext.broadcast(
+        {
+            "roots": roots,
+            "feature": np.maximum(table["feature"].to_numpy(), 0),
+            "threshold": table["threshold"].to_numpy(),
+            "children": children.ravel(),
+            "length": table["length"].to_numpy(),
+        }
+    )
+    scale, steps = mean_path(forest.sample), max_depth(forest.sample)
 
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
         t = shared.value
         x = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
-        rows = np.arange(len(x))
+        cells, row = x.ravel(), np.arange(len(x)) * x.shape[1]
         total = np.zeros(len(x))
         for root in t["roots"]:
             at = np.full(len(x), root)
-            moving = t["feature"][at] >= 0
-            while moving.any():
-                r, a = rows[moving], at[moving]
-                left = x[r, t["feature"][a]] <= t["threshold"][a]
-                at[moving] = np.where(left, t["left"][a], t["right"][a])
-                moving = t["feature"][at] >= 0
+            for _ in range(steps):
+                goes_left = cells[row + t["feature"][at]] <= t["threshold"][at]
+                at = t["children"][2 * at + goes_left]
             total += t["length"][at]
         return pd.Series(np.exp2(-total / len(t["roots"]) / scale))
 
