@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargolens import constants as K
-from cargolens.functions.columns import col, fixed, to_double
+from cargolens.functions.columns import col, to_double
 from cargolens.operators import cleaning, explain, labels, metrics, models, profile, reports, scoring
 from cargolens.operators import features as feature_ops
 from cargolens.operators.forest import fit_forest, isolation_score, scaled_anomaly, score_bounds
 from cargolens.plans import derived, jobs
-from cargolens.plans.oracle import STEPS, TEXTS, sql
-from cargolens.plans.staging import Staging, stage, stage_path
+from cargolens.plans.oracle import STEPS, sql
+from cargolens.plans.staging import stage, stage_path
 from cargolens.plans.testtables import ORDER, rule_scores, shipments
 from cargolens.schema import missing_fields, normalize_columns
 from cargolens.sources import csv as csv_source
