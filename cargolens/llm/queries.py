@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargolens.llm import bpe, minhash, packing
+from cargolens.llm import bpe, minhash, packing, suffixes
 from cargolens.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -24,6 +28,7 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
 }
