@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargolens.llm import bpe, minhash, packing, suffixes
+from cargolens.llm import bpe, minhash, packing, quality, suffixes
 from cargolens.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.quality_scores(documents, labels, folds=3, fold=1)
+
+
 def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digest(table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
 }
 
