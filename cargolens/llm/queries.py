@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargolens.llm import bpe, minhash, packing, quality, suffixes, toxicity
+from cargolens.llm import bpe, editprint, minhash, packing, quality, suffixes, toxicity
 from cargolens.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(documents, labels, folds=3, fold=1)
 
 
+def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.edited_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digest(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op9_edit_fingerprints": op9_edit_fingerprints,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
 }
 
