@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargolens.llm import bpe, editprint, minhash, packing, quality, suffixes, toxicity
+from cargolens.llm import bpe, chat, editprint, minhash, packing, quality, suffixes, toxicity
 from cargolens.llm.common import table
 
 
+#: A conversation whose texts consist of control strings.
+PROBE = "SELECT * FROM VALUES (-1L, 0L, 'user', '{0}'), (-1L, 1L, 'assistant', '{0}') AS t(conv_id, turn, role, text)"
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.chat_digest(rows.unionByName(spark.sql(PROBE.format(CONTROL_TEXT))))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_digest(table(spark, sf_dir, "documents"))
 
@@ -41,6 +51,7 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": op1_chat_formatting,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_toxicity": op4_toxicity,
@@ -50,7 +61,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
 }
 
+def _escaped_sql(text: str) -> str:
+    out = f"replace({text}, '{chat.ESCAPE}', '{chat.ESCAPE * 2}')"
+    for c in chat.CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0] + chat.ESCAPE + c[1:]}')"
+    return out
+
+
 ORACLE: dict[str, str] = {
+    "op1_chat_formatting": f"""
+WITH rows AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'),
+numbered AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n
+  FROM rows),
+grouped AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS spoken,
+    coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS learnt,
+    CAST(sum(length({_escaped_sql("role")}) + length({_escaped_sql("text")})
+      + {sum(map(len, chat.CONTROLS))}) AS BIGINT) AS formatted_chars
+  FROM numbered GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars,
+  sha256(learnt) AS loss_sha256, formatted_chars FROM grouped""",
     "op5_minhash_near_dedup": """
 WITH RECURSIVE words AS (
   SELECT doc_id, [x FOR x IN string_split_regex(
