@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargolens.llm import bpe, chat, editprint, minhash, packing, quality, suffixes, toxicity
+from cargolens.llm import bpe, chat, editprint, hamming, minhash, packing, pii, quality, suffixes, toxicity
 from cargolens.llm.common import table
 
 
@@ -37,11 +37,19 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.quality_scores(documents, labels, folds=3, fold=1)
 
 
+def op8_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.neighbour_table(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op9_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editprint.edited_digest(table(spark, sf_dir, "documents"))
 
@@ -56,7 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_personal_data": op6_personal_data,
     "op7_quality_rules": op7_quality_rules,
+    "op8_hamming_top_k": op8_hamming_top_k,
     "op9_edit_fingerprints": op9_edit_fingerprints,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
 }
@@ -112,4 +122,15 @@ reach(id, other) AS (
 least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY 1)
 SELECT doc_id, n AS n_shingles, component_id, component_id = doc_id AS kept
 FROM sizes JOIN least ON id = doc_id""",
+    "op8_hamming_top_k": """
+WITH codes AS (
+  SELECT vec_id, [x > 0 AND NOT isnan(x) FOR x IN embedding] AS bits FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum([CAST(q.bits[i] <> c.bits[i] AS INTEGER) FOR i IN range(1, 65)]) AS distance
+  FROM codes q JOIN codes c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank,
+    vec_id, CAST(distance AS INTEGER) AS distance FROM pairs)
+SELECT * FROM ranked WHERE rank <= 10""",
 }
