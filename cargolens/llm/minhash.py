@@ -6,11 +6,12 @@ tables so need only 2 * SIDE * ROWS minhashes: the square root of what as many s
 A pair of sets of similarity s meets in some table with probability (1 - (1 - s^ROWS)^SIDE)^2; at
 0.8 the 22 keys of four rows lose less than 2 pairs in 100,000, and fewer above that.
 
-Equal sets collapse to one representative first. Keys that only one representative has are dropped
-before the product is formed. In each bucket members meet one centre, the member with most company,
-not each other; candidate pairs are confirmed on the sets. Buckets where a member was refused and
-is in another component than the rest are then compared across components, so no link that a
-bucket shows is lost; members of one component never meet there.
+Equal sets collapse to one representative first, and keys that only one representative has are
+dropped before the product is formed. In each bucket members meet one centre, the member with most
+company, not each other; the sets confirm or refuse each pair. Members of a bucket that its centre refuses may
+still be linked to other members. The differences of two sets from their common centre give their
+similarity without the texts, so these are compared in blocks of bounded size, bit-parallel, and only
+links that join two components come out. No link that a bucket shows is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm import text as tx
@@ -30,6 +31,8 @@ from cargolens.plans.staging import stage
 SIDE, ROWS = 22, 4
 #: Members that one comparing group of a centre holds.
 GROUP = 256
+#: Members of a side of a block in which members are compared.
+BLOCK = 4096
 
 _SIGNATURE = "doc_id long, n long, s1 long, s2 long, a array<long>, b array<long>"
 
@@ -133,12 +136,12 @@ def _buckets(reps: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``pairs`` (id, centre) with ``linked``: is 100 * intersection >= percent * union of the sets.
+    """``pairs`` (id, centre) with ``linked``: is 100 * intersection >= percent * union of the sets;
+    ``size`` of the set of id; and ``differences``: shingles that one of both sets has.
 
     A centre's text meets its members in groups of about ``GROUP``; a group is read as a stream that
     keeps the centre's set alone (its sets, where rows repeat its doc_id with other texts).
     """
-    pairs = stage(pairs, "pairs")
     ids = pairs.select(F.col("id").alias("doc_id")).unionByName(pairs.select(F.col("centre").alias("doc_id")))
     texts = in_slots(docs, F.col("doc_id"), ids.distinct())
     groups = pairs.groupBy("centre").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
@@ -148,9 +151,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     members = dealt.join(texts, F.col("id") == F.col("doc_id")).select(
         "centre", "part", F.lit(1).alias("kind"), "id", "text"
     )
-    heads = groups.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"))
-    heads = heads.join(texts, F.col("centre") == F.col("doc_id")).select(
-        "centre", "part", F.lit(0).alias("kind"), F.col("centre").alias("id"), "text"
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))
+    heads = groups.join(texts, F.col("centre") == F.col("doc_id")).select(
+        "centre", parts.alias("part"), F.lit(0).alias("kind"), F.col("centre").alias("id"), "text"
     )
     rows = members.unionByName(heads).repartition("centre", "part")
     rows = rows.sortWithinPartitions("centre", "part", "kind", "id")
@@ -170,19 +173,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                 if kind[r] == 0:
                     centre_sets.append(mine.copy())
                     continue
-                linked = False
                 for theirs in centre_sets:
-                    common = len(np.intersect1d(mine, theirs, assume_unique=True))
-                    union = len(mine) + len(theirs) - common
-                    linked |= union > 0 and 100 * common >= percent * union
-                out.append((ids[r], centre[r], linked))
-            columns = list(zip(*out)) or [(), (), ()]
+                    apart = np.setxor1d(mine, theirs, assume_unique=True)
+                    common = (len(mine) + len(theirs) - len(apart)) // 2
+                    linked = len(mine) > 0 and 100 * common >= percent * (common + len(apart))
+                    out.append((ids[r], centre[r], linked, len(mine), tx.signed(apart)))
+            columns = list(zip(*out)) or [(), (), (), (), ()]
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))],
-                names=["id", "centre", "linked"],
+                [pa.array(c, k) for c, k in zip(columns, kinds)],
+                names=["id", "centre", "linked", "size", "differences"],
             )
 
-    return stage(rows.mapInArrow(run, "id long, centre long, linked boolean"), "links")
+    kind = "id long, centre long, linked boolean, size long, differences array<long>"
+    return stage(rows.mapInArrow(run, kind), "confirmed")
 
 
 def near_duplicates(
@@ -209,14 +213,10 @@ def near_duplicates(
     centre = F.max(F.struct("company", (-F.col("id")).alias("low")))
     centres = buckets.groupBy("bucket").agg(centre.alias("c"), F.count("*").alias("size"))
     centres = centres.filter("size > 1").select("bucket", (-F.col("c.low")).alias("centre"))
-    met = buckets.join(centres, "bucket").filter("id <> centre")
-    first = _confirmed(met.select("id", "centre").distinct(), docs, width, percent)
-    links = first.filter("linked").select(F.col("id").alias("a"), F.col("centre").alias("b"))
-    refused = first.filter("NOT linked").select("id", "centre")
-    if not refused.isEmpty():
-        links = stage(
-            links.unionByName(_across(buckets, met, refused, links, docs, width, percent)), "links"
-        )
+    met = buckets.join(centres, "bucket").filter("id <> centre").select("id", "centre")
+    tried = _confirmed(stage(met.distinct(), "pairs"), docs, width, percent)
+    links = tried.filter("linked").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    links = links.unionByName(_between_members(tried, links, percent))
     copies = one.join(reps.select("s1", "s2", "n", "id"), ["s1", "s2", "n"])
     same = copies.filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     classes = components(links.unionByName(same).distinct())
@@ -232,16 +232,14 @@ def near_duplicates(
     )
 
 
-def _across(
-    buckets: DataFrame,
-    met: DataFrame,
-    refused: DataFrame,
-    links: DataFrame,
-    docs: DataFrame,
-    width: int,
-    percent: int,
-) -> DataFrame:
-    """Links between members of one bucket that its centre left in different components."""
+def _between_members(tried: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links between members of one centre that it left in different components.
+
+    Pairs of which the centre refused one are compared in blocks of ``BLOCK`` by ``BLOCK`` members.
+    """
+    refused = tried.filter("NOT linked").select("id", "centre")
+    if refused.isEmpty():
+        return links.limit(0)
     label = components(links)
 
     def labelled(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -249,18 +247,44 @@ def _across(
         return df.join(known, key, "left").withColumn(name, F.coalesce(name, key))
 
     apart = labelled(labelled(refused, "id", "x"), "centre", "y").filter("x <> y")
-    open_buckets = met.join(apart.select("id", "centre"), ["id", "centre"], "left_semi")
-    open_buckets = open_buckets.select("bucket").distinct()
-    members = labelled(buckets.join(open_buckets, "bucket", "left_semi"), "id", "component")
-    members = stage(members.select("bucket", "id", "component"), "open")
-    other = members.select("bucket", F.col("id").alias("centre"), F.col("component").alias("theirs"))
-    tried = refused.select(F.least("id", "centre").alias("id"), F.greatest("id", "centre").alias("centre"))
-    pairs = (
-        members.join(other, "bucket")
-        .filter("id < centre AND component <> theirs")
-        .select("id", "centre")
-        .distinct()
-        .join(tried, ["id", "centre"], "left_anti")
+    counts = tried.groupBy("centre").agg(
+        F.ceil(F.count("*") / BLOCK).alias("blocks"),
+        F.ceil(F.count(F.when(~F.col("linked"), 1)) / BLOCK).alias("refused_blocks"),
     )
-    checked = _confirmed(pairs, docs, width, percent)
-    return checked.filter("linked").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    counts = counts.join(apart.select("centre").distinct(), "centre", "left_semi")
+    members = labelled(tried.join(counts, "centre"), "id", "component")
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).alias(n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(n)
+    columns = ["centre", "id", "size", "component", "differences"]
+    left = members.filter("NOT linked").select(*columns, F.lit(0).alias("side"), mine("refused_blocks"), every("blocks"))
+    right = members.select(*columns, F.lit(1).alias("side"), every("refused_blocks"), mine("blocks"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        side, ids, size, label = (
+            rows.column(c).to_numpy() for c in ("side", "id", "size", "component")
+        )
+        lists = rows.column("differences").combine_chunks()
+        far = lists.value_lengths().to_numpy().astype(np.int64)
+        owner = np.repeat(np.arange(len(far)), far)
+        found, feature, uses = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = uses[feature] > 1
+        number = np.cumsum(uses > 1) - 1
+        owner, feature = owner[shared], number[feature[shared]]
+        bits = np.zeros((len(far), max(1, -(-int((uses > 1).sum()) // 64))), np.uint64)
+        np.bitwise_or.at(bits, (owner, feature >> 6), np.uint64(1) << (feature & 63).astype(np.uint64))
+        right = np.flatnonzero(side == 1)
+        label, out = label.copy(), []
+        for r in np.flatnonzero(side == 0):
+            other = right[label[right] != label[r]]
+            common = np.bitwise_count(bits[other] & bits[r]).sum(1, dtype=np.int64)
+            apart = far[other] + far[r] - 2 * common
+            both = (size[other] + size[r] - apart) // 2
+            for m in other[(100 * both >= percent * (both + apart)) & (ids[other] != ids[r])]:
+                if label[m] != label[r]:
+                    out.append((ids[r], ids[m]))
+                    label[label == label[m]] = label[r]
+        columns = list(zip(*out)) or [(), ()]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    blocks = left.unionByName(right).groupBy("centre", "refused_blocks", "blocks")
+    return stage(blocks.applyInArrow(run, "a long, b long"), "links")
