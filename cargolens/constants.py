@@ -124,3 +124,7 @@ HISTORY_RENAMES = {
     "Destination_Country": "Destination_Country",
     "Destination_Port": "Destination_Port",
 }
+
+# --- fixed values: what is cut from the lines of uploaded files --------------------------
+LINE_ENDS = "^\ufeff|\r$"
+EMPTY_FIELDS = r"(,\s*)+$"

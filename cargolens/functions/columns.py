@@ -63,3 +63,9 @@ def level_rank(c: str | Column) -> Column:
         F.element_at(F.create_map(*[F.lit(x) for i, v in enumerate(LEVELS) for x in (v, i)]), col(c)),
         F.lit(len(LEVELS)),
     )
+
+
+def draw60(id_col: str | Column, seed: int) -> Column:
+    """A repeatable number from 0 to 2^60 - 1 per id, from the MD5 digest that SQL engines share."""
+    text = F.concat(col(id_col).cast("string"), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

@@ -78,8 +78,9 @@ def _critical(columns: Iterable[str]) -> list[str]:
 
 
 def drop_missing_critical(df: DataFrame) -> DataFrame:
-    """Drop rows without id, value or a weight (C4)."""
-    return df.na.drop(subset=_critical(df.columns))
+    """Drop rows without id, value or a weight (C4), and those with more fields than their header."""
+    kept = df.where(col("ingest_surplus").isNull()) if "ingest_surplus" in df.columns else df
+    return kept.na.drop(subset=_critical(df.columns))
 
 
 def numeric_medians(
@@ -208,7 +209,13 @@ def _reject_reason(
 ) -> Column:
     missing = reduce(or_, [col(c).isNull() for c in _critical(columns)])
     good = F.coalesce(in_ranges(columns, limits, medians), F.lit(False))
-    return F.when(missing, "missing_critical").when(~good, "invalid_range")
+    # a row with more fields than its header: its values may stand in the wrong columns
+    surplus = col("ingest_surplus").isNotNull() if "ingest_surplus" in columns else F.lit(False)
+    return (
+        F.when(surplus, "surplus_fields")
+        .when(missing, "missing_critical")
+        .when(~good, "invalid_range")
+    )
 
 
 def reject_reasons(
@@ -259,22 +266,41 @@ def row_accounting(
     *,
     limits: Mapping[str, tuple] = RANGE_LIMITS,
 ) -> DataFrame:
-    """One row of counters over standardised rows: received, valid, failed and why."""
-    unique = remove_duplicates(df, order_cols)
+    """One row of counters over standardised rows: received, valid, failed and why.
+
+    One pass: partial aggregates count the rows of each id and keep the first one's reason, and the
+    ids are counted. A table that lacks required columns gives status "schema_error" and no counts.
+    """
+    lacking = [c for c in CRITICAL_COLUMNS if c not in df.columns]
+    if lacking:
+        counts = df.select(F.lit(0).alias("n")).limit(0).agg(F.count("n").alias("n"))
+        names = ["rows_valid", "duplicates_removed", "rows_with_missing_critical", "invalid_value_ranges"]
+        received = df.agg(F.count(F.lit(1))).scalar()
+        return counts.select(
+            F.lit("schema_error").alias("status"),
+            received.alias("rows_received"),
+            *[F.lit(None).cast("long").alias(c) for c in names[:1]],
+            received.alias("rows_failed"),
+            *[F.lit(None).cast("long").alias(c) for c in names[1:]],
+        )
     reason = _reject_reason(df.columns, medians, limits)
-    judged = unique.select(reason.alias("reason")).agg(
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_order(order_cols))])
+    ids = df.groupBy(ID).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(F.struct(place.alias("p"), reason.alias("r")))["r"].alias("reason")
+    )
+    judged = ids.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("received"),
         F.count(F.lit(1)).alias("unique"),
-        F.count_if(F.col("reason") == "missing_critical").alias("missing"),
+        F.count_if(F.col("reason").isin("missing_critical", "surplus_fields")).alias("missing"),
         F.count_if(F.col("reason") == "invalid_range").alias("invalid"),
     )
-    received = df.agg(F.count(F.lit(1))).scalar()
     valid = F.col("unique") - F.col("missing") - F.col("invalid")
-    return judged.withColumn("rows_received", received).select(
+    return judged.select(
         F.when(valid > 0, "success").otherwise("partial_success").alias("status"),
-        "rows_received",
+        F.col("received").alias("rows_received"),
         valid.alias("rows_valid"),
-        (F.col("rows_received") - valid).alias("rows_failed"),
-        (F.col("rows_received") - F.col("unique")).alias("duplicates_removed"),
+        (F.col("received") - valid).alias("rows_failed"),
+        (F.col("received") - F.col("unique")).alias("duplicates_removed"),
         F.col("missing").alias("rows_with_missing_critical"),
         F.col("invalid").alias("invalid_value_ranges"),
     )

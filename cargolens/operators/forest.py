@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from cargolens.functions.columns import col
 
 NODE_SCHEMA = (
-    "tree int, node int, feature int, threshold double, left int, right int, length double"
+    "tree int, node int, feature int, threshold double, left int, right int, length double,"
+    " depth int, size int"
 )
-POOL = 200_000
 OVERDRAW = 1.5
 
 
@@ -41,19 +41,22 @@ def max_depth(sample: int) -> int:
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, depth_limit: int) -> list[tuple]:
-    """Nodes of one tree as (node, feature, threshold, left, right, length); feature -1 is a leaf."""
+    """Nodes of one tree: node, feature, threshold, left, right, length, depth, size.
+
+    Feature -1 is a leaf; size is the number of rows that reached the node.
+    """
     nodes, todo, used = [], [(0, x, 0)], 1
     while todo:
         node, rows, depth = todo.pop()
         low, high = rows.min(axis=0), rows.max(axis=0)
         varied = np.flatnonzero(low < high)
         if depth >= depth_limit or varied.size == 0:
-            nodes.append((node, -1, 0.0, node, node, depth + mean_path(len(rows))))
+            nodes.append((node, -1, 0.0, node, node, depth + mean_path(len(rows)), depth, len(rows)))
             continue
         feature = int(rng.choice(varied))
         threshold = float(rng.uniform(low[feature], high[feature]))
         goes_left = rows[:, feature] <= threshold
-        nodes.append((node, feature, threshold, used, used + 1, 0.0))
+        nodes.append((node, feature, threshold, used, used + 1, 0.0, depth, len(rows)))
         todo += [(used, rows[goes_left], depth + 1), (used + 1, rows[~goes_left], depth + 1)]
         used += 2
     return nodes
@@ -84,13 +87,10 @@ def draw_rows(
 ) -> DataFrame:
     """Rows for each tree: (tree, draw, x). About OVERDRAW x sample rows per tree.
 
-    A large table is first thinned to a pool of about ``POOL`` rows by one hash per row.
+    Every row of the table takes part in every tree's draw; there is no shuffle of the table.
     """
     rows = df.count()
     key = col(id_col)
-    if rows > 2 * POOL:
-        df = df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(rows)) < POOL)
-        rows = POOL
     wanted = int(sample * OVERDRAW)
 
     def draw(tree: Column) -> Column:
@@ -125,7 +125,7 @@ def fit_forest(
         lowest = rows.sort_values("draw", kind="stable").head(sample)
         rng = np.random.default_rng([seed, tree])
         nodes = _grow(np.vstack(lowest["x"].to_list()), rng, depth_limit)
-        names = ["node", "feature", "threshold", "left", "right", "length"]
+        names = ["node", "feature", "threshold", "left", "right", "length", "depth", "size"]
         return pd.DataFrame(nodes, columns=names).assign(tree=tree)[["tree", *names]]
 
     nodes = drawn.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)

@@ -19,7 +19,7 @@ from cargolens.constants import (
     POSITIVE_LABELS,
     SAMPLE_RISK_COUNTRIES,
 )
-from cargolens.functions.columns import col, to_double
+from cargolens.functions.columns import col, draw60, to_double
 from cargolens.operators.selection import lowest_share
 
 
@@ -84,19 +84,21 @@ def label_retrain(df: DataFrame, label: str = "is_risky") -> DataFrame:
 
 
 def normalized_label(c: str | Column, kind: T.DataType | None = None) -> Column:
-    """0, 1 or NULL from a boolean, a number or one of many words."""
+    """0, 1 or NULL from a boolean, a number, also one in text, or one of many words."""
     value = col(c)
     if isinstance(kind, T.BooleanType):
         return value.cast("int")
     if isinstance(kind, T.NumericType):
         return F.when(~F.isnan(value.cast("double")), (value > 0).cast("int"))
     text = F.lower(F.trim(value.cast("string")))
+    number = text.try_cast("double")
 
     def holds(parts: list[str]) -> Column:
         return reduce(or_, [text.contains(p) for p in parts])
 
     return (
-        F.when(text.isin(POSITIVE_LABELS), 1)
+        F.when(number.isNotNull() & ~F.isnan(number), (number > 0).cast("int"))
+        .when(text.isin(POSITIVE_LABELS), 1)
         .when(text.isin(NEGATIVE_LABELS), 0)
         .when(holds(POSITIVE_LABEL_PARTS), 1)
         .when(holds(NEGATIVE_LABEL_PARTS), 0)
@@ -110,7 +112,7 @@ def normalize_labels(df: DataFrame, source: str, label: str = "label") -> DataFr
 
 def numeric_labels(df: DataFrame, source: str, label: str = "label") -> DataFrame:
     """Whole-number labels; anything else counts 0."""
-    return df.withColumn(label, F.coalesce(to_double(source).cast("int"), F.lit(0)))
+    return df.withColumn(label, F.coalesce(to_double(source).try_cast("bigint"), F.lit(0)))
 
 
 def label_distribution(df: DataFrame, label: str = "is_risky") -> DataFrame:
@@ -123,12 +125,12 @@ def guard_single_class(
 ) -> DataFrame:
     """Flip a repeatable tenth of the labels, opt-in and only when one class is present.
 
-    The rows with the lowest hashes are flipped; the cut is found by exact selection, so no
+    The rows with the lowest draws are flipped; the cut is found by exact selection, so no
     sort of the table takes place.
     """
     bounds = df.agg(F.min(label).alias("low"), F.max(label).alias("high")).first()
     if bounds["low"] != bounds["high"]:
         return df
-    draw = F.xxhash64(col(id_col), F.lit(seed))
+    draw = draw60(id_col, seed)
     cut = lowest_share(df, draw, share)
     return df.withColumn(label, F.when(draw <= F.lit(cut), 1 - col(label)).otherwise(col(label)))

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.functions.columns import col
+from cargolens.functions.columns import col, draw60
 from cargolens.operators.features import available_features
 from cargolens.operators.forest import (
     Forest,
@@ -23,7 +23,7 @@ from cargolens.operators.forest import (
 )
 from cargolens.operators.labels import guard_single_class
 from cargolens.operators.metrics import binary_metrics, class_report, roc_auc
-from cargolens.plans.staging import stage
+from cargolens.plans.staging import checkpoint_folder, stage
 
 
 def feature_matrix(df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
@@ -34,7 +34,7 @@ def feature_matrix(df: DataFrame, features: Sequence[str] | None = None) -> Data
 
 def split_draw(id_col: str = "Container_ID", seed: int = 42) -> Column:
     """Repeatable number in [0, 1) per row."""
-    return F.pmod(F.xxhash64(col(id_col), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    return draw60(id_col, seed) / float(1 << 60)
 
 
 def split(
@@ -50,7 +50,7 @@ def split(
 
 
 def scaler(input_col: str = "assembled", output_col: str = "features") -> StandardScaler:
-    """Standard scaling to mean 0 and deviation 1 (M3)."""
+    """Standard scaling to mean 0 and deviation 1 (M3); Spark's own, with the sample deviation."""
     return StandardScaler(inputCol=input_col, outputCol=output_col, withMean=True, withStd=True)
 
 
@@ -91,20 +91,34 @@ def boosted_trees(
 
 
 def logistic(
-    features: Sequence[str], *, max_iter: int = 500, label: str = "label", reg: float = 0.0
+    features: Sequence[str],
+    *,
+    max_iter: int = 500,
+    label: str = "label",
+    reg: float = 0.0,
+    weighted: bool = False,
 ) -> Pipeline:
-    """Scaled logistic regression (M6)."""
+    """Scaled logistic regression (M6); class weights only on request."""
+    fitter = LogisticRegression(labelCol=label, maxIter=max_iter, regParam=reg)
+    if weighted:
+        fitter = fitter.setWeightCol("class_weight")
     return Pipeline(
         stages=[
-            VectorAssembler(inputCols=list(features), outputCol="assembled"),
-            scaler(),
-            LogisticRegression(
-                labelCol=label, weightCol="class_weight", maxIter=max_iter, regParam=reg
-            ),
+            VectorAssembler(inputCols=list(features), outputCol="assembled"), scaler(), fitter
         ]
     )
 
 
+def scale_table(train_rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Mean and population deviation of each feature over the rows a model is fitted on (M3)."""
+    sums = train_rows.agg(
+        *[F.avg(col(c)).alias(f"{c}_mean") for c in features],
+        *[F.stddev_pop(col(c)).alias(f"{c}_deviation") for c in features],
+    )
+    rows = [F.struct(F.lit(c).alias("feature"), col(f"{c}_mean").alias("mean"), col(f"{c}_deviation").alias("deviation")) for c in features]
+    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def loss_history(model: PipelineModel) -> list[float]:
     """Objective per iteration of a fitted logistic regression (M6)."""
     return list(model.stages[-1].summary.objectiveHistory)
@@ -186,6 +200,9 @@ def train(
     The assembled matrix is staged, since fitting reads it many times. ``bounds`` of the model
     are the lowest and highest isolation score of all rows, for frozen scoring.
     """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # else boosting carries its whole lineage along
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession) + "/ml")
     features = available_features(df)
     matrix = feature_matrix(df, features).select("Container_ID", label, *features)
     if flip_single_class:

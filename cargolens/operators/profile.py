@@ -1,8 +1,8 @@
 """Table-wide statistics that features need.
 
-A profile holds six moments and three small count tables. It is fitted in one pass with
-grouping sets; partial aggregation reduces each input split to its distinct keys. A profile
-fitted earlier ("frozen") serves new batches and streams.
+A profile holds six moments and three small count tables. Rows are counted once by all keys
+together; that table is staged and rolled up for each lookup, while the moments are one global
+aggregate. A profile fitted earlier ("frozen") serves new batches and streams.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,28 +18,22 @@ from cargolens.functions.columns import col
 from cargolens.plans.staging import stage
 
 ROUTE = ["Origin_Country", "Destination_Port"]
-BROADCAST_ROWS = 200_000
 _MOMENTS = ["weight", "density", "dwell"]
 
 
 @dataclass
 class Profile:
-    """Moments as plain numbers, counts as DataFrames with their checked row number."""
+    """Moments as plain numbers, counts as staged or stored tables."""
 
     moments: dict[str, float | None]
     routes: DataFrame
     categories: dict[str, DataFrame]
-    rows: dict[str, int] = field(default_factory=dict)
     medians: dict[str, float] = field(default_factory=dict)
     anomaly_bounds: tuple[float, float] | None = None
 
     def lookup(self, name: str) -> DataFrame:
-        """A count table, broadcast only when its counted size allows it.
-
-        Beyond the limit the plain join stays, which AQE splits on hot keys.
-        """
-        table = self.routes if name == "route" else self.categories[name]
-        return F.broadcast(table) if self.rows.get(name, BROADCAST_ROWS + 1) <= BROADCAST_ROWS else table
+        """A count table; Spark broadcasts it only when its files are small enough."""
+        return self.routes if name == "route" else self.categories[name]
 
     def upper(self, name: str, sigmas: float) -> float | None:
         """mean + sigmas * deviation; None when fewer than two rows were seen (T5)."""
@@ -80,7 +73,6 @@ class Profile:
             row,
             routes,
             categories,
-            {"route": routes.count(), **{c: t.count() for c, t in categories.items()}},
             {} if dwell is None else {"Dwell_Time_Hours": dwell},
             None if low is None else (low, high),
         )
@@ -109,53 +101,18 @@ def category_counts(df: DataFrame, name: str) -> DataFrame:
 def fit_profile(
     df: DataFrame, *, staging: Callable[[DataFrame, str], DataFrame] = stage
 ) -> Profile:
-    """Fit all statistics over rows that have weight, value and dwell features, in one pass.
+    """Fit all statistics over rows that have weight, value and dwell features.
 
-    The result has one row per route and category. Up to ``BROADCAST_ROWS`` of them are taken
-    as local rows, so later joins need no scan; a larger result is staged as a table.
+    Two narrow aggregates read the rows: counts by route and categories together, which are staged
+    and rolled up to the lookups, and the moments.
     """
-    spark = df.sparkSession
     categories = [c for c in ENCODED_CATEGORIES if c in df.columns]
-    keys = [*ROUTE, *categories]
-    sets = [ROUTE, *[[c] for c in categories], []]
-    grouped = df.groupingSets([list(map(F.col, s)) for s in sets], *map(F.col, keys)).agg(
-        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("_rows"), *moment_columns()
-    )
-    # grouping_id sets a bit for every key that is left out of the set
-    bit = {k: 1 << (len(keys) - 1 - i) for i, k in enumerate(keys)}
-    everything = sum(bit.values())
-    names = {"route": ROUTE, **{c: [c] for c in categories}}
-    set_id = {n: everything - sum(bit[k] for k in ks) for n, ks in names.items()}
-
-    taken = grouped.limit(BROADCAST_ROWS + 1).collect()
-    small = len(taken) <= BROADCAST_ROWS
-    if not small:
-        grouped = staging(grouped, "profile")
-        taken = grouped.where(F.col("_set") == everything).collect()
-    total = next((r for r in taken if r["_set"] == everything), None)
-    moments = {
-        f"{m}_{s}": None if total is None else total[f"{m}_{s}"]
-        for m in _MOMENTS
-        for s in ("mean", "std")
-    }
-
-    tables, rows = {}, {}
-    for name, ks in names.items():
-        counted = "route_rows" if name == "route" else f"{name}_rows"
-        if small:
-            kept = [
-                r
-                for r in taken
-                if r["_set"] == set_id[name] and all(r[k] is not None for k in ks)
-            ]
-            local = {k: pa.array([str(r[k]) for r in kept], pa.string()) for k in ks}
-            local[counted] = pa.array([r["_rows"] for r in kept], pa.int64())
-            tables[name], rows[name] = spark.createDataFrame(pa.table(local)), len(kept)
-        else:
-            tables[name] = (
-                grouped.where(F.col("_set") == set_id[name])
-                .na.drop(subset=ks)
-                .select(*ks, F.col("_rows").alias(counted))
-            )
-            rows[name] = tables[name].count()
-    return Profile(moments, tables.pop("route"), tables, rows)
+    keys = list(dict.fromkeys([*ROUTE, *categories]))
+    counted = staging(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), "profile")
+    moments = df.agg(*moment_columns()).first().asDict()
+
+    def lookup(name: str, ks: list[str]) -> DataFrame:
+        sums = counted.na.drop(subset=ks).groupBy(*ks).agg(F.sum("_rows").alias(f"{name}_rows"))
+        return staging(sums, f"profile-{name}")
+
+    return Profile(moments, lookup("route", ROUTE), {c: lookup(c, [c]) for c in categories})

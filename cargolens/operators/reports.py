@@ -20,6 +20,8 @@ from cargolens.plans.staging import stage
 
 TOP = 8
 PER_PAGE = 20
+#: Parts that the rows of one origin and level are dealt over.
+PEER_SALTS = 64
 
 
 def _count() -> Column:
@@ -39,6 +41,12 @@ def by_score() -> list[Column]:
 # --- A28: predictions beside the declared attributes ------------------------------------
 
 
+_ATTRIBUTES = [
+    "Origin_Country", "Destination_Port", "Declared_Value", "Declared_Weight", "Measured_Weight",
+    "Dwell_Time_Hours", "HS_Code", "Shipping_Line", "Declaration_Date",
+]
+
+
 def attach_attributes(
     predictions: DataFrame,
     raw: DataFrame,
@@ -48,15 +56,17 @@ def attach_attributes(
 ) -> DataFrame:
     """Left-join predictions to raw rows on the trimmed id, with defaults for gaps.
 
-    ``keep="last"`` takes the last raw row of an id in ``order_cols`` (T21). Raw rows are cut to
-    one per id before the shuffle, so the join meets at most one row per key on that side.
-    Without ``order_cols`` the raw table must already be unique, as a cleaned one is.
+    ``keep="last"`` takes the last raw row of an id in ``order_cols`` (T21); without them the
+    order is that of the attributes themselves. Raw rows are cut to one per trimmed id before the
+    shuffle, so the join meets at most one row per key on that side and repeats no prediction.
+    Raw ids may stand in Container_ID, container_id or id; the first that is not NULL counts.
     """
-    raw = raw.withColumn("Container_ID", F.trim(col("Container_ID").cast("string")))
+    names = [c for c in ("Container_ID", "container_id", "id") if c in raw.columns]
+    found = F.trim(F.coalesce(*[col(c).cast("string") for c in names]))
+    raw = raw.withColumn("_key", found).drop(*names).withColumnRenamed("_key", "Container_ID")
     raw = raw.where(col("Container_ID") != "")
-    if order_cols:
-        order = [col(c) for c in order_cols]
-        raw = remove_duplicates(raw, [c.desc() for c in order] if keep == "last" else order)
+    order = [col(c) for c in order_cols or [c for c in _ATTRIBUTES if c in raw.columns]]
+    raw = remove_duplicates(raw, [c.desc() for c in order] if keep == "last" else order)
     has = set(raw.columns)
 
     def text(name: str, default: str) -> Column:
@@ -127,30 +137,6 @@ def group_by_level(df: DataFrame) -> DataFrame:
     )
 
 
-def group_records(df: DataFrame, max_rows: int) -> DataFrame:
-    """One row with a map from level to its records, for a result known to be small (A1).
-
-    Raises instead of cutting when the table has more than ``max_rows`` rows.
-    """
-    found = df.limit(max_rows + 1).count()
-    if found > max_rows:
-        raise ValueError(f"more than {max_rows} rows: write them by level instead")
-    records = df.groupBy("level").agg(F.collect_list(F.struct(*df.columns)).alias("records"))
-    empty = F.array().cast(dict(records.dtypes)["records"])
-    spine = level_spine(df).join(records, "level", "left")
-    ordered = F.array_sort(
-        F.coalesce("records", empty),
-        lambda a, b: F.when(a["score"] > b["score"], -1)
-        .when(a["score"] < b["score"], 1)
-        .when(a["id"] < b["id"], -1)
-        .when(a["id"] > b["id"], 1)
-        .otherwise(0),
-    )
-    return spine.agg(
-        F.map_from_entries(F.collect_list(F.struct("level", ordered))).alias("risk_groups")
-    )
-
-
 def _level_counts() -> list[Column]:
     return [F.count_if(col("level") == v).alias(v.lower()) for v in K.LEVELS]
 
@@ -395,7 +381,9 @@ def peers_all(df: DataFrame, top: int = 5) -> DataFrame:
     """Peers of every container above Low.
 
     The first ``top + 1`` rows of each origin and level are ranked; the rank limit cuts each
-    group before the shuffle. A row then meets only those, never its whole group.
+    group before the shuffle. A row then meets only those, never its whole group. A group's list is
+    copied to ``PEER_SALTS`` salts and rows pick one by a hash of their id, so the rows of a hot
+    group are dealt over that many tasks.
     """
     risky = df.where(col("level") != "Low")
     place = F.row_number().over(Window.partitionBy("origin", "level").orderBy(*by_score()))
@@ -409,7 +397,9 @@ def peers_all(df: DataFrame, top: int = 5) -> DataFrame:
     lists = heads.groupBy("origin", "level").agg(
         F.sort_array(F.collect_list(F.struct("place", "peer_id"))).alias("heads")
     )
-    joined = risky.select("id", "origin", "level").join(lists, ["origin", "level"])
+    salts = F.explode(F.sequence(F.lit(0), F.lit(PEER_SALTS - 1))).alias("salt")
+    dealt = risky.select("id", "origin", "level", F.pmod(F.hash("id"), F.lit(PEER_SALTS)).alias("salt"))
+    joined = dealt.join(lists.select("*", salts), ["origin", "level", "salt"])
     others = F.slice(F.filter("heads", lambda h: h["peer_id"] != col("id")), 1, top)
     return joined.select("id", "origin", "level", F.posexplode(others).alias("pos", "peer")).select(
         "id", "origin", "level", (col("pos") + 1).alias("place"), "peer.peer_id"

@@ -1,13 +1,12 @@
 """Tables that several registered queries share, derived from the driver's tables.
 
 Staged tables are kept for the life of a session and re-used while the input files are
-unchanged (same names, sizes and times). Inputs outside the local file system are never re-used.
+unchanged (same names, sizes and times), whatever file system holds them.
 Call ``forget`` before ``release``, which deletes staged tables.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,18 +29,16 @@ def forget() -> None:
     _kept.clear()
 
 
-def _files(sf_dir: str) -> tuple | None:
-    if not os.path.isdir(sf_dir):
-        return None
-    entries = sorted(os.scandir(sf_dir), key=lambda e: e.name)
-    return tuple((e.name, e.stat().st_size, e.stat().st_mtime_ns) for e in entries)
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the input files, from whatever file system holds them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(folder)]
+    return tuple(sorted(found))
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
-    files = _files(sf_dir)
-    if files is None:
-        return make()
-    key = (spark.sparkContext.applicationId, sf_dir, files, name)
+    key = (spark.sparkContext.applicationId, sf_dir, _files(spark, sf_dir), name)
     if key not in _kept:
         _kept[key] = make()
     return _kept[key]
@@ -108,9 +105,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trained(spark: SparkSession, sf_dir: str, **options) -> TrainedRun:
-    """A model trained on the whole table with few boosting rounds."""
-    settings = {"max_iter": 5, **options}
-    name = "trained" + repr(sorted(settings.items()))
+    """A model trained on the whole table with the job's own settings, labelled for retraining."""
+    name = "trained" + repr(sorted(options.items()))
     return _once(
-        spark, sf_dir, name, lambda: train_model(shipments(spark, sf_dir), ORDER, **settings)
+        spark, sf_dir, name, lambda: train_model(shipments(spark, sf_dir), ORDER, rules="retrain", **options)
     )

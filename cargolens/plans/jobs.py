@@ -36,7 +36,7 @@ from cargolens.operators.models import RiskModel, predict_scores, train
 from cargolens.operators.profile import Profile, fit_profile
 from cargolens.operators.scoring import blend_weights, score_rows, to_predictions
 from cargolens.plans.staging import Staging, stage
-from cargolens.sources.csv import INGEST_ORDER, from_records, read_uploaded_csv, rename_history
+from cargolens.sources.csv import INGEST_COLUMNS, from_records, read_uploaded_csv, rename_history
 from cargolens.sources.sinks import write_csv, write_report_json
 from cargolens.sources.store import BatchStore, ModelStore
 
@@ -49,7 +49,7 @@ def prepare_history(df: DataFrame, label: str = "is_risky") -> DataFrame:
 def prepare_files(spark: SparkSession, source: str, target: str) -> None:
     """J1 from CSV files to a CSV folder."""
     labelled = prepare_history(read_uploaded_csv(spark, source))
-    write_csv(labelled.drop(*INGEST_ORDER), target)
+    write_csv(labelled.drop(*INGEST_COLUMNS), target)
 
 
 def _labelled(features: DataFrame, label: str, rules: str) -> tuple[DataFrame, str]:
@@ -119,10 +119,26 @@ def _report_row(report: dict):
     return row(report)
 
 
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def _both_scores(
+    features: DataFrame,
+    model: RiskModel | Scorer,
+    bounds: tuple[float, float] | None,
+    keep: Sequence[str],
+    staging: Callable[[DataFrame, str], DataFrame] = stage,
+) -> DataFrame:
+    """Classifier and anomaly score from a trained model, or from a function that adds both."""
+    if isinstance(model, RiskModel):
+        return predict_scores(features, model, bounds, keep=keep, staging=staging)
+    return model(features).select(*keep, "classifier_score", "anomaly_score")
+
+
 def score_table(
     df: DataFrame,
     order_cols: Sequence,
-    model: RiskModel,
+    model: RiskModel | Scorer,
     store: BatchStore,
     *,
     profile: Profile | None = None,
@@ -132,7 +148,8 @@ def score_table(
     """Clean and score a table and store the batch; returns the batch id.
 
     Without a profile the statistics are those of this batch. Cleaned rows and predictions are
-    written once each, and everything behind them reads those tables.
+    written once each, and everything behind them reads those tables. ``model`` may also be a
+    function that adds classifier_score and anomaly_score to feature rows.
     """
     batch_id = batch_id or uuid.uuid4().hex[:8]
     bounds = profile.anomaly_bounds if profile else None
@@ -143,7 +160,7 @@ def score_table(
         cleaned = store.cleaned(batch_id)
         features = engineer_features(cleaned, profile, staging=staging)
         keep = [c for c in ("Container_ID", "ingest_seq") if c in features.columns]
-        both = predict_scores(features, model, bounds, keep=[*keep, *INPUTS], staging=staging)
+        both = _both_scores(features, model, bounds, [*keep, *INPUTS], staging)
         scored = score_rows(both, weights)
         store.write_predictions(to_predictions(scored), batch_id)
     stored = store.predictions(batch_id).select(
@@ -157,7 +174,7 @@ def score_table(
 def evaluate(
     df: DataFrame,
     order_cols: Sequence,
-    model: RiskModel,
+    model: RiskModel | Scorer,
     *,
     label: str = "is_risky",
     threshold: float = 0.5,
@@ -177,7 +194,7 @@ def evaluate(
         "cleaned",
     )
     features = engineer_features(cleaned, staging=staging)
-    both = predict_scores(features, model, keep=["Container_ID", "label"], staging=staging)
+    both = _both_scores(features, model, None, ["Container_ID", "label"], staging)
     scored = score_rows(both, weights)
     report = evaluation_report(labelled, scored, threshold=threshold, staging=staging)
     rows = evaluation_rows(predict_at(scored, threshold))
@@ -207,28 +224,41 @@ def report_tables(scored: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def score_records(
-    spark: SparkSession,
-    records: Sequence[dict],
-    model: RiskModel,
+def score_rows_of(
+    rows: DataFrame,
+    order_cols: Sequence,
+    model: RiskModel | Scorer,
     *,
     profile: Profile | None = None,
     weights: tuple[float, float] | None = None,
 ) -> DataFrame:
-    """Score a few records from the driver.
-
-    Without a profile, statistics come from these records alone, as T11 and T13 describe.
-    """
-    rows = standardize(from_records(spark, records))
-    medians = (profile.medians if profile else None) or clean_medians(rows, ["ingest_seq"])
-    cleaned = clean(rows, ["ingest_seq"], strict=False, medians=medians)
+    """Score standardised rows with the statistics of a profile, or their own."""
+    medians = (profile.medians if profile else None) or clean_medians(rows, order_cols)
+    cleaned = clean(rows, order_cols, strict=False, medians=medians)
     if cleaned.limit(1).count() == 0:
         raise ValueError("no record is valid after cleaning")
     features = engineer_features(cleaned, profile)
     bounds = profile.anomaly_bounds if profile else None
-    scored = score_rows(predict_scores(features, model, bounds), weights)
+    keep = [c for c in ("Container_ID", "ingest_seq") if c in features.columns]
+    scored = score_rows(_both_scores(features, model, bounds, [*keep, *INPUTS]), weights)
     return to_predictions(scored).select(
         F.coalesce("container_id", F.lit("UNKNOWN")).alias("container_id"),
         "risk_score", "risk_level", col("explanation_summary").alias("explanation"),
         "classifier_score", "anomaly_score",
     )
+
+
+def score_records(
+    spark: SparkSession,
+    records: Sequence[dict],
+    model: RiskModel | Scorer,
+    *,
+    profile: Profile | None = None,
+    weights: tuple[float, float] | None = None,
+) -> DataFrame:
+    """Score a few records from the driver.
+
+    Without a profile, statistics come from these records alone, as T11 and T13 describe.
+    """
+    rows = standardize(from_records(spark, records))
+    return score_rows_of(rows, ["ingest_seq"], model, profile=profile, weights=weights)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +16,11 @@ from cargolens import constants as K
 from cargolens.functions.columns import col, to_double
 from cargolens.operators import cleaning, explain, labels, metrics, models, profile, reports, scoring
 from cargolens.operators import features as feature_ops
-from cargolens.operators.forest import fit_forest, isolation_score, scaled_anomaly, score_bounds
+from cargolens.operators.forest import fit_forest, isolation_score, max_depth, scaled_anomaly, score_bounds
 from cargolens.plans import derived, jobs
 from cargolens.plans.oracle import STEPS, sql
 from cargolens.plans.staging import stage, stage_path
-from cargolens.plans.testtables import ORDER, rule_scores, shipments
+from cargolens.plans.testtables import ORDER, rule_columns, rule_scores, shipments
 from cargolens.schema import missing_fields, normalize_columns
 from cargolens.sources import csv as csv_source
 from cargolens.sources import sinks
@@ -42,6 +43,22 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+_CELLS = ["true_negative", "false_positive", "false_negative", "true_positive"]
+#: The draw of the train/test split and of the label guard, in SQL.
+_DRAW_SQL = "CAST('0x' || substr(md5(Container_ID || ':42'), 1, 15) AS BIGINT)"
+_PART_SQL = f"CASE WHEN {_DRAW_SQL} / CAST(1152921504606846976 AS DOUBLE) < 0.2 THEN 'test' ELSE 'train' END"
+_RETRAIN_SQL = (
+    "CAST(abs(weight_diff_pct) > 20 OR flag_high_value_density = 1"
+    " OR origin_country_risk = 2 OR dest_country_risk = 2 OR flag_excessive_dwell = 1 AS INT)"
+)
+
+
+#: Rows and labels on each side of the split: what a fit's report must agree with.
+_SIDES_SQL = f"""count(*) FILTER (WHERE {_PART_SQL} = 'train') AS train_rows,
+  count(*) FILTER (WHERE {_PART_SQL} = 'test') AS test_rows,
+  count(*) FILTER (WHERE {_PART_SQL} = 'test' AND {_RETRAIN_SQL} = 1) AS test_risky"""
+
+
 # --- output helpers ---------------------------------------------------------------------
 
 
@@ -227,17 +244,25 @@ def s11(spark, sf_dir):
     return rounded(csv_source.read_scored_csv(spark, path))
 
 
-@query("s12_training_report")
+@query(
+    "s12_training_report",
+    sql("feats", f"""SELECT 'heuristic_generated' AS label_column, count(*) AS rows_after_cleaning,
+  CAST({len(K.FEATURES)} AS BIGINT) AS feature_count, 0.7 AS classifier_weight, 0.3 AS anomaly_weight, {_SIDES_SQL} FROM feats"""),
+)
 def s12(spark, sf_dir):
     path = stage_path(spark, "s12")
     run = derived.trained(spark, sf_dir)
     sinks.write_report_json(spark.createDataFrame([jobs._report_row(run.report)]), path)
     report = spark.read.json(path)
-    return report.select("label_column", "rows_after_cleaning", "feature_count",
-                         col("risk_scorer_weights")["classifier_weight"].alias("classifier_weight"))
+    found, blend = col("validation_metrics"), col("risk_scorer_weights")
+    risky = F.filter(found["report"], lambda x: x["class"] == "1")[0]["support"]
+    return rounded(report.select(
+        "label_column", "rows_after_cleaning", "feature_count",
+        blend["classifier_weight"].alias("classifier_weight"), blend["anomaly_weight"].alias("anomaly_weight"),
+        found["train_size"].alias("train_rows"), found["test_size"].alias("test_rows"), risky.alias("test_risky"),
+    ))
 
 
-_CELLS = ["true_negative", "false_positive", "false_negative", "true_positive"]
 _CELLS_SQL = """count(*) FILTER (WHERE label = 0 AND prediction = 0) AS true_negative,
   count(*) FILTER (WHERE label = 0 AND prediction = 1) AS false_positive,
   count(*) FILTER (WHERE label = 1 AND prediction = 0) AS false_negative,
@@ -256,11 +281,6 @@ _METRIC_SQL = """round((true_positive + true_negative) / CAST(true_positive + tr
   round(2 * true_positive / CAST(2 * true_positive + false_positive + false_negative AS DOUBLE), 6) AS f1_score"""
 
 
-def _report(spark, sf_dir) -> DataFrame:
-    rows = derived.judged(spark, sf_dir)
-    return metrics.evaluation_report(rows, rows)
-
-
 def _flat_report(report: DataFrame) -> DataFrame:
     flat = report.select(
         "total_rows", "rows_with_valid_labels", "rows_without_valid_labels", "rows_after_cleaning",
@@ -270,34 +290,33 @@ def _flat_report(report: DataFrame) -> DataFrame:
     return rounded(flat)
 
 
-_FLAT_REPORT_SQL = sql(
-    "judged",
-    f"""SELECT (SELECT count(*) FROM judged) AS total_rows, (SELECT count(*) FROM judged) AS rows_with_valid_labels,
-  CAST(0 AS BIGINT) AS rows_without_valid_labels, (SELECT count(*) FROM judged) AS rows_after_cleaning,
-  {_METRIC_SQL}, round((SELECT roc_auc FROM auc), 6) AS roc_auc, {', '.join(_CELLS)} FROM cells""",
-    *_AUC_STEPS,
+@query(
+    "s14_model_store",
+    sql("cleaned", "SELECT Container_ID, TRUE AS in_range, TRUE AS same_classifier, TRUE AS same_anomaly FROM cleaned"),
 )
-
-
-@query("s13_evaluation_json", _FLAT_REPORT_SQL)
-def s13(spark, sf_dir):
-    path = stage_path(spark, "s13")
-    sinks.write_report_json(_report(spark, sf_dir), path)
-    return _flat_report(spark.read.json(path))
-
-
-@query("s14_model_store")
 def s14(spark, sf_dir):
     store = ModelStore(spark, stage_path(spark, "models"))
     run = derived.trained(spark, sf_dir)
     store.save(run.model, run.profile)
     model, frozen = store.load()
-    rows = feature_ops.engineer_features(derived.cleaned(spark, sf_dir), frozen)
-    scored = models.predict_scores(rows, model, frozen.anomaly_bounds)
-    return rounded(scored.select("Container_ID", "classifier_score", "anomaly_score"))
+    rows = derived.cleaned(spark, sf_dir)
+    names = ["Container_ID", "classifier_score", "anomaly_score"]
+    stored = models.predict_scores(feature_ops.engineer_features(rows, frozen), model, frozen.anomaly_bounds)
+    own = models.predict_scores(
+        feature_ops.engineer_features(rows, run.profile), run.model, run.profile.anomaly_bounds
+    ).select("Container_ID", col("classifier_score").alias("c"), col("anomaly_score").alias("a"))
+    return stored.select(*names).join(own, "Container_ID").select(
+        "Container_ID",
+        (col("classifier_score").between(0, 1) & col("anomaly_score").between(0, 1)).alias("in_range"),
+        (F.abs(col("classifier_score") - col("c")) < 1e-12).alias("same_classifier"),
+        (F.abs(col("anomaly_score") - col("a")) < 1e-12).alias("same_anomaly"),
+    )
 
 
-@query("s15_model_runs")
+@query(
+    "s15_model_runs",
+    "SELECT CAST(3 AS BIGINT) AS pointers, CAST(2 AS BIGINT) AS runs, 1 AS has_first, 1 AS has_second, 1 AS loads_first",
+)
 def s15(spark, sf_dir):
     store = ModelStore(spark, stage_path(spark, "models"))
     run = derived.trained(spark, sf_dir)
@@ -310,6 +329,7 @@ def s15(spark, sf_dir):
         F.count_distinct("run_id").alias("runs"),
         F.max((col("run_id") == first).cast("int")).alias("has_first"),
         F.max((col("run_id") == second).cast("int")).alias("has_second"),
+        F.max_by((col("run_id") == first).cast("int"), "since").alias("loads_first"),
     )
 
 
@@ -587,18 +607,21 @@ def l4(spark, sf_dir):
     return labels.label_retrain(derived.features(spark, sf_dir)).select("Container_ID", "is_risky")
 
 
+_L5_WORDS = (
+    "CASE doc_id % 12 WHEN 0 THEN source WHEN 1 THEN ' Very HIGH ' WHEN 2 THEN 'Low-ish' WHEN 3 THEN 'CLEARED'"
+    " WHEN 4 THEN 'fraud' WHEN 5 THEN '1' WHEN 6 THEN '1.0' WHEN 7 THEN '0.0' WHEN 8 THEN '2' WHEN 9 THEN '-1'"
+    " WHEN 10 THEN '0' END"
+)
+
+
 @query(
     "l5_normalize_labels",
-    "WITH t AS (SELECT doc_id, lower(trim(w)) AS t FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN source"
-    " WHEN 1 THEN ' Very HIGH ' WHEN 2 THEN 'Low-ish' WHEN 3 THEN 'CLEARED' WHEN 4 THEN 'fraud' WHEN 5 THEN '1'"
-    " END AS w FROM documents)) SELECT doc_id, " + _L5_SQL + " AS label FROM t",
+    f"WITH t AS (SELECT doc_id, lower(trim(w)) AS t FROM (SELECT doc_id, {_L5_WORDS} AS w FROM documents))"
+    " SELECT doc_id, CASE WHEN NOT isnan(TRY_CAST(t AS DOUBLE)) THEN CAST(TRY_CAST(t AS DOUBLE) > 0 AS INT)"
+    " ELSE " + _L5_SQL + " END AS label FROM t",
 )
 def l5(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(
-        "doc_id",
-        "CASE doc_id % 7 WHEN 0 THEN source WHEN 1 THEN ' Very HIGH ' WHEN 2 THEN 'Low-ish' WHEN 3 THEN 'CLEARED'"
-        " WHEN 4 THEN 'fraud' WHEN 5 THEN '1' END AS w",
-    )
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"{_L5_WORDS} AS w")
     return labels.normalize_labels(docs, "w").select("doc_id", "label")
 
 
@@ -612,21 +635,27 @@ def l5_numbers(spark, sf_dir):
 
 @query(
     "l6_numeric_coercion",
-    "SELECT event_id, CAST(coalesce(trunc(CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END), 0) AS INT) AS label"
+    "SELECT event_id, CAST(coalesce(trunc(CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 3e10 ELSE value END), 0)"
+    " AS BIGINT) AS label"
     " FROM events",
 )
 def l6(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn(
-        "text", F.when(col("event_id") % 5 == 0, F.lit("none")).otherwise(col("value").cast("string"))
+        "text", F.when(col("event_id") % 5 == 0, F.lit("none"))
+        .when(col("event_id") % 5 == 1, F.lit("3e10"))
+        .otherwise(col("value").cast("string")),
     )
     return labels.numeric_labels(events, "text").select("event_id", "label")
 
 
-@query("l7_single_class_guard", sql("cleaned", "SELECT count(*) AS n, greatest(count(*) // 10, 1) AS flipped FROM cleaned"))
+@query(
+    "l7_single_class_guard",
+    sql("cleaned", f"""SELECT Container_ID, CAST(row_number() OVER (ORDER BY {_DRAW_SQL})
+  <= (SELECT greatest(count(*) // 10, 1) FROM cleaned) AS INT) AS label FROM cleaned"""),
+)
 def l7(spark, sf_dir):
     rows = derived.cleaned(spark, sf_dir).select("Container_ID", F.lit(0).alias("label"))
-    out = labels.guard_single_class(rows, "label")
-    return out.agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("flipped"))
+    return labels.guard_single_class(rows, "label").select("Container_ID", "label")
 
 
 @query("l8_class_distribution", sql("judged", "SELECT label, count(*) AS n FROM judged GROUP BY 1"))
@@ -679,30 +708,23 @@ def m1(spark, sf_dir):
     return matrix.agg(*[F.round(F.sum(c), 2).alias(c) for c in K.FEATURES])
 
 
-@query("m2_split")
+@query("m2_split", sql("judged", f"SELECT Container_ID, label, {_PART_SQL} AS part FROM judged"))
 def m2(spark, sf_dir):
-    rows = derived.judged(spark, sf_dir)
-    train_rows, test_rows = models.split(rows)
+    train_rows, test_rows = models.split(derived.judged(spark, sf_dir))
     tagged = train_rows.withColumn("part", F.lit("train")).unionByName(test_rows.withColumn("part", F.lit("test")))
-    return tagged.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"))
+    return tagged.select("Container_ID", "label", "part")
 
 
 @query(
     "m3_scaler",
-    sql("feats", "SELECT round(avg(value_per_kg), 4) AS mean_density, round(stddev_samp(value_per_kg), 4) AS std_density,"
-        " round(avg(weight_diff), 4) AS mean_gap, round(stddev_samp(weight_diff), 4) AS std_gap FROM feats"),
+    sql("feats", " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(avg(CAST({c} AS DOUBLE)), 4) AS mean, round(stddev_pop(CAST({c} AS DOUBLE)), 4)"
+        f" AS deviation FROM feats WHERE {_PART_SQL} = 'train'" for c in K.FEATURES)),
 )
 def m3(spark, sf_dir):
-    from pyspark.ml.feature import VectorAssembler
-
-    names = ["value_per_kg", "weight_diff"]
-    rows = VectorAssembler(inputCols=names, outputCol="assembled").transform(
-        derived.features(spark, sf_dir).select(*names)
-    )
-    fitted = models.scaler().fit(rows)
-    values = [float(v) for pair in zip(fitted.mean, fitted.std) for v in pair]
-    names = ["mean_density", "std_density", "mean_gap", "std_gap"]
-    return rows.limit(1).select(*[F.round(F.lit(v), 4).alias(n) for v, n in zip(values, names)])
+    matrix = models.feature_matrix(derived.features(spark, sf_dir))
+    train_rows, _ = models.split(matrix)
+    return rounded(models.scale_table(train_rows, K.FEATURES), 4)
 
 
 @query(
@@ -715,21 +737,36 @@ def m4(spark, sf_dir):
     return weighted.groupBy("label").agg(F.round(F.max("class_weight"), 6).alias("weight"))
 
 
-def _stats_row(spark, stats: dict) -> DataFrame:
-    keys = ["accuracy", "precision", "recall", "f1_score", "auc"]
-    return spark.createDataFrame([tuple(float(stats[k]) for k in keys)], ", ".join(f"{k} double" for k in keys))
+def _fit_row(spark, stats: dict) -> DataFrame:
+    """Sizes of both sides and checks of the measured figures."""
+    support = {row["class"]: row["support"] for row in stats["report"]}
+    cells = sum(stats[c] for c in _CELLS)
+    shares = all(0 <= stats[k] <= 1 for k in ("accuracy", "precision", "recall", "f1_score", "auc"))
+    return spark.createDataFrame(
+        [(stats["train_size"], stats["test_size"], support["1"], cells == stats["test_size"], shares, stats["auc"] > 0.8)],
+        "train_rows long, test_rows long, test_risky long, cells_add_up boolean, shares_in_range boolean,"
+        " better_than_chance boolean",
+    )
+
+
+_FIT_SQL = sql("feats", f"SELECT {_SIDES_SQL}, TRUE AS cells_add_up, TRUE AS shares_in_range, TRUE AS better_than_chance FROM feats")
 
 
-@query("m5_boosted_trees")
+@query("m5_boosted_trees", _FIT_SQL)
 def m5(spark, sf_dir):
-    return rounded(_stats_row(spark, derived.trained(spark, sf_dir).model.stats))
+    return _fit_row(spark, derived.trained(spark, sf_dir).model.stats)
 
 
-@query("m6_logistic")
+@query(
+    "m6_logistic",
+    sql("feats", f"SELECT {_SIDES_SQL}, TRUE AS cells_add_up, TRUE AS shares_in_range, TRUE AS better_than_chance,"
+        " TRUE AS loss_falls FROM feats"),
+)
 def m6(spark, sf_dir):
-    run = derived.trained(spark, sf_dir, use_logistic=True, max_iter=50)
+    run = derived.trained(spark, sf_dir, use_logistic=True)
     losses = models.loss_history(run.model.classifier)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(losses)], "iteration int, loss double")
+    falls = losses[-1] < losses[0] and all(b <= a + 1e-9 for a, b in zip(losses, losses[1:]))
+    return _fit_row(spark, run.model.stats).withColumn("loss_falls", F.lit(falls))
 
 
 @query(
@@ -740,25 +777,51 @@ def m7(spark, sf_dir):
     return rounded(metrics.cross_entropy(derived.judged(spark, sf_dir), "label", "score"))
 
 
-@query("m8_isolation_forest")
+@query(
+    "m8_isolation_forest",
+    "SELECT CAST(i AS INTEGER) AS tree, TRUE AS binary_tree, TRUE AS within_depth, TRUE AS rows_add_up FROM range(100) t(i)",
+)
 def m8(spark, sf_dir):
     rows = derived.features(spark, sf_dir)
     forest = fit_forest(rows, feature_ops.available_features(rows))
-    return rounded(forest.nodes)
+    leaf = col("feature") < 0
+    return forest.nodes.groupBy("tree").agg(
+        (F.count_if(leaf) == F.count_if(~leaf) + 1).alias("binary_tree"),
+        (F.max(F.when(leaf, col("depth"))) <= max_depth(forest.sample)).alias("within_depth"),
+        (F.sum(F.when(leaf, col("size"))) == forest.sample).alias("rows_add_up"),
+    )
 
 
-@query("m9_anomaly_scores")
+@query(
+    "m9_anomaly_scores",
+    sql("cleaned", "SELECT Container_ID, TRUE AS in_range, TRUE AS low_is_0, TRUE AS high_is_1 FROM cleaned"),
+)
 def m9(spark, sf_dir):
-    forest = derived.trained(spark, sf_dir).model.forest
-    raw = stage(derived.features(spark, sf_dir).select("Container_ID", isolation_score(forest).alias("isolation")))
-    bounds = score_bounds(raw)
-    return rounded(raw.select("Container_ID", scaled_anomaly(col("isolation"), bounds).alias("anomaly_score")))
+    rows = derived.features(spark, sf_dir)
+    forest = fit_forest(rows, feature_ops.available_features(rows))
+    raw = stage(rows.select("Container_ID", isolation_score(forest).alias("isolation")))
+    scored = raw.select("Container_ID", scaled_anomaly(col("isolation"), score_bounds(raw)).alias("s"))
+    low, high = scored.agg(F.min("s")).scalar(), scored.agg(F.max("s")).scalar()
+    return scored.select(
+        "Container_ID",
+        col("s").between(0, 1).alias("in_range"),
+        (low < 1e-6).alias("low_is_0"),
+        (high == 1).alias("high_is_1"),
+    )
 
 
-@query("m10_classifier_scores")
+@query("m10_classifier_scores", sql("cleaned", "SELECT Container_ID, TRUE AS in_range, TRUE AS agrees FROM cleaned"))
 def m10(spark, sf_dir):
-    scored = models.classifier_scores(derived.features(spark, sf_dir), derived.trained(spark, sf_dir).model)
-    return rounded(scored.select("Container_ID", "classifier_score"))
+    model = derived.trained(spark, sf_dir).model
+    scored = models.classifier_scores(derived.features(spark, sf_dir), model)
+    odds = vector_to_array(col("rawPrediction"))
+    again = model.classifier.transform(models.feature_matrix(derived.features(spark, sf_dir), model.features))
+    again = again.select("Container_ID", (1 / (1 + F.exp(-2 * odds[1]))).alias("expected"))
+    return scored.join(again, "Container_ID").select(
+        "Container_ID",
+        col("classifier_score").between(0, 1).alias("in_range"),
+        (F.abs(col("classifier_score") - col("expected")) < 1e-9).alias("agrees"),
+    )
 
 
 @query("m11_validation_metrics", sql("judged", f"SELECT {_METRIC_SQL}, {', '.join(_CELLS)} FROM cells", *_AUC_STEPS))
@@ -793,11 +856,6 @@ def m13(spark, sf_dir):
     return rounded(metrics.roc_auc(derived.judged(spark, sf_dir)))
 
 
-@query("m14_evaluate", _FLAT_REPORT_SQL)
-def m14(spark, sf_dir):
-    return _flat_report(_report(spark, sf_dir))
-
-
 @query(
     "m15_evaluation_rows",
     sql("judged", "SELECT Container_ID AS container_id, label AS actual_label, prediction AS predicted_label,"
@@ -852,11 +910,11 @@ def r5(spark, sf_dir):
     return rounded(derived.predictions(spark, sf_dir).select("container_id", "risk_score"))
 
 
-@query("r6_batch_predict")
+@query("r6_batch_predict", sql("explained", PREDICTION_SQL))
 def r6(spark, sf_dir):
-    model = derived.trained(spark, sf_dir).model
-    features = feature_ops.engineer_features(derived.cleaned(spark, sf_dir))
-    return rounded(scoring.to_predictions(scoring.score_rows(models.predict_scores(features, model))))
+    store = BatchStore(spark, stage_path(spark, "batches"))
+    batch = jobs.score_table(shipments(spark, sf_dir), ORDER, rule_columns, store)
+    return rounded(store.predictions(batch))
 
 
 # --- X: explanations --------------------------------------------------------------------
@@ -1209,24 +1267,65 @@ def j1(spark, sf_dir):
     return rows.groupBy("Container_ID", "is_risky").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j2_train")
+@query("j2_train", _FIT_SQL)
 def j2(spark, sf_dir):
-    run = derived.trained(spark, sf_dir, rules="retrain")
-    return _stats_row(spark, run.model.stats)
+    store = ModelStore(spark, stage_path(spark, "models"))
+    run = derived.trained(spark, sf_dir)
+    store.save(run.model, run.profile)
+    model, _ = store.load()
+    return _fit_row(spark, {**run.model.stats, **model.stats})
 
 
-@query("j3_score_batch")
+@query("j3_score_batch", sql("explained", PREDICTION_SQL))
 def j3(spark, sf_dir):
     store = BatchStore(spark, stage_path(spark, "batches"))
-    batch = jobs.score_table(shipments(spark, sf_dir), ORDER, derived.trained(spark, sf_dir).model, store)
-    return rounded(store.predictions(batch).select("container_id", "risk_score", "risk_level", "explanation_summary"))
+    fitted = profile.fit_profile(feature_ops.with_measures(derived.cleaned(spark, sf_dir)))
+    batch = jobs.score_table(shipments(spark, sf_dir), ORDER, rule_columns, store, profile=fitted)
+    return rounded(store.predictions(batch))
+
+
+#: Scored rows of the shipments whose status is a readable label, with row counts of the input.
+_STATUS_STEPS = sql("judged", "").replace(
+    "ships AS (", "received AS (", 1
+).replace(
+    "ranked AS (",
+    "marked AS (SELECT *, " + _L5_SQL.replace("t IN", "lower(trim(Clearance_Status)) IN").replace(
+        "contains(t,", "contains(lower(trim(Clearance_Status)),"
+    ) + " AS status FROM received),\nships AS (SELECT * FROM marked WHERE status IS NOT NULL),\nranked AS (",
+    1,
+).rstrip()
+_STATUS_REPORT_SQL = (
+    _STATUS_STEPS
+    + ", cells0 AS (SELECT *, status AS truth FROM judged),\n"
+    + ",\n".join(f"{n} AS ({body.replace('label', 'truth').replace('FROM judged', 'FROM cells0')})" for n, body in _AUC_STEPS)
+    + f"""
+SELECT (SELECT count(*) FROM received) AS total_rows, (SELECT count(*) FROM ships) AS rows_with_valid_labels,
+  (SELECT count(*) FROM marked WHERE status IS NULL) AS rows_without_valid_labels,
+  (SELECT count(*) FROM judged) AS rows_after_cleaning, {_METRIC_SQL}, round((SELECT roc_auc FROM auc), 6) AS roc_auc,
+  {', '.join(_CELLS)} FROM cells"""
+)
+
+
+def _status_report(spark, sf_dir) -> DataFrame:
+    report, _ = jobs.evaluate(shipments(spark, sf_dir), ORDER, rule_columns, label="Clearance_Status")
+    return report
+
+
+@query("m14_evaluate", _STATUS_REPORT_SQL)
+def m14(spark, sf_dir):
+    return _flat_report(_status_report(spark, sf_dir))
+
 
+@query("s13_evaluation_json", _STATUS_REPORT_SQL)
+def s13(spark, sf_dir):
+    path = stage_path(spark, "s13")
+    sinks.write_report_json(_status_report(spark, sf_dir), path)
+    return _flat_report(spark.read.json(path))
 
-@query("j4_evaluate")
+
+@query("j4_evaluate", _STATUS_REPORT_SQL)
 def j4(spark, sf_dir):
-    run = derived.trained(spark, sf_dir)
-    report, _ = jobs.evaluate(shipments(spark, sf_dir), ORDER, run.model, label="Clearance_Status")
-    return _flat_report(report)
+    return _flat_report(_status_report(spark, sf_dir))
 
 
 @query(
@@ -1247,12 +1346,14 @@ def j5(spark, sf_dir):
     return csv_source.union_inputs(parts)
 
 
-@query("j6_frozen_scores")
+@query("j6_frozen_scores", sql("explained", """SELECT Container_ID AS container_id, round(score * 100, 6) AS risk_score,
+  risk_level, explanation_summary AS explanation, round(classifier_score, 6) AS classifier_score,
+  round(anomaly_score, 6) AS anomaly_score FROM explained"""))
 def j6(spark, sf_dir):
-    run = derived.trained(spark, sf_dir)
-    features = feature_ops.engineer_features(derived.cleaned(spark, sf_dir), run.profile)
-    scored = models.predict_scores(features, run.model, run.profile.anomaly_bounds)
-    return rounded(scoring.to_predictions(scoring.score_rows(scored)))
+    rows = derived.unique(spark, sf_dir)
+    fitted = profile.fit_profile(feature_ops.with_measures(derived.cleaned(spark, sf_dir)))
+    fitted.medians = cleaning.unique_medians(rows)
+    return rounded(jobs.score_rows_of(rows, ORDER, rule_columns, profile=fitted))
 
 
 # --- ST: streams ------------------------------------------------------------------------

@@ -6,29 +6,19 @@ costs a re-read instead of a re-computation.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_folder: str | None = None
 _open_paths: list[str] = []
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a private one only for a local session."""
+    """The folder in ``spark.checkpoint.dir``, else one in the warehouse; executors share both."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    global _own_folder
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="cargolens-")
-        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
-    return _own_folder
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

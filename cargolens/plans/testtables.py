@@ -69,7 +69,6 @@ RULE_ANOMALY_SQL = (
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declarations with duplicates, gaps and out-of-range weights, over the whole tables."""
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    tables["lineitem"] = spread(tables["lineitem"], "l_orderkey", "l_partkey", "l_suppkey")
     sql = SHIPMENTS_SQL
     for name in TABLES:
         sql = sql.replace(f"FROM {name}\n", f"FROM {{{name}}}\n")
@@ -77,22 +76,16 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql, **tables)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small input that comes in few splits to all cores.
-
-    An input with at least one split per core is left as it is, so this moves no large table.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+def rule_columns(df: DataFrame) -> DataFrame:
+    """Feature rows with rule-made classifier and anomaly scores."""
+    return df.withColumns(
+        {
+            "classifier_score": F.expr(RULE_CLASSIFIER_SQL),
+            "anomaly_score": F.expr(RULE_ANOMALY_SQL),
+        }
+    )
 
 
 def rule_scores(df: DataFrame) -> DataFrame:
-    """Feature rows with rule-made classifier and anomaly scores, blended and levelled."""
-    return score_rows(
-        df.withColumns(
-            {
-                "classifier_score": F.expr(RULE_CLASSIFIER_SQL),
-                "anomaly_score": F.expr(RULE_ANOMALY_SQL),
-            }
-        )
-    ).withColumn("risk_score", col("score") * 100)
+    """The same, blended and levelled."""
+    return score_rows(rule_columns(df)).withColumn("risk_score", col("score") * 100)

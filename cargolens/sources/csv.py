@@ -11,15 +11,24 @@ import csv
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cargolens.constants import COUNTRY_COLUMNS, HISTORY_RENAMES, NULL_TOKENS, TEXT_NO_EXPLANATION
+from cargolens.constants import (
+    COUNTRY_COLUMNS,
+    EMPTY_FIELDS,
+    HISTORY_RENAMES,
+    LINE_ENDS,
+    NULL_TOKENS,
+    TEXT_NO_EXPLANATION,
+)
 from cargolens.functions.columns import col, to_double
-from cargolens.schema import RAW_SHIPMENT_SCHEMA, SchemaError, normalize_columns
+from cargolens.schema import SchemaError, normalize_columns
 
 INGEST_ORDER = ["ingest_file", "ingest_block", "ingest_seq"]
+SURPLUS = "ingest_surplus"
+INGEST_COLUMNS = [*INGEST_ORDER, SURPLUS]
 
 
 def _ingest_columns() -> list[Column]:
@@ -44,7 +53,7 @@ def blank_tokens(
     cells = []
     for name, kind in df.dtypes:
         missing = [t for t in tokens if t not in keep.get(name, ())]
-        usable = kind == "string" and name not in INGEST_ORDER
+        usable = kind == "string" and name not in INGEST_COLUMNS
         cells.append(F.when(~col(name).isin(missing), col(name)).alias(name) if usable else col(name))
     return df.select(*cells)
 
@@ -81,32 +90,61 @@ def read_uploaded_csv(
     """Defensive scan (S2): BOM, empty fields at line ends, blank lines, unnamed columns.
 
     Lines are cleaned before they are split into fields, so a trailing comma cannot shift the
-    columns. All files of one call share one header; a line that repeats it is skipped. A quoted
-    line break is not supported here, as cleaning works line by line.
+    columns. The first line of each file that is not blank is its header; files with the same header
+    are parsed together, and columns are brought together by name. A row with more fields than its
+    header keeps the first surplus one in ``ingest_surplus``, by which C10 rejects it. A quoted line
+    break is not supported here, as cleaning works line by line.
     """
     lines = spark.read.text(path).select(
         F.regexp_replace(
-            F.regexp_replace("value", "^\ufeff|\r$", ""), r"(,\s*)+$", ""
+            F.regexp_replace("value", LINE_ENDS, ""), EMPTY_FIELDS, ""
         ).alias("line"),
         *_ingest_columns(),
     ).where(F.trim("line") != "")
-    first = lines.where(col("ingest_block") == 0).select("line").first()
-    if first is None:
+    place = F.struct("ingest_block", "ingest_seq")
+    heads = lines.groupBy("ingest_file").agg(
+        F.min(place).alias("_head"), F.min_by("line", place).alias("_header")
+    )
+    headers = sorted(r[0] for r in heads.select("_header").distinct().collect())  # distinct headers
+    if not headers:
         raise SchemaError("the file has no header line")
-    header = first["line"]
+    rows = lines.join(heads, "ingest_file").where(place != col("_head"))
+    parts = [_parsed(rows.where(col("_header") == F.lit(h)), h) for h in headers]
+    df = blank_tokens(drop_blank_unnamed(union_inputs(parts)), null_tokens)
+    own = [c for c in df.columns if c not in INGEST_COLUMNS]
+    df = df.select(*map(col, own), *INGEST_COLUMNS)
+    return whole_number_codes(df) if hs_as_int and "HS_Code" in df.columns else df
+
+
+def _parsed(rows: DataFrame, header: str) -> DataFrame:
+    """Lines of files with one header as columns under their fixed names."""
     names = [
         name if name.strip() else f"Unnamed: {i}" for i, name in enumerate(next(csv.reader([header])))
     ]
-    fields = ", ".join(f"c{i} string" for i in range(len(names)))
-    parsed = lines.where(col("line") != F.lit(header)).select(
-        F.from_csv("line", fields, {"escape": '"'}).alias("f"),
+    fields = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    parsed = rows.select(F.from_csv("line", fields, {"escape": '"'}).alias("f"), *INGEST_ORDER)
+    named = parsed.select(
+        *[F.col(f"f.c{i}").alias(n.replace(".", "_")) for i, n in enumerate(names)],
         *INGEST_ORDER,
+        F.nullif(F.trim(F.col(f"f.c{len(names)}")), F.lit("")).alias(SURPLUS),
+    )
+    return normalize_columns(named)
+
+
+def with_row_numbers(df: DataFrame, name: str = "ingest_row") -> DataFrame:
+    """The place of each row in its file, from 1, headers and blank lines not counted.
+
+    Rows are numbered within their block of the file; blocks are shifted by the rows before them.
+    """
+    block = ["ingest_file", "ingest_block"]
+    before = Window.partitionBy("ingest_file").orderBy("ingest_block").rowsBetween(
+        Window.unboundedPreceding, -1
     )
-    df = parsed.select(
-        *[F.col(f"f.c{i}").alias(n.replace(".", "_")) for i, n in enumerate(names)], *INGEST_ORDER
+    shifts = df.groupBy(*block).agg(F.count(F.lit(1)).alias("_n")).select(
+        *block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
     )
-    df = blank_tokens(drop_blank_unnamed(normalize_columns(df)), null_tokens)
-    return whole_number_codes(df) if hs_as_int and "HS_Code" in df.columns else df
+    own = F.row_number().over(Window.partitionBy(*block).orderBy("ingest_seq"))
+    return df.join(shifts, block).withColumn(name, own + col("_shift")).drop("_shift")
 
 
 def drop_blank_unnamed(df: DataFrame) -> DataFrame:
@@ -143,11 +181,6 @@ def from_records(spark: SparkSession, records: Sequence[dict]) -> DataFrame:
     return blank_tokens(normalize_columns(spark.createDataFrame(rows, schema)))
 
 
-def empty_shipments(spark: SparkSession) -> DataFrame:
-    """An empty raw table with the required columns."""
-    return spark.createDataFrame([], RAW_SHIPMENT_SCHEMA)
-
-
 # --- fixed values: headers of scored files, in the order they are tried ------------------
 SCORED_ALIASES = {
     "id": ["Container_ID", "id"],
@@ -170,7 +203,10 @@ SCORED_NUMBERS = ["score", "value", "dw", "mw", "dwell"]
 
 
 def scored_rows(df: DataFrame) -> DataFrame:
-    """Rows of an already scored file under the report's column names, with defaults."""
+    """Rows of an already scored file under the report's column names, with defaults.
+
+    A row without id is named by ``ingest_row``, its place in its file.
+    """
     out = []
     for name, aliases in SCORED_ALIASES.items():
         found = [F.nullif(F.trim(col(a)), F.lit("")) for a in aliases if a in df.columns]
@@ -178,7 +214,7 @@ def scored_rows(df: DataFrame) -> DataFrame:
         if name in SCORED_NUMBERS:
             out.append(F.coalesce(to_double(text), F.lit(0.0)).alias(name))
         elif name == "id":
-            place = F.concat(F.lit("ROW_"), (col("ingest_seq") + 1).cast("string"))
+            place = F.concat(F.lit("ROW_"), col("ingest_row").cast("string"))
             out.append(F.coalesce(text, place).alias(name))
         else:
             out.append(F.coalesce(text, F.lit(SCORED_DEFAULTS[name])).alias(name))
@@ -187,4 +223,4 @@ def scored_rows(df: DataFrame) -> DataFrame:
 
 def read_scored_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Reader for already scored files."""
-    return scored_rows(read_uploaded_csv(spark, path, null_tokens=[""]))
+    return scored_rows(with_row_numbers(read_uploaded_csv(spark, path, null_tokens=[""])))

@@ -89,11 +89,14 @@ def test_frozen_profile_gives_batch_features(spark, shipments, tmp_path):
     assert sorted(batch.select(names).collect()) == sorted(frozen.select(names).collect())
 
 
-def test_large_profile_is_staged_and_equal(shipments, monkeypatch):
-    expected = sorted(engineer_features(shipments).select("Container_ID", *FEATURES).collect())
-    monkeypatch.setattr("cargolens.operators.profile.BROADCAST_ROWS", 1)
-    big = engineer_features(shipments)
-    assert sorted(big.select("Container_ID", *FEATURES).collect()) == expected
+def test_profile_counts_rows_once(shipments):
+    """No row is multiplied for the lookups: they come from one table of counts."""
+    profile = fit_profile(with_measures(shipments))
+    routes = shipments.na.drop(subset=["Origin_Country", "Destination_Port"])
+    expected = routes.groupBy("Origin_Country", "Destination_Port").count().collect()
+    assert sorted(map(tuple, profile.routes.collect())) == sorted(map(tuple, expected))
+    plan = engineer_features(shipments, profile)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
 
 
 def test_repartitioning_changes_nothing(shipments):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cargolens.constants import FEATURES, LEVELS
 from cargolens.operators import cleaning, models
 from cargolens.operators.features import engineer_features, with_measures
-from cargolens.operators.forest import fit_forest, isolation_score, mean_path, scaled_anomaly
+from cargolens.operators.forest import draw_rows, fit_forest, isolation_score, mean_path, scaled_anomaly
 from cargolens.operators.metrics import cross_entropy
 from cargolens.operators.profile import fit_profile
 from cargolens.operators.scoring import to_predictions
@@ -123,10 +123,16 @@ def test_forest_finds_far_points(points):
     assert scaled.where("NOT (`" + scaled.columns[0] + "` BETWEEN 0 AND 1)").count() == 0
 
 
-def test_forest_pools_large_tables(points, monkeypatch):
-    monkeypatch.setattr("cargolens.operators.forest.POOL", 400)
-    forest = fit_forest(points, ["f0", "f1"], trees=20, sample=64)
-    assert forest.nodes.select("tree").distinct().count() == 20
+def test_forest_draws_from_the_whole_table(spark):
+    """A large table is not thinned: the drawn rows come from all over it."""
+    rows = spark.range(500_000).select(
+        F.col("id").cast("string").alias("Container_ID"), F.col("id").cast("double").alias("f0")
+    )
+    values = F.array(F.col("f0"))
+    drawn = draw_rows(rows, "Container_ID", 100, 256, 42, values).select(F.col("x")[0].alias("v"))
+    tenths = drawn.groupBy(F.floor(F.col("v") / 50_000)).count().collect()
+    assert len(tenths) == 10 and min(r["count"] for r in tenths) > 3000
+    assert drawn.distinct().count() > 30_000
 
 
 def test_mean_path():

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cargolens import constants as K
-from cargolens.operators.cleaning import clean, standardize
+from cargolens.operators.cleaning import clean, reject_reasons, standardize
 from cargolens.schema import SchemaError, header_mapping, missing_fields, normalize_columns, require_schema
 from cargolens.sources import csv as source
 from cargolens.sources import sinks
@@ -50,7 +50,7 @@ def test_missing_and_colliding_headers(spark):
 def test_defensive_reader(spark, tmp_path):
     path = write(tmp_path, "\ufeff" + HEADER + ", ,", *ROWS)
     df = source.read_uploaded_csv(spark, path)
-    assert [c for c in df.columns if c not in source.INGEST_ORDER] == [
+    assert [c for c in df.columns if c not in source.INGEST_COLUMNS] == [
         header_mapping([c]).get(c, c) for c in HEADER.split(",")
     ]
     rows = {r["Container_ID"]: r for r in standardize(df).collect()}
@@ -68,7 +68,7 @@ def test_defensive_reader(spark, tmp_path):
 
 def test_reader_drops_blank_unnamed_columns(spark, tmp_path):
     df = source.read_uploaded_csv(spark, write(tmp_path, "a,,b,", "1,,2,", "3, ,4,"))
-    assert [c for c in df.columns if c not in source.INGEST_ORDER] == ["a", "b"]
+    assert [c for c in df.columns if c not in source.INGEST_COLUMNS] == ["a", "b"]
 
 
 def test_reader_keeps_file_order_for_first_row(spark, tmp_path):
@@ -81,10 +81,33 @@ def test_reader_keeps_file_order_for_first_row(spark, tmp_path):
     assert [(r["Container_ID"], r["Origin_Country"]) for r in kept] == [("X", "BE")]
 
 
+def test_reader_takes_each_file_by_its_own_header(spark, tmp_path):
+    write(tmp_path, "Container_ID,Declared_Value,Shipping_Line", "A,10,x", "A2,11,y,EXTRA", name="a.csv")
+    write(tmp_path, "", "Declared_Value,Container_ID,HS_Code", "20,B,0101", "Declared_Value,Container_ID,HS_Code", name="b.csv")
+    rows = {r["Container_ID"]: r for r in source.read_uploaded_csv(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"A", "A2", "B", "Container_ID"}
+    assert (rows["B"]["Declared_Value"], rows["B"]["HS_Code"], rows["B"]["Shipping_Line"]) == ("20", "0101", None)
+    assert (rows["A"]["ingest_surplus"], rows["A2"]["ingest_surplus"]) == (None, "EXTRA")
+
+
+def test_surplus_fields_are_a_reject_reason(spark, tmp_path):
+    path = write(tmp_path, HEADER, *ROWS[:2], ROWS[2].rstrip(", ") + ",1,2,3,4,5,6,7,8")
+    df = standardize(source.read_uploaded_csv(spark, path))
+    reasons = [r["reject_reason"] for r in reject_reasons(df, source.INGEST_ORDER, {}, unique_order=True).collect()]
+    assert sorted(map(str, reasons)) == ["None", "surplus_fields"]
+
+
+def test_row_numbers_follow_the_file(spark, tmp_path):
+    write(tmp_path, "id,score", ",1", "", ",2", "X,3", ",4", name="a.csv")
+    write(tmp_path, "score", "5", "6", name="b.csv")
+    rows = source.read_scored_csv(spark, str(tmp_path)).orderBy("score").collect()
+    assert [r["id"] for r in rows] == ["ROW_1", "ROW_2", "X", "ROW_4", "ROW_1", "ROW_2"]
+
+
 def test_scored_file_aliases(spark, tmp_path):
     path = write(tmp_path, "id,Risk_Score,level,origin,dw,expl", "A,12.5,High,CN,3,", ",x,,,,text")
     rows = source.read_scored_csv(spark, path).orderBy("score").collect()
-    assert rows[0]["id"].startswith("ROW_") and rows[0]["level"] == "Low" and rows[0]["score"] == 0.0
+    assert rows[0]["id"] == "ROW_2" and rows[0]["level"] == "Low" and rows[0]["score"] == 0.0
     assert rows[0]["expl"] == "text" and rows[0]["origin"] == "N/A"
     assert (rows[1]["id"], rows[1]["score"], rows[1]["level"], rows[1]["dw"]) == ("A", 12.5, "High", 3.0)
     assert rows[1]["expl"] == K.TEXT_NO_EXPLANATION and rows[1]["line"] == "N/A"

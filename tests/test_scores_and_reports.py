@@ -119,10 +119,6 @@ def test_summary_and_groups(spark):
     assert [s[c] for c in ("critical", "high", "medium", "low", "anomalies")] == [1, 1, 0, 1, 2]
     assert reports.summary(df.limit(0)).first()["average_risk_score"] == 0.0
     assert [r["n"] for r in reports.group_sizes(df).orderBy("level_order").collect()] == [1, 1, 0, 1]
-    groups = reports.group_records(df, 10).first()["risk_groups"]
-    assert {k: [r["id"] for r in v] for k, v in groups.items()} == {"Critical": ["a"], "High": ["b"], "Medium": [], "Low": ["c"]}
-    with pytest.raises(ValueError):
-        reports.group_records(df, 2)
     odd = df.withColumn("level", F.lit("Odd"))
     assert reports.group_by_level(odd).count() == 0
 
