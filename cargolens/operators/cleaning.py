@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
@@ -151,6 +152,17 @@ def filter_ranges(df: DataFrame, limits: Mapping[str, tuple] = RANGE_LIMITS) ->
 # --- C8: the whole cleaning -------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class CleanOptions:
+    """What a job can set about cleaning; the defaults are those of the single steps."""
+
+    date_formats: tuple[str, ...] = ()
+    limits: Mapping[str, tuple] = field(default_factory=lambda: RANGE_LIMITS)
+    extra_numeric: tuple[str, ...] = ()
+    keep_null: tuple[str, ...] = ()
+    exact: bool = True
+
+
 def prepare_rows(
     df: DataFrame,
     order_cols: Sequence[str | Column],

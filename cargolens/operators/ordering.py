@@ -25,9 +25,12 @@ def ordered_parts(
     *,
     staging: Callable[[DataFrame, str], DataFrame] = stage,
 ) -> DataFrame:
-    """Stage ``df`` in key ranges; ``_part`` numbers the ranges in key order."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order)
+    """Stage ``df`` in key ranges; ``_part`` numbers the ranges in key order.
+
+    The number of ranges is left open: Spark starts at the session's number of shuffle partitions
+    and merges neighbouring small ranges, which keeps their order.
+    """
+    ranged = df.repartitionByRange(*order)
     return staging(ranged.withColumn(PART, F.spark_partition_id()), "ordered")
 
 

@@ -7,6 +7,7 @@ aggregate. A profile fitted earlier ("frozen") serves new batches and streams.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -56,7 +57,7 @@ class Profile:
             "*",
             F.lit(bounds[0]).cast("double").alias("anomaly_low"),
             F.lit(bounds[1]).cast("double").alias("anomaly_high"),
-            F.lit(self.medians.get("Dwell_Time_Hours")).cast("double").alias("dwell_median"),
+            F.from_json(F.lit(json.dumps(self.medians)), "map<string,double>").alias("medians"),
         )
         fixed_part.write.mode("overwrite").parquet(f"{path}/moments")
         self.routes.write.mode("overwrite").parquet(f"{path}/route")
@@ -68,12 +69,12 @@ class Profile:
         row = spark.read.parquet(f"{path}/moments").first().asDict()
         routes = spark.read.parquet(f"{path}/route")
         categories = {c: spark.read.parquet(f"{path}/{c}") for c in ENCODED_CATEGORIES}
-        low, high, dwell = (row.pop(k) for k in ("anomaly_low", "anomaly_high", "dwell_median"))
+        low, high, medians = (row.pop(k) for k in ("anomaly_low", "anomaly_high", "medians"))
         return Profile(
             row,
             routes,
             categories,
-            {} if dwell is None else {"Dwell_Time_Hours": dwell},
+            dict(medians or {}),
             None if low is None else (low, high),
         )
 

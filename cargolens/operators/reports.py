@@ -20,6 +20,8 @@ from cargolens.plans.staging import stage
 
 TOP = 8
 PER_PAGE = 20
+#: Rows up to which a page is cut from the head of the order.
+NEAR_ROWS = 1000
 #: Parts that the rows of one origin and level are dealt over.
 PEER_SALTS = 64
 
@@ -151,18 +153,13 @@ def summary(df: DataFrame) -> DataFrame:
     )
 
 
-def summary_record(df: DataFrame, clearance: DataFrame | None = None) -> DataFrame:
-    """The nested summary of a batch: counts, level map and clearance map."""
+def summary_record(df: DataFrame) -> DataFrame:
+    """The nested summary of a batch: counts and level map.
+
+    Clearance statuses are free text, so their counts stay rows: ``clearance_distribution``.
+    """
     levels = F.create_map(*[x for v in K.LEVELS for x in (F.lit(v.lower()), col(v.lower()))])
-    record = summary(df).withColumn("risk_distribution", levels)
-    if clearance is None:
-        return record
-    statuses = clearance_distribution(clearance)
-    # ends as one value per distinct status
-    as_map = statuses.agg(
-        F.map_from_entries(F.collect_list(F.struct("clearance_status", "n")))
-    )
-    return record.withColumn("clearance_status_distribution", as_map.scalar())
+    return summary(df).withColumn("risk_distribution", levels)
 
 
 def clearance_distribution(df: DataFrame) -> DataFrame:
@@ -237,8 +234,17 @@ def sort_by(df: DataFrame, key: str = "score") -> DataFrame:
 
 
 def page(df: DataFrame, number: int, key: str = "score", per_page: int = PER_PAGE) -> DataFrame:
-    """One page of the sorted rows."""
-    return sort_by(df, key).offset((number - 1) * per_page).limit(per_page)
+    """One page of the sorted rows.
+
+    The first pages come from a top-k; a page behind ``NEAR_ROWS`` rows is found by rank, so the
+    driver never holds the rows before it.
+    """
+    start = (number - 1) * per_page
+    if start + per_page <= NEAR_ROWS:
+        return sort_by(df, key).offset(start).limit(per_page)
+    order = [F.desc(key), F.asc("id")]
+    ranked = with_rank(df, order, "_place")
+    return sort_by(ranked.where(col("_place").between(start + 1, start + per_page)), key).drop("_place")
 
 
 def page_after(

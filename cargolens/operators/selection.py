@@ -49,8 +49,10 @@ def order_statistics(
         if start <= min(ranks) and max(ranks) < start + counts["kept"]:
             if low == high:
                 return [low for _ in ranks]
+            if counts["kept"] == size and slack >= 1:
+                raise RuntimeError("the quantile sketch does not narrow the candidates down")
             values = values.where(F.col("v").between(low, high))
-            below, size = start, counts["kept"]
+            below, size, slack = start, counts["kept"], 2.0 / SKETCH_ACCURACY
         else:
             slack *= 8
         shares = (min(ranks) - below) / size, (max(ranks) + 1 - below) / size

@@ -13,11 +13,14 @@ from cargolens.constants import ANOMALY_WEIGHT, CLASSIFIER_WEIGHT
 from cargolens.functions.columns import col
 from cargolens.operators import reports
 from cargolens.operators.cleaning import (
+    CleanOptions,
     clean,
     clean_medians,
     finish_rows,
     prepare_rows,
     readable_labels,
+    reject_reasons,
+    row_accounting,
     standardize,
     standardize_history,
     unique_medians,
@@ -36,7 +39,8 @@ from cargolens.operators.models import RiskModel, predict_scores, train
 from cargolens.operators.profile import Profile, fit_profile
 from cargolens.operators.scoring import blend_weights, score_rows, to_predictions
 from cargolens.plans.staging import Staging, stage
-from cargolens.sources.csv import INGEST_COLUMNS, from_records, read_uploaded_csv, rename_history
+from cargolens.schema import missing_fields, require_schema
+from cargolens.sources.csv import INGEST_COLUMNS, INGEST_ORDER, from_records, read_uploaded_csv, rename_history
 from cargolens.sources.sinks import write_csv, write_report_json
 from cargolens.sources.store import BatchStore, ModelStore
 
@@ -75,6 +79,7 @@ def train_model(
     weights: tuple[float, float] = (CLASSIFIER_WEIGHT, ANOMALY_WEIGHT),
     store: ModelStore | None = None,
     report_path: str = "",
+    cleaning: CleanOptions = CleanOptions(),
     **options,
 ) -> TrainedRun:
     """Clean, build features, label, fit, measure and save.
@@ -85,10 +90,12 @@ def train_model(
     blend = blend_weights(*weights)
     spark = df.sparkSession
     with Staging(spark) as staging:
-        unique = staging(prepare_rows(df, order_cols, strict=False), "unique")
-        medians = unique_medians(unique)
-        cleaned = staging(finish_rows(unique, medians), "cleaned")
-        profile = fit_profile(with_measures(cleaned), staging=staging)
+        rows = prepare_rows(df, order_cols, strict=False, date_formats=cleaning.date_formats)
+        unique = staging(rows, "unique")
+        medians = unique_medians(unique, cleaning.extra_numeric, exact=cleaning.exact)
+        kept = finish_rows(unique, medians, limits=cleaning.limits, keep_null=cleaning.keep_null)
+        cleaned = staging(kept, "cleaned")
+        profile = fit_profile(with_measures(cleaned))  # it outlives the job's staged tables
         profile.medians = medians
         features = engineer_features(cleaned, profile)
         labelled, label_source = _labelled(features, label, rules)
@@ -144,18 +151,38 @@ def score_table(
     profile: Profile | None = None,
     weights: tuple[float, float] | None = None,
     batch_id: str | None = None,
+    cleaning: CleanOptions = CleanOptions(),
 ) -> str:
     """Clean and score a table and store the batch; returns the batch id.
 
     Without a profile the statistics are those of this batch. Cleaned rows and predictions are
     written once each, and everything behind them reads those tables. ``model`` may also be a
-    function that adds classifier_score and anomaly_score to feature rows.
+    function that adds classifier_score and anomaly_score to feature rows. The batch also holds
+    the row counters (C9), the rejected rows with their reasons (C10) and the rows per clearance
+    status (A4); a table that lacks required columns leaves the counters and raises.
     """
     batch_id = batch_id or uuid.uuid4().hex[:8]
     bounds = profile.anomaly_bounds if profile else None
     with Staging(df.sparkSession) as staging:
+        rows = standardize(df, cleaning.date_formats)
+        if missing_fields(df.columns):
+            store.write_accounting(row_accounting(rows, order_cols, {}), batch_id)
+        require_schema(df)
         medians = profile.medians if profile and profile.medians else None
-        cleaned = clean(df, order_cols, medians=medians, staging=staging)
+        if medians is None:
+            medians = clean_medians(
+                rows, order_cols, extra_numeric=cleaning.extra_numeric, exact=cleaning.exact
+            )
+        judged = reject_reasons(
+            rows, order_cols, medians, limits=cleaning.limits, unique_order=list(order_cols) == INGEST_ORDER
+        )
+        store.write_rejects(judged.where("reject_reason IS NOT NULL"), batch_id)
+        counters = row_accounting(rows, order_cols, medians, limits=cleaning.limits)
+        store.write_accounting(counters, batch_id)
+        cleaned = clean(
+            df, order_cols, medians=medians, staging=staging, limits=cleaning.limits,
+            keep_null=cleaning.keep_null, date_formats=cleaning.date_formats,
+        )
         store.write_cleaned(cleaned, batch_id)
         cleaned = store.cleaned(batch_id)
         features = engineer_features(cleaned, profile, staging=staging)
@@ -166,8 +193,9 @@ def score_table(
     stored = store.predictions(batch_id).select(
         col("risk_level").alias("level"), col("risk_score").alias("score"), "anomaly_score"
     )
-    statuses = cleaned if "Clearance_Status" in cleaned.columns else None
-    store.write_summary(reports.summary_record(stored, statuses), batch_id)
+    store.write_summary(reports.summary_record(stored), batch_id)
+    if "Clearance_Status" in cleaned.columns:
+        store.write_statuses(reports.clearance_distribution(cleaned), batch_id)
     return batch_id
 
 
@@ -181,6 +209,7 @@ def evaluate(
     weights: tuple[float, float] | None = None,
     rows_path: str = "",
     report_path: str = "",
+    cleaning: CleanOptions = CleanOptions(),
     staging: Callable[[DataFrame, str], DataFrame] = stage,
 ) -> tuple[DataFrame, DataFrame]:
     """Report and row-level table for a labelled input."""
@@ -190,7 +219,10 @@ def evaluate(
     if readable_labels(labelled, "label").limit(1).count() == 0:
         raise ValueError(f"no label in column {label!r} could be read")
     cleaned = staging(
-        clean(readable_labels(labelled, "label"), order_cols, strict=False, staging=staging),
+        clean(
+            readable_labels(labelled, "label"), order_cols, strict=False, staging=staging,
+            **vars(cleaning),
+        ),
         "cleaned",
     )
     features = engineer_features(cleaned, staging=staging)
@@ -224,6 +256,19 @@ def report_tables(scored: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def container_tables(scored: DataFrame, container_id: str) -> dict[str, DataFrame]:
+    """What the report shows about one container."""
+    one = reports.find_container(scored, container_id)
+    return {
+        "container": one,
+        "rank": reports.rank_of(scored, container_id),
+        "neighbours": reports.neighbours_of(scored, container_id),
+        "peers": reports.peers_of(scored, container_id),
+        "radar": reports.radar(one),
+        "display_metrics": reports.display_metrics(one),
+    }
+
+
 def score_rows_of(
     rows: DataFrame,
     order_cols: Sequence,
@@ -231,10 +276,16 @@ def score_rows_of(
     *,
     profile: Profile | None = None,
     weights: tuple[float, float] | None = None,
+    cleaning: CleanOptions = CleanOptions(),
 ) -> DataFrame:
     """Score standardised rows with the statistics of a profile, or their own."""
-    medians = (profile.medians if profile else None) or clean_medians(rows, order_cols)
-    cleaned = clean(rows, order_cols, strict=False, medians=medians)
+    medians = (profile.medians if profile else None) or clean_medians(
+        rows, order_cols, extra_numeric=cleaning.extra_numeric, exact=cleaning.exact
+    )
+    cleaned = clean(
+        rows, order_cols, strict=False, medians=medians, limits=cleaning.limits,
+        keep_null=cleaning.keep_null, date_formats=cleaning.date_formats,
+    )
     if cleaned.limit(1).count() == 0:
         raise ValueError("no record is valid after cleaning")
     features = engineer_features(cleaned, profile)
@@ -255,10 +306,13 @@ def score_records(
     *,
     profile: Profile | None = None,
     weights: tuple[float, float] | None = None,
+    cleaning: CleanOptions = CleanOptions(),
 ) -> DataFrame:
     """Score a few records from the driver.
 
     Without a profile, statistics come from these records alone, as T11 and T13 describe.
     """
-    rows = standardize(from_records(spark, records))
-    return score_rows_of(rows, ["ingest_seq"], model, profile=profile, weights=weights)
+    rows = standardize(from_records(spark, records), cleaning.date_formats)
+    return score_rows_of(
+        rows, ["ingest_seq"], model, profile=profile, weights=weights, cleaning=cleaning
+    )

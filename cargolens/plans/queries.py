@@ -1000,17 +1000,13 @@ def a5(spark, sf_dir):
     "a6_summary_record",
     sql("scored", "SELECT count(*) AS total_containers, "
         + ", ".join(f"count(*) FILTER (WHERE level = '{v}') AS dist_{v.lower()}" for v in K.LEVELS)
-        + ", (SELECT count(*) FROM cleaned WHERE Clearance_Status = 'Flagged') AS status_flagged,"
-        " (SELECT count(*) FROM cleaned WHERE Clearance_Status = 'UNKNOWN') AS status_unknown,"
-        " round(avg(score), 6) AS average_risk_score FROM scored"),
+        + ", round(avg(score), 6) AS average_risk_score FROM scored"),
 )
 def a6(spark, sf_dir):
-    record = reports.summary_record(derived.scored(spark, sf_dir), derived.cleaned(spark, sf_dir))
-    statuses = col("clearance_status_distribution")
+    record = reports.summary_record(derived.scored(spark, sf_dir))
     return rounded(record.select(
         "total_containers",
         *[col("risk_distribution")[v.lower()].alias(f"dist_{v.lower()}") for v in K.LEVELS],
-        statuses["Flagged"].alias("status_flagged"), statuses["UNKNOWN"].alias("status_unknown"),
         "average_risk_score",
     ))
 
@@ -1066,6 +1062,11 @@ def a13(spark, sf_dir):
     return _listed(reports.sort_by(derived.scored(spark, sf_dir), "value"))
 
 
+@query("a14_deep_page", sql("scored", _scored_sql(LISTED) + f" FROM scored ORDER BY {_BY_SCORE_SQL} LIMIT 20 OFFSET 1980"))
+def a14_deep(spark, sf_dir):
+    return _listed(reports.page(derived.scored(spark, sf_dir), 100))
+
+
 @query("a14_page", sql("scored", _scored_sql(LISTED) + f" FROM scored ORDER BY {_BY_SCORE_SQL} LIMIT 20 OFFSET 40"))
 def a14(spark, sf_dir):
     return _listed(reports.page(derived.scored(spark, sf_dir), 3))
@@ -1323,6 +1324,33 @@ def s13(spark, sf_dir):
     return _flat_report(spark.read.json(path))
 
 
+def _stored_batch(spark, sf_dir) -> tuple[BatchStore, str]:
+    store = BatchStore(spark, stage_path(spark, "batches"))
+    return store, jobs.score_table(shipments(spark, sf_dir), ORDER, rule_columns, store)
+
+
+@query("j3_accounting", ORACLE["c9_row_accounting"])
+def j3_accounting(spark, sf_dir):
+    store, batch = _stored_batch(spark, sf_dir)
+    return store.accounting(batch)
+
+
+@query(
+    "j3_rejects",
+    sql("med", f"""SELECT Container_ID, reason AS reject_reason, count(*) AS n
+  FROM (SELECT Container_ID, {_REASON_SQL} AS reason FROM ranked) WHERE reason IS NOT NULL GROUP BY 1, 2"""),
+)
+def j3_rejects(spark, sf_dir):
+    store, batch = _stored_batch(spark, sf_dir)
+    return store.rejects(batch).groupBy("Container_ID", "reject_reason").agg(F.sum("copies").alias("n"))
+
+
+@query("j3_statuses", ORACLE["a4_clearance_distribution"])
+def j3_statuses(spark, sf_dir):
+    store, batch = _stored_batch(spark, sf_dir)
+    return store.statuses(batch)
+
+
 @query("j4_evaluate", _STATUS_REPORT_SQL)
 def j4(spark, sf_dir):
     return _flat_report(_status_report(spark, sf_dir))
@@ -1356,6 +1384,52 @@ def j6(spark, sf_dir):
     return rounded(jobs.score_rows_of(rows, ORDER, rule_columns, profile=fitted))
 
 
+def _report_part(part: str, form: Callable[[DataFrame], DataFrame]):
+    def run(spark, sf_dir):
+        return form(jobs.report_tables(derived.scored(spark, sf_dir))[part])
+
+    return run
+
+
+def _container_part(part: str, form: Callable[[DataFrame], DataFrame]):
+    def run(spark, sf_dir):
+        rows = derived.scored(spark, sf_dir)
+        return form(jobs.container_tables(rows, _some_id(rows))[part])
+
+    return run
+
+
+# the same SQL as that of the single report: the job's tables must be equal to them
+_REPORT_PARTS = {
+    "summary": ("a2_summary", rounded),
+    "report_totals": ("a16_report_totals", rounded),
+    "level_breakdown": ("a20_level_breakdown", lambda t: t.withColumns({"percent": r("percent"), "value_sum": r("value_sum", 2)})),
+    "level_shares": ("a15_level_shares", rounded),
+    "score_histogram": ("a9_score_histogram", lambda t: t),
+    "top_origins": ("a10_top_origins", lambda t: t),
+    "line_breakdown": ("a17_line_breakdown", rounded),
+    "hs_breakdown": ("a18_hs_breakdown", lambda t: t),
+    "value_at_risk": ("a19_value_at_risk", lambda t: rounded(t, 2)),
+    "top_scores": ("a21_top_scores", lambda t: rounded(t.select("id", "level", "score", "rank"))),
+}
+for _part, (_same, _form) in _REPORT_PARTS.items():
+    query(f"j5_{_part}", ORACLE[_same])(_report_part(_part, _form))
+_OF_ONE_SQL = "SELECT * FROM ({}) WHERE id = (SELECT id FROM ({}))"
+_CONTAINER_PARTS = {
+    "container": (ORACLE["a22_lookup"], rounded),
+    "rank": (ORACLE["a23_rank_of"], lambda t: t),
+    "neighbours": (ORACLE["a24_neighbours_of"], lambda t: t),
+    "peers": (ORACLE["a25_peers_of"], lambda t: t.select("id")),
+    "radar": (_OF_ONE_SQL.format(ORACLE["a26_radar"], ORACLE["a22_lookup"]), rounded),
+    "display_metrics": (
+        _OF_ONE_SQL.format(ORACLE["a27_display_metrics"], ORACLE["a22_lookup"]),
+        lambda t: t.withColumns({c: r(c) for c in ("weight_gap", "weight_gap_pct")}),
+    ),
+}
+for _part, (_sql, _form) in _CONTAINER_PARTS.items():
+    query(f"j5_{_part}", _sql)(_container_part(_part, _form))
+
+
 # --- ST: streams ------------------------------------------------------------------------
 
 

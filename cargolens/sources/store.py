@@ -18,7 +18,7 @@ from cargolens.operators.profile import Profile
 
 
 class BatchStore:
-    """Cleaned rows, predictions and summary of every batch below one folder.
+    """Cleaned and rejected rows, predictions and summaries of batches below one folder.
 
     Tables are partitioned by batch, predictions by level as well, so reading a batch or a level
     touches only its files. Writing a batch again replaces its folder and no other.
@@ -46,6 +46,24 @@ class BatchStore:
     def write_summary(self, df: DataFrame, batch_id: str) -> None:
         self._write(df.coalesce(1), "summary", batch_id)
 
+    def write_statuses(self, df: DataFrame, batch_id: str) -> None:
+        self._write(df, "statuses", batch_id)
+
+    def write_accounting(self, df: DataFrame, batch_id: str) -> None:
+        self._write(df.coalesce(1), "accounting", batch_id)
+
+    def write_rejects(self, df: DataFrame, batch_id: str) -> None:
+        self._write(df, "rejects", batch_id)
+
+    def statuses(self, batch_id: str) -> DataFrame:
+        return self._read("statuses", batch_id)
+
+    def accounting(self, batch_id: str) -> DataFrame:
+        return self._read("accounting", batch_id)
+
+    def rejects(self, batch_id: str) -> DataFrame:
+        return self._read("rejects", batch_id)
+
     def cleaned(self, batch_id: str) -> DataFrame:
         return self._read("cleaned", batch_id)
 

@@ -62,7 +62,10 @@ def test_score_batch(spark, run, small, tmp_path):
     assert wrong.count() == 0
     summary = store.summary(batch).first()
     assert summary["total_containers"] == total == sum(summary["risk_distribution"].values())
-    assert sum(summary["clearance_status_distribution"].values()) == total
+    assert store.statuses(batch).agg(F.sum("n")).first()[0] == total
+    counters = store.accounting(batch).first()
+    assert counters["rows_valid"] == total
+    assert store.rejects(batch).agg(F.sum("copies")).first()[0] == counters["rows_failed"]
     assert rows.agg(F.max("anomaly_score")).first()[0] == 1.0
 
 
