@@ -247,7 +247,7 @@ def s11(spark, sf_dir):
 @query(
     "s12_training_report",
     sql("feats", f"""SELECT 'heuristic_generated' AS label_column, count(*) AS rows_after_cleaning,
-  CAST({len(K.FEATURES)} AS BIGINT) AS feature_count, 0.7 AS classifier_weight, 0.3 AS anomaly_weight, {_SIDES_SQL} FROM feats"""),
+  CAST({len(K.FEATURES)} AS BIGINT) AS feature_count, CAST(0.7 AS DOUBLE) AS classifier_weight, CAST(0.3 AS DOUBLE) AS anomaly_weight, {_SIDES_SQL} FROM feats"""),
 )
 def s12(spark, sf_dir):
     path = stage_path(spark, "s12")
