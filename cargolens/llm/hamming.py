@@ -107,7 +107,8 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             "s.segment",
             F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("s.value")))).alias("value"),
         )
-        met = probes.join(index, ["segment", "value"]).select("query", "code", "ids")
+        # Spark takes the probes for as few as the queries and would broadcast them
+        met = probes.hint("merge").join(index, ["segment", "value"]).select("query", "code", "ids")
         met = met.select(
             "query", distance(F.col("query"), F.col("code")).alias("distance"), F.explode("ids").alias("id")
         ).distinct()
