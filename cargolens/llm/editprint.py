@@ -248,7 +248,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("range", range_of("id")).withColumn("before", tail_of("id"))
     rows = rows.withColumn("place", F.explode(F.when(F.col("before") >= 0, places).otherwise(F.slice(places, 1, 1))))
     rows = rows.select("place.range", "place.tail", "doc_id", "text")
-    return rows.repartition(ranges, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
+    return rows.repartitionById(ranges, "range").sortWithinPartitions("range", "tail", "doc_id", "text")
 
 
 def _successors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
