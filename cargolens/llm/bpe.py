@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,9 @@ from cargolens.llm.text import mix, slices, utf8
 CUT_BITS = 9
 #: Bytes that the rolling hash sees.
 WINDOW = 16
-#: Bytes of chunk text, and words, that a task remembers, each in two generations.
+#: Bytes of chunk text (in two generations) and words that a task remembers.
 KEEP_BYTES = 16 << 20
-KEEP_WORDS = 300_000
+KEEP_WORDS = 500_000
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -45,6 +46,31 @@ def cut_places(buf: np.ndarray, bits: int = CUT_BITS) -> np.ndarray:
     return np.flatnonzero((rolled & np.uint32((1 << bits) - 1)) == 0) + 1
 
 
+class _Pieces:
+    """Byte strings by number, written one after the other without a loop over them."""
+
+    def __init__(self, strings: list[bytes]):
+        self.sizes = np.array([len(x) for x in strings], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(strings) or b" ", np.uint8)
+
+    def joined(self, numbers: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """For each row of ``numbers`` its strings joined by one space."""
+        sizes = self.sizes[numbers] + 1
+        filled = offsets[1:][np.diff(offsets) > 0]
+        sizes[filled - 1] -= 1  # no space behind a row's last string
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.full(ends[-1], 0x20, np.uint8)
+        at, source, left = ends[:-1], self.begins[numbers], self.sizes[numbers]
+        while len(at):
+            some = left > 0
+            at, source, left = at[some], source[some], left[some]
+            out[at] = self.data[source]
+            at, source, left = at + 1, source + 1, left - 1
+        places = pa.py_buffer(ends[offsets].astype(np.int32))
+        return pa.StringArray.from_buffers(len(offsets) - 1, places, pa.py_buffer(out))
+
+
 class ChunkEncoder:
     """Encodes texts through remembered chunks; one lives in each Python worker."""
 
@@ -56,22 +82,25 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.bits, self.keep = bits, keep
-        self.numbers: list[str] = []
-        self.strings: list[str] = []
-        for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True)):
-            self.numbers.append(str(i))
-            self.strings.append(self.tokenizer.id_to_token(i) or "")
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.numbers = _Pieces([str(i).encode() for i in range(size)])
+        self.strings = _Pieces([(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)])
         self.joins_tokens = self.tokenizer.decoder is None
         drops = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (" ", "\n", "\t")]
-        self.by_words = self.joins_tokens and not any(drops)
-        self.young: dict[bytes, tuple] = {}
-        self.old: dict[bytes, tuple] = {}
-        self.words: dict[bytes, tuple] = {b"": (0, "", "")}
-        self.old_words: dict[bytes, tuple] = {}
+        self.by_words = not any(drops)
+        # pieces with their ids as bytes, four to an id
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self._forget_words()
         self.held = 0
         self.encoded_bytes = 0
         self.widened = 0
 
+    def _forget_words(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.word_ids = np.zeros(0, np.uint32)
+        self.word_ends = np.zeros(1, np.int64)
+
     def _encode(self, pieces: set[bytes]) -> None:
         """Encode the pieces that are not remembered, in one call."""
         missing = []
@@ -82,49 +111,41 @@ class ChunkEncoder:
                     missing.append(piece)
                 else:
                     self._remember(piece, known)
+        if not missing:
+            return
         for piece, value in zip(missing, self._new(missing)):
             self._remember(piece, value)
             self.encoded_bytes += len(piece)
 
-    def _plain(self, pieces: list[bytes]) -> list[tuple]:
-        """(number of ids, ids, decoded) of each piece, straight from the tokenizer."""
-        encoded = self.tokenizer.encode_batch(
-            [m.decode("utf-8") for m in pieces], add_special_tokens=False
-        )
-        number, string = self.numbers.__getitem__, self.strings.__getitem__
-        out = []
-        for e in encoded:
-            ids = e.ids
-            decoded = " ".join(map(string, ids)) if self.joins_tokens else ""
-            out.append((len(ids), " ".join(map(number, ids)), decoded))
-        return out
-
-    def _new(self, pieces: list[bytes]) -> list[tuple]:
+    def _plain(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each piece, straight from the tokenizer."""
+        texts = [p.decode("utf-8") for p in pieces]
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _new(self, pieces: list[bytes]) -> list[bytes]:
         if not self.by_words:
-            return self._plain(pieces)
+            return [np.array(ids, np.uint32).tobytes() for ids in self._plain(pieces)]
+        if len(self.words) > KEEP_WORDS:
+            self._forget_words()
         split = [p.split() for p in pieces]
-        words, old = self.words, self.old_words
-        missing = []
-        for word in {w for ws in split for w in ws}:
-            if word not in words:
-                if word in old:
-                    words[word] = old[word]
-                else:
-                    missing.append(word)
-        words.update(zip(missing, self._plain(missing)))
-        out = []
-        for ws in split:
-            parts = [x for x in map(words.__getitem__, ws) if x[0]]
-            if parts:
-                n, ids, decoded = zip(*parts)
-                out.append((sum(n), " ".join(ids), " ".join(decoded)))
-            else:
-                out.append((0, "", ""))
-        if len(words) > KEEP_WORDS // 2:
-            self.old_words, self.words = words, {b"": (0, "", "")}
-        return out
-
-    def _remember(self, piece: bytes, value: tuple) -> None:
+        flat = list(chain.from_iterable(split))
+        missing = list(set(flat).difference(self.words))
+        if missing:
+            ids = self._plain(missing)
+            self.words.update(zip(missing, range(len(self.words), len(self.words) + len(missing))))
+            ends = self.word_ends[-1] + np.cumsum([len(x) for x in ids])
+            self.word_ends = np.concatenate([self.word_ends, ends])
+            found = np.fromiter(chain.from_iterable(ids), np.uint32)
+            self.word_ids = np.concatenate([self.word_ids, found])
+        number = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        begins, sizes = self.word_ends[number], self.word_ends[number + 1] - self.word_ends[number]
+        ends = np.cumsum(sizes)
+        ids = self.word_ids[np.repeat(begins - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        cuts = 4 * np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in split])])]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
+    def _remember(self, piece: bytes, value: bytes) -> None:
         self.young[piece] = value
         self.held += len(piece) + 64
 
@@ -178,9 +199,6 @@ class ChunkEncoder:
         ends = [x for x in (core.find(b" ", 1), core.find(b"\n", 1)) if x > 0]
         return core[: min(ends, default=len(core))]
 
-    def _ids(self, piece: bytes) -> str:
-        return self.young[piece][1]
-
     def _agreed(self, plan: list[tuple[bytes, bool]]) -> list[bytes]:
         """The pieces of a text, joins widened until they agree with what stands beside them."""
         pieces = [p for p, _ in plan]
@@ -188,8 +206,8 @@ class ChunkEncoder:
         while k < len(pieces) - 1:
             a, b = self._last_word(pieces[k - 1]), self._first_word(pieces[k + 1])
             self._encode({a, pieces[k], b, a + pieces[k] + b})
-            apart = " ".join(filter(None, (self._ids(a), self._ids(pieces[k]), self._ids(b))))
-            if apart == self._ids(a + pieces[k] + b):
+            known = self.young
+            if known[a] + known[pieces[k]] + known[b] == known[a + pieces[k] + b]:
                 k += 2
             else:
                 self.widened += 1
@@ -197,7 +215,7 @@ class ChunkEncoder:
                 k = max(1, k - 2)
         return pieces
 
-    def run(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
+    def run(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
         """For each text: how many ids, the ids in decimal joined by spaces, the decoded text."""
         buf, offsets = utf8(texts)
         plans = self._plan(buf, offsets)
@@ -209,21 +227,21 @@ class ChunkEncoder:
                     a, b = self._last_word(plan[k - 1][0]), self._first_word(plan[k + 1][0])
                     wanted.update((a, b, a + piece + b))
         self._encode(wanted)
-        numbers, ids, decoded = [], [], []
+        rows = []
         for plan in plans:
-            pieces = self._agreed(plan)
+            pieces = self._agreed(plan) if len(plan) > 1 else [plan[0][0]]
             self._encode(set(pieces))
-            parts = [self.young[p] for p in pieces]
-            parts = [p for p in parts if p[0]]
-            numbers.append(sum(p[0] for p in parts))
-            ids.append(" ".join(p[1] for p in parts))
-            if self.joins_tokens:
-                decoded.append(" ".join(p[2] for p in parts))
-            else:
-                every = [int(i) for i in ids[-1].split()]
-                decoded.append(self.tokenizer.decode(every, skip_special_tokens=False))
+            rows.append(b"".join(map(self.young.__getitem__, pieces)))
         self._turn_over()
-        return numbers, ids, decoded
+        counts = np.array([len(r) // 4 for r in rows], np.int64)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = np.frombuffer(b"".join(rows), np.uint32).astype(np.int64)
+        if self.joins_tokens:
+            decoded = self.strings.joined(ids, ends)
+        else:
+            lists = [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+            decoded = pa.array([self.tokenizer.decode(x, skip_special_tokens=False) for x in lists])
+        return pa.array(counts), self.numbers.joined(ids, ends), decoded
 
 
 _encoders: dict[tuple, ChunkEncoder] = {}
@@ -244,12 +262,7 @@ def encode(docs: DataFrame, path: str, bits: int = CUT_BITS) -> DataFrame:
         for batch in slices(batches, "text", 2 << 20):
             numbers, ids, decoded = encoder.run(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(numbers, pa.int64()),
-                    pa.array(ids, pa.string()),
-                    pa.array(decoded, pa.string()),
-                ],
+                [batch.column("doc_id"), numbers, ids, decoded],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
 
