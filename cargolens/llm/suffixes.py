@@ -138,8 +138,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = S
         F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), "text"
     )
     kept = stage(suffixes(docs, min_words, seed), "suffixes")
+    # staged keys leave the joins with plain shuffles on both sides, which Spark can split where a
+    # seed is hot
     seeds = kept.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
-    kept = stage(kept.join(seeds, "seed", "left_semi"), "neighbours")
+    kept = stage(kept.join(stage(seeds, "seeds"), "seed", "left_semi"), "neighbours")
     place = F.struct("doc_id", "version", "first_word")
     reaches = stage(
         kept.groupBy("seed", "reach").agg(
@@ -154,12 +156,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = S
     )
     whole = whole.select("doc_id", "version", "begin", "end", F.col("first.doc_id").alias("source"))
     mixed = reaches.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
-    wanted = reaches.join(mixed, "seed", "left_semi").select("seed", "first.*")
+    wanted = reaches.join(stage(mixed, "mixed-seeds"), "seed", "left_semi").select("seed", "first.*")
     windows = stage(_windows(docs, stage(wanted, "mixed"), min_words), "windows")
     firsts = windows.groupBy("seed", "window").agg(
         F.min(place).alias("first"), F.count("*").alias("n")
     )
-    firsts = firsts.filter("n > 1").select("seed", "window", "first")
+    firsts = stage(firsts.filter("n > 1").select("seed", "window", "first"), "firsts")
     part = windows.join(firsts, ["seed", "window"]).filter(place != F.col("first"))
     part = part.select("doc_id", "version", "begin", "end", F.col("first.doc_id").alias("source"))
     found = whole.unionByName(part).groupBy("doc_id", "version").agg(
