@@ -125,7 +125,8 @@ def _buckets(reps: DataFrame) -> DataFrame:
         ).alias("k"),
     ).select("id", "k.side", "k.key")
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    mine = keys.join(shared, "key").groupBy("id").agg(
+    # a staged key table leaves the join with plain shuffles on both sides, which Spark can split
+    mine = keys.join(stage(shared, "shared"), "key").groupBy("id").agg(
         F.collect_list(F.when(F.col("side") == 0, F.col("key"))).alias("a"),
         F.collect_list(F.when(F.col("side") == 1, F.col("key"))).alias("b"),
         F.sum("members").alias("company"),
@@ -212,7 +213,9 @@ def near_duplicates(
     buckets = stage(_buckets(reps), "buckets")
     centre = F.max(F.struct("company", (-F.col("id")).alias("low")))
     centres = buckets.groupBy("bucket").agg(centre.alias("c"), F.count("*").alias("size"))
-    centres = centres.filter("size > 1").select("bucket", (-F.col("c.low")).alias("centre"))
+    centres = stage(
+        centres.filter("size > 1").select("bucket", (-F.col("c.low")).alias("centre")), "centres"
+    )
     met = buckets.join(centres, "bucket").filter("id <> centre").select("id", "centre")
     tried = _confirmed(stage(met.distinct(), "pairs"), docs, width, percent)
     links = tried.filter("linked").select(F.col("id").alias("a"), F.col("centre").alias("b"))
