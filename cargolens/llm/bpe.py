@@ -14,6 +14,7 @@ What a task keeps has a fixed bound in bytes; nothing is shuffled and nothing go
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,6 +32,9 @@ WINDOW = 16
 #: Bytes of chunk text (in two generations) and words that a task remembers.
 KEEP_BYTES = 16 << 20
 KEEP_WORDS = 500_000
+LINE_WORDS = 200
+#: Characters that normalisation may join, split or move, and special tokens.
+_RARE = re.compile("[^\x00-\u024f]|\u0130|<\\|")
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -122,6 +126,30 @@ class ChunkEncoder:
         texts = [p.decode("utf-8") for p in pieces]
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _word_ids(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The words in some order, how many ids each has, and all ids.
+
+        Words of common characters go to the tokenizer some ``LINE_WORDS`` at a time; white space
+        between them is dropped, and the place of each id tells its word.
+        """
+        texts = [w.decode("utf-8") for w in words]
+        rare = [_RARE.search(t) is not None for t in texts]
+        common = [t for t, r in zip(texts, rare) if not r]
+        lines = [common[i : i + LINE_WORDS] for i in range(0, len(common), LINE_WORDS)]
+        sizes, ids = [], []
+        encoded = self.tokenizer.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)
+        for line, e in zip(lines, encoded):
+            begins = np.cumsum([0] + [len(t) + 1 for t in line])
+            places = np.fromiter((p[0] for p in e.offsets), np.int64)
+            sizes.append(np.diff(np.searchsorted(places, begins)))
+            ids.append(np.array(e.ids, np.uint32))
+        odd = [w for w, r in zip(words, rare) if r]
+        for found in self._plain(odd):
+            sizes.append(np.array([len(found)]))
+            ids.append(np.array(found, np.uint32))
+        order = [w for w, r in zip(words, rare) if not r] + odd
+        return order, np.concatenate(sizes), np.concatenate(ids)
+
     def _new(self, pieces: list[bytes]) -> list[bytes]:
         if not self.by_words:
             return [np.array(ids, np.uint32).tobytes() for ids in self._plain(pieces)]
@@ -131,12 +159,10 @@ class ChunkEncoder:
         flat = list(chain.from_iterable(split))
         missing = list(set(flat).difference(self.words))
         if missing:
-            ids = self._plain(missing)
-            self.words.update(zip(missing, range(len(self.words), len(self.words) + len(missing))))
-            ends = self.word_ends[-1] + np.cumsum([len(x) for x in ids])
-            self.word_ends = np.concatenate([self.word_ends, ends])
-            found = np.fromiter(chain.from_iterable(ids), np.uint32)
-            self.word_ids = np.concatenate([self.word_ids, found])
+            words, sizes, ids = self._word_ids(missing)
+            self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+            self.word_ends = np.concatenate([self.word_ends, self.word_ends[-1] + np.cumsum(sizes)])
+            self.word_ids = np.concatenate([self.word_ids, ids])
         number = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
         begins, sizes = self.word_ends[number], self.word_ends[number + 1] - self.word_ends[number]
         ends = np.cumsum(sizes)
