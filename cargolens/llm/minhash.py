@@ -289,5 +289,7 @@ def _between_members(tried: DataFrame, links: DataFrame, percent: int) -> DataFr
         columns = list(zip(*out)) or [(), ()]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
-    blocks = left.unionByName(right).groupBy("centre", "refused_blocks", "blocks")
+    # dealt by block, else all blocks of a centre would stay in one task
+    keys = ["centre", "refused_blocks", "blocks"]
+    blocks = left.unionByName(right).repartition(*keys).groupBy(*keys)
     return stage(blocks.applyInArrow(run, "a long, b long"), "links")
