@@ -11,7 +11,9 @@ share bands, so likeness is the share of equal slots.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm import text as tx
+from cargolens.llm.components import components
+from cargolens.plans.staging import stage
 
 SLOTS = 64
 #: Hexadecimal digits of a slot.
@@ -28,6 +32,8 @@ DIGITS = 4
 CUT_BITS, MOST = 6, 256
 #: Bands of a block, and sampled steps that a band hashes.
 BANDS, SAMPLED = 4, 6
+#: Members of a side of a block in which fingerprints are compared (128 bytes each).
+BLOCK = 4096
 #: Bytes of text that are embedded at a time.
 STEP_BYTES = 2 << 20
 
@@ -177,28 +183,92 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def similar(prints: DataFrame, least: float = 0.5, band_slots: int = 4) -> DataFrame:
-    """Rows (doc_id, fingerprint) linked to a row with a smaller id: doc_id, other, near.
+def band_pairs(least: float) -> list[tuple[int, int]]:
+    """Pairs of slots; fingerprints with a share of ``least`` equal slots agree in both slots of one.
 
-    Fingerprints are banded by ``band_slots`` slots; in a band's bucket each fingerprint meets the
-    bucket's first one, and the pair is verified on all slots. Equal fingerprints are one.
+    The slots are cut into one group fewer than so many equal slots, so that two of these share a
+    group; all pairs inside groups are taken. At 0.5 these are 35 pairs.
     """
+    need = math.ceil(SLOTS * least)
+    if not 2 <= need <= SLOTS:
+        raise ValueError(f"least must be above 1 / {SLOTS} and at most 1")
+    groups = np.array_split(np.arange(SLOTS), need - 1)
+    return [(int(a), int(b)) for g in groups for a, b in combinations(g, 2)]
+
+
+def similar(prints: DataFrame, least: float = 0.5) -> DataFrame:
+    """Rows (doc_id, fingerprint) linked to a row with another id: doc_id, other, near.
+
+    The links join the same documents, directly or over others, as all pairs of at least ``least``
+    equal slots do; no such pair is lost, as ``band_pairs`` proves. Fingerprints are the only
+    measure, texts are not compared. Equal fingerprints are one: their rows are linked to the
+    smallest id. In a band's bucket each fingerprint meets the one with the smallest id; those
+    that this head refuses are compared with all members of the bucket, in blocks of ``BLOCK`` by
+    ``BLOCK``, and of these links only such as join two components come out. That step grows with
+    the square of a bucket that its head refuses. Null ids are linked with nothing.
+    """
+    prints = prints.filter("doc_id IS NOT NULL").select("doc_id", "fingerprint")
     reps = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    chars = band_slots * DIGITS
-    count = SLOTS // band_slots
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(count - 1)),
-        lambda k: F.struct(k.alias("band"), F.substring("fingerprint", k * chars + 1, F.lit(chars)).alias("key")),
+    reps = stage(reps.filter(~F.col("fingerprint").startswith("-")), "prints")
+    slot = lambda k: F.substring("fingerprint", k * DIGITS + 1, DIGITS)
+    bands = F.array(*(F.xxhash64(F.lit(k), slot(a), slot(b)) for k, (a, b) in enumerate(band_pairs(least))))
+    keys = reps.select("doc_id", "fingerprint", F.explode(bands).alias("bucket"))
+    heads = keys.groupBy("bucket").agg(
+        F.min(F.struct("doc_id", "fingerprint")).alias("h"),
+        F.count("*").alias("n"),
+        F.sum(F.xxhash64("fingerprint").cast("decimal(38,0)")).alias("all"),
+    )
+    # buckets of the same members show the same links: one of them is enough
+    heads = heads.filter("n > 1").groupBy("h", "n", "all").agg(F.min("bucket").alias("bucket"))
+    heads = stage(heads.select("bucket", "n", F.col("h.doc_id").alias("other"), F.col("h.fingerprint").alias("theirs")), "heads")
+    met = keys.join(heads, "bucket").filter("fingerprint <> theirs")
+    met = met.withColumn("near", likeness(F.col("fingerprint"), F.col("theirs")))
+    met = stage(met.withColumn("linked", F.col("near") >= least).drop("theirs"), "met")
+    links = met.filter("linked AND doc_id <> other").select("doc_id", "other", "near").distinct()
+    same = prints.join(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("other")), "fingerprint")
+    same = same.filter("doc_id <> other").select("doc_id", "other", F.lit(1.0).alias("near")).distinct()
+    links = links.unionByName(same)
+    return links.unionByName(_between_refused(met, links, least))
+
+
+def _between_refused(met: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """Links of refused members to members of their bucket in another component."""
+    label = components(links.select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
+    counts = met.groupBy("bucket").agg(
+        F.ceil(F.count("*") / BLOCK).alias("blocks"),
+        F.ceil(F.count_if(~F.col("linked")) / BLOCK).alias("refused_blocks"),
     )
-    rows = reps.select("doc_id", "fingerprint", F.explode(bands).alias("b")).select("doc_id", "fingerprint", "b.*")
-    heads = rows.groupBy("band", "key").agg(F.min(F.struct("doc_id", "fingerprint")).alias("h"), F.count("*").alias("n"))
-    heads = heads.filter("n > 1").select("band", "key", "h.*")
-    heads = heads.withColumnsRenamed({"doc_id": "other", "fingerprint": "theirs"})
-    met = rows.join(heads, ["band", "key"]).filter("doc_id <> other")
-    met = met.select("doc_id", "other", likeness(F.col("fingerprint"), F.col("theirs")).alias("near"))
-    verified = met.filter(F.col("near") >= least).distinct()
-    same = prints.join(reps.withColumnRenamed("doc_id", "other"), "fingerprint").filter("doc_id <> other")
-    return verified.unionByName(same.select("doc_id", "other", F.lit(1.0).alias("near")))
+    members = met.join(counts.filter("refused_blocks > 0"), "bucket")
+    members = members.join(label, F.col("doc_id") == F.col("id"), "left").select(
+        "bucket", "doc_id", "linked", F.unhex("fingerprint").alias("slots"), "blocks", "refused_blocks",
+        F.coalesce("component", "doc_id").alias("component"),
+    )
+    mine = lambda n: F.pmod(F.xxhash64("slots"), F.col(n)).alias(n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(n)
+    columns = ["bucket", "doc_id", "component", "slots"]
+    left = members.filter("NOT linked").select(*columns, F.lit(0).alias("side"), mine("refused_blocks"), every("blocks"))
+    right = members.select(*columns, F.lit(1).alias("side"), every("refused_blocks"), mine("blocks"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        side, ids, label = (rows.column(c).to_numpy() for c in ("side", "doc_id", "component"))
+        slots = np.frombuffer(b"".join(rows.column("slots").to_pylist()), np.uint16).reshape(-1, SLOTS)
+        right = np.flatnonzero(side == 1)
+        label, out = label.copy(), []
+        for r in np.flatnonzero(side == 0):
+            other = right[label[right] != label[r]]
+            near = (slots[other] == slots[r]).mean(1)
+            for m in np.flatnonzero(near >= least):
+                a, b = r, other[m]
+                if label[a] != label[b]:
+                    out.append((max(ids[a], ids[b]), min(ids[a], ids[b]), near[m]))
+                    label[label == label[b]] = label[a]
+        columns = list(zip(*out)) or [(), (), ()]
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "other", "near"])
+
+    keys = ["bucket", "refused_blocks", "blocks"]
+    blocks = left.unionByName(right).repartition(*keys).groupBy(*keys)
+    return stage(blocks.applyInArrow(run, "doc_id long, other long, near double").distinct(), "links")
 
 
 #: Bytes of text that a range of ids holds on average; small inputs have a few ranges a core.

@@ -96,3 +96,43 @@ def test_similar_pairs(spark):
     pairs = {(r["doc_id"], r["other"]): r["near"] for r in editprint.similar(prints).collect()}
     assert set(pairs) == {(2, 1), (3, 1)} and pairs[(2, 1)] == 1 and pairs[(3, 1)] > 0.8
     assert prints.select(F.length("fingerprint")).distinct().collect()[0][0] == 256
+
+
+def joined(ids, pairs):
+    label = {d: d for d in ids}
+    for a, b in pairs:
+        old, new = sorted((label[a], label[b]))[::-1]
+        label = {d: new if c == old else c for d, c in label.items()}
+    return label
+
+
+def test_links_join_what_all_pairs_join(spark, monkeypatch):
+    """Pairs right at the threshold, also in a bucket whose head refuses all, in several blocks."""
+    monkeypatch.setattr(editprint, "BLOCK", 16)
+    rng = random.Random(12)
+    fresh = lambda n: [f"{rng.randrange(65536):04x}" for _ in range(n)]
+    passage, rows = fresh(24), {}
+    for k in range(120):
+        base = (passage + fresh(40)) if k % 2 else fresh(64)
+        rows[2 * k] = base
+        kept = set(range(24)) if k % 2 else set()  # 31 or 32 equal slots
+        kept |= set(rng.sample(sorted(set(range(64)) - kept), 31 + (k // 2) % 2 - len(kept)))
+        rows[2 * k + 1] = [b if i in kept else f for i, (b, f) in enumerate(zip(base, fresh(64)))]
+    ids = sorted(rows)
+    equal = lambda a, b: sum(x == y for x, y in zip(rows[a], rows[b]))
+    pairs = [(a, b) for a in ids for b in ids if b < a and equal(a, b) >= 32]
+    assert 20 < len(pairs) < 120
+    prints = spark.createDataFrame([(d, "".join(s)) for d, s in rows.items()], "doc_id long, fingerprint string")
+    links = editprint.similar(prints).collect()
+    assert all(r["near"] == equal(r["doc_id"], r["other"]) / 64 >= 0.5 for r in links)
+    assert joined(ids, [(r["doc_id"], r["other"]) for r in links]) == joined(ids, pairs)
+
+
+def test_pairs_of_slots_lose_no_fingerprint_at_the_threshold():
+    rng = random.Random(5)
+    for least in (0.1, 0.25, 0.5, 0.56, 0.63, 0.9, 1.0):
+        bands = editprint.band_pairs(least)
+        for _ in range(300):
+            equal = set(rng.sample(range(64), -int(-64 * least // 1)))
+            assert any(a in equal and b in equal for a, b in bands)
+    assert len(editprint.band_pairs(0.5)) == 35
