@@ -9,9 +9,11 @@ A pair of sets of similarity s meets in some table with probability (1 - (1 - s^
 Equal sets collapse to one representative first, and keys that only one representative has are
 dropped before the product is formed. In each bucket members meet one centre, the member with most
 company, not each other; the sets confirm or refuse each pair. Members of a bucket that its centre refuses may
-still be linked to other members. The differences of two sets from their common centre give their
-similarity without the texts, so these are compared in blocks of bounded size, bit-parallel, and only
-links that join two components come out. No link that a bucket shows is lost.
+still be linked to other members. Sets of similarity t share one of the first (1 - t) * n + 1 shingles of
+each in any common order, so members that share none of these with another member are left out first.
+The differences of two sets from their common centre give their similarity without the texts, so the
+others are compared in blocks of bounded size, and only links that join two components come out. No
+link that a bucket shows is lost.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from cargolens.plans.staging import stage
 SIDE, ROWS = 22, 4
 #: Members that one comparing group of a centre holds.
 GROUP = 256
-#: Members of a side of a block in which members are compared.
-BLOCK = 4096
+#: Members of a side of a block in which members are compared, and their differences in all.
+BLOCK, BLOCK_DIFFERENCES = 4096, 1 << 20
+#: Differences that more members of a block share are compared as bits, the others by lists.
+FREQUENT = 64
 
 _SIGNATURE = "doc_id long, n long, s1 long, s2 long, a array<long>, b array<long>"
 
@@ -138,7 +142,9 @@ def _buckets(reps: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``pairs`` (id, centre) with ``linked``: is 100 * intersection >= percent * union of the sets;
-    ``size`` of the set of id; and ``differences``: shingles that one of both sets has.
+    ``size`` of the set of id; ``differences``: shingles that one of both sets has; ``against``: a hash
+    of the centre's set; and ``first``: what the set of id has beside it, in order, as far as one of
+    these must be in any set linked to id (``short`` tells that there are too few to say so).
 
     A centre's text meets its members in groups of about ``GROUP``; a group is read as a stream that
     keeps the centre's set alone (its sets, where rows repeat its doc_id with other texts).
@@ -172,21 +178,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                 if held != (centre[r], part[r]):
                     held, centre_sets = (centre[r], part[r]), []
                 if kind[r] == 0:
-                    centre_sets.append(mine.copy())
+                    mark = np.bitwise_xor.reduce(tx.mix(mine), initial=np.uint64(len(mine)))
+                    centre_sets.append((int(tx.signed(np.array([mark], np.uint64))[0]), mine.copy()))
                     continue
-                for theirs in centre_sets:
+                for against, theirs in centre_sets:
                     apart = np.setxor1d(mine, theirs, assume_unique=True)
                     common = (len(mine) + len(theirs) - len(apart)) // 2
                     linked = len(mine) > 0 and 100 * common >= percent * (common + len(apart))
-                    out.append((ids[r], centre[r], linked, len(mine), tx.signed(apart)))
-            columns = list(zip(*out)) or [(), (), (), (), ()]
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
+                    extra = apart[np.isin(apart, mine, assume_unique=True)]
+                    most = len(mine) - -(-percent * len(mine) // 100) + 1
+                    first, short = tx.signed(extra[:most]), len(extra) < most
+                    out.append((ids[r], centre[r], linked, len(mine), tx.signed(apart), against, first, short))
+            columns = list(zip(*out)) or [()] * 8
+            lists = pa.list_(pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), lists, pa.int64(), lists, pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)],
-                names=["id", "centre", "linked", "size", "differences"],
+                names=["id", "centre", "linked", "size", "differences", "against", "first", "short"],
             )
 
-    kind = "id long, centre long, linked boolean, size long, differences array<long>"
+    kind = (
+        "id long, centre long, linked boolean, size long, differences array<long>, against long, "
+        "first array<long>, short boolean"
+    )
     return stage(rows.mapInArrow(run, kind), "confirmed")
 
 
@@ -235,30 +249,57 @@ def near_duplicates(
     )
 
 
+def _may_be_linked(tried: DataFrame) -> DataFrame:
+    """``tried`` without members that can be linked to no other member of their centre, by proof.
+
+    The shingles of a centre's members are ordered: those that the centre's set lacks first. A set of
+    n shingles and one linked to it share one of the first (100 - percent) * n / 100 + 1 of both.
+    Members whose ``first`` are fewer (``short``) also stay where there are two of them.
+    """
+    group = ["centre", "against"]
+    parts = tried.select(*group, "id", "linked", F.explode("first").alias("shingle"))
+    shared = parts.groupBy(*group, "shingle").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("refused")
+    )
+    shared = stage(shared.filter("n > 1 AND refused > 0").drop("n", "refused"), "shared")
+    meet = parts.join(shared, [*group, "shingle"]).select(*group, "id")
+    shorts = tried.filter("short").groupBy(*group).agg(
+        F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("refused")
+    )
+    shorts = shorts.filter("n > 1 AND refused > 0").select(*group)
+    meet = meet.unionByName(tried.filter("short").join(shorts, group).select(*group, "id"))
+    return tried.join(stage(meet.distinct(), "may-be-linked"), [*group, "id"])
+
+
 def _between_members(tried: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links between members of one centre that it left in different components.
 
-    Pairs of which the centre refused one are compared in blocks of ``BLOCK`` by ``BLOCK`` members.
+    Pairs of which the centre refused one are compared in blocks of about ``BLOCK`` by ``BLOCK``
+    members, fewer where these have many differences.
     """
-    refused = tried.filter("NOT linked").select("id", "centre")
-    if refused.isEmpty():
+    if tried.filter("NOT linked").isEmpty():
         return links.limit(0)
     label = components(links)
+    group = ["centre", "against"]
+    tried = stage(_may_be_linked(tried).drop("first", "short"), "tried")
 
     def labelled(df: DataFrame, key: str, name: str) -> DataFrame:
         known = label.select(F.col("id").alias(key), F.col("component").alias(name))
         return df.join(known, key, "left").withColumn(name, F.coalesce(name, key))
 
+    refused = tried.filter("NOT linked").select("id", *group)
     apart = labelled(labelled(refused, "id", "x"), "centre", "y").filter("x <> y")
-    counts = tried.groupBy("centre").agg(
-        F.ceil(F.count("*") / BLOCK).alias("blocks"),
-        F.ceil(F.count(F.when(~F.col("linked"), 1)) / BLOCK).alias("refused_blocks"),
+    far = F.size("differences")
+    blocks = lambda n, d: F.greatest(F.ceil(n / BLOCK), F.ceil(d / BLOCK_DIFFERENCES))
+    counts = tried.groupBy(*group).agg(
+        blocks(F.count("*"), F.sum(far)).alias("blocks"),
+        blocks(F.count_if(~F.col("linked")), F.sum(F.when(~F.col("linked"), far))).alias("refused_blocks"),
     )
-    counts = counts.join(apart.select("centre").distinct(), "centre", "left_semi")
-    members = labelled(tried.join(counts, "centre"), "id", "component")
+    counts = counts.join(apart.select(*group).distinct(), group, "left_semi")
+    members = labelled(tried.join(counts, group), "id", "component")
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).alias(n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(n)
-    columns = ["centre", "id", "size", "component", "differences"]
+    columns = [*group, "id", "size", "component", "differences"]
     left = members.filter("NOT linked").select(*columns, F.lit(0).alias("side"), mine("refused_blocks"), every("blocks"))
     right = members.select(*columns, F.lit(1).alias("side"), every("refused_blocks"), mine("blocks"))
 
@@ -268,19 +309,12 @@ def _between_members(tried: DataFrame, links: DataFrame, percent: int) -> DataFr
         )
         lists = rows.column("differences").combine_chunks()
         far = lists.value_lengths().to_numpy().astype(np.int64)
-        owner = np.repeat(np.arange(len(far)), far)
-        found, feature, uses = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        shared = uses[feature] > 1
-        number = np.cumsum(uses > 1) - 1
-        owner, feature = owner[shared], number[feature[shared]]
-        bits = np.zeros((len(far), max(1, -(-int((uses > 1).sum()) // 64))), np.uint64)
-        np.bitwise_or.at(bits, (owner, feature >> 6), np.uint64(1) << (feature & 63).astype(np.uint64))
+        found = _CommonDifferences(lists.flatten().to_numpy(), far)
         right = np.flatnonzero(side == 1)
         label, out = label.copy(), []
         for r in np.flatnonzero(side == 0):
             other = right[label[right] != label[r]]
-            common = np.bitwise_count(bits[other] & bits[r]).sum(1, dtype=np.int64)
-            apart = far[other] + far[r] - 2 * common
+            apart = far[other] + far[r] - 2 * found.common(r, other)
             both = (size[other] + size[r] - apart) // 2
             for m in other[(100 * both >= percent * (both + apart)) & (ids[other] != ids[r])]:
                 if label[m] != label[r]:
@@ -290,6 +324,42 @@ def _between_members(tried: DataFrame, links: DataFrame, percent: int) -> DataFr
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
     # dealt by block, else all blocks of a centre would stay in one task
-    keys = ["centre", "refused_blocks", "blocks"]
-    blocks = left.unionByName(right).repartition(*keys).groupBy(*keys)
-    return stage(blocks.applyInArrow(run, "a long, b long"), "links")
+    keys = [*group, "refused_blocks", "blocks"]
+    blocks_of = left.unionByName(right).repartition(*keys).groupBy(*keys)
+    return stage(blocks_of.applyInArrow(run, "a long, b long"), "links")
+
+
+class _CommonDifferences:
+    """How many values two lists have in common, for lists without repeats.
+
+    Values in over ``FREQUENT`` lists are bits: rows x values / ``FREQUENT`` / 8 bytes at most. For the
+    others the lists that hold a value are listed.
+    """
+
+    def __init__(self, values: np.ndarray, lengths: np.ndarray):
+        n = len(lengths)
+        owner = np.repeat(np.arange(n), lengths)
+        _, feature, uses = np.unique(values, return_inverse=True, return_counts=True)
+        often = uses > FREQUENT
+        number = np.cumsum(often) - 1
+        self._bits = np.zeros((n, max(1, -(-int(often.sum()) // 64))), np.uint64)
+        mine = often[feature]
+        at = number[feature[mine]]
+        np.bitwise_or.at(self._bits, (owner[mine], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        mine = ~mine & (uses[feature] > 1)
+        owner, feature = owner[mine], feature[mine]
+        order = np.argsort(feature, kind="stable")
+        self._holders = owner[order]
+        self._starts = np.concatenate([[0], np.cumsum(np.bincount(feature, minlength=len(uses)))])
+        self._features = feature
+        self._begins = np.searchsorted(owner, np.arange(n + 1))
+
+    def common(self, row: int, others: np.ndarray) -> np.ndarray:
+        out = np.bitwise_count(self._bits[others] & self._bits[row]).sum(1, dtype=np.int64)
+        mine = self._features[self._begins[row] : self._begins[row + 1]]
+        if len(mine):
+            begin, size = self._starts[mine], self._starts[mine + 1] - self._starts[mine]
+            steps = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            held = self._holders[np.repeat(begin, size) + steps]
+            out += np.bincount(held, minlength=len(self._bits))[others]
+        return out
