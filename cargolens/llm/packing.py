@@ -28,15 +28,30 @@ CAPACITY = 2048
 GROUP_ROWS = 20_000
 #: Code points that both libraries split alike; texts with others take the reference encoder.
 _COMMON = re.compile("[^\x00-ɏ]")
+#: Blanks in a row that ``tiktoken`` does not get: its pattern gives up at about a million.
+LONG_RUN = 100_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
+def _has_long_run(text: str) -> bool:
+    """Are there ``LONG_RUN`` blanks in a row?"""
+    # one of the places that are LONG_RUN apart lies in such a run
+    for at in range(LONG_RUN - 1, len(text), LONG_RUN):
+        if text[at].isspace():
+            before = text[at - LONG_RUN + 1 : at + 1]
+            after = text[at + 1 : at + LONG_RUN]
+            if len(before) - len(before.rstrip()) + len(after) - len(after.lstrip()) >= LONG_RUN:
+                return True
+    return False
+
+
 def _encoder(json_path: str, ranks_path: str | None):
     """A function from texts to lists of ids, as ``tokenizers`` gives them for ``json_path``.
 
     With ``ranks_path`` (the same vocabulary as ranks) texts of common code points go through
-    ``tiktoken``, which gives the same ids several times faster.
+    ``tiktoken``, which gives the same ids several times faster; texts with a run of ``LONG_RUN``
+    blanks, and others that it fails at, do not.
     """
     import base64
 
@@ -63,9 +78,12 @@ def _encoder(json_path: str, ranks_path: str | None):
         )
 
     def encode(text: str) -> list[int]:
-        if fast is None or _COMMON.search(text):
-            return exact.encode(text, add_special_tokens=False).ids
-        return fast.encode(text, allowed_special="all")
+        if fast is not None and not _COMMON.search(text) and not _has_long_run(text):
+            try:
+                return fast.encode(text, allowed_special="all")
+            except ValueError:  # its pattern ran out of stack
+                pass
+        return exact.encode(text, add_special_tokens=False).ids
 
     return encode
 

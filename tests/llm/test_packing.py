@@ -96,3 +96,29 @@ def test_bad_lengths_raise(spark):
     for length in (0, 2049, None):
         with pytest.raises(Exception, match="length"):
             packing.pack(spark.createDataFrame([(1, length)], "k long, length long"), ["k"]).collect()
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", " \t"])
+def test_long_runs_of_blanks(spark, exact, blank):
+    run = blank * (2_000_000 // len(blank))
+    texts = [(1, run), (2, "a" + run + "b"), (3, "x y " * 50_000 + run[: packing.LONG_RUN] + " z"), (4, "a b")]
+    rows = packing.packed_digest(spark.createDataFrame(texts, "doc_id long, text string"))
+    check(rows.orderBy("sequence_id", "offset").collect(), texts, exact)
+
+
+def test_long_runs_are_found_wherever_they_stand(monkeypatch):
+    monkeypatch.setattr(packing, "LONG_RUN", 10)
+    for before in range(25):
+        for n in range(14):
+            assert packing._has_long_run("a" * before + " " * n + "b" * (before % 7)) == (n >= 10)
+
+
+def test_exact_encoder_takes_what_the_fast_one_fails_at(exact, monkeypatch):
+    import tiktoken
+
+    def fails(self, text, **_):
+        raise ValueError("Regex error while tokenizing")
+
+    monkeypatch.setattr(tiktoken.Encoding, "encode", fails)
+    encode = packing._encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"))
+    assert encode("some words") == exact.encode("some words", add_special_tokens=False).ids
