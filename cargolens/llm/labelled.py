@@ -30,6 +30,16 @@ def training_labels(
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """``sample`` (doc_id and more) with a ``text``: one row a document, that of the smallest text hash.
+
+    Rows that repeat a doc_id are cut to one before the shuffle.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    return rows.groupBy(*sample.columns).agg(first.alias("t")).select(*sample.columns, "t.text")
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

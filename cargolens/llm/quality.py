@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cargolens.llm import text as tx
-from cargolens.llm.labelled import fresh_name, held_out, training_labels
+from cargolens.llm.labelled import fresh_name, held_out, labelled_texts, training_labels
 from cargolens.plans.staging import stage
 
 STATISTICS = (
@@ -219,10 +219,7 @@ def fit(training: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: floa
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> RuleModel:
     """The rule model for ``labels.quality`` from a bounded sample outside the held-out fold."""
     sample = training_labels(labels, "quality", folds, fold)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        F.broadcast(sample), "doc_id"
-    )
-    return fit(with_statistics(chosen, "statistics"))
+    return fit(with_statistics(labelled_texts(docs, sample), "statistics"))
 
 
 def scored(docs: DataFrame, model: RuleModel, score: str = "score") -> DataFrame:

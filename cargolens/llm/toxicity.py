@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm import text as tx
-from cargolens.llm.labelled import SAMPLE_ROWS, held_out, training_labels
+from cargolens.llm.labelled import SAMPLE_ROWS, held_out, labelled_texts, training_labels
+from cargolens.plans.staging import stage
 
 ORDER = 5
 SYMBOLS = 32
@@ -78,11 +79,13 @@ def grams(found: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def gram_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(gram, toxic, ordinary, every): counts in sampled toxic and ordinary texts, and in all.
+    """(gram, toxic, ordinary, every): counts in the toxic and ordinary texts of ``sample`` (text, label),
+    and in all texts of ``docs``.
 
     Each task counts its own grams first, at most 32^ORDER of them.
     """
-    rows = docs.join(F.broadcast(sample), "doc_id", "left").select("text", "label")
+    every = docs.select("text", F.lit(None).cast("double").alias("label"))
+    rows = every.unionByName(sample.select("text", "label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, np.ndarray] | None = None
@@ -105,7 +108,7 @@ def gram_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
                 order = np.argsort(code, kind="stable")
                 code, kind = code[order], kind[order]
                 first = np.flatnonzero(np.diff(code, prepend=-1))
-                flags = np.stack([kind == 1, kind == 0, np.ones(len(kind), bool)], 1)
+                flags = np.stack([kind == 1, kind == 0, kind == 2], 1)
                 add(code[first], np.add.reduceat(flags.astype(np.int64), first))
         if held is not None:
             yield pa.RecordBatch.from_arrays(
@@ -229,7 +232,8 @@ def train(
     local = sample.withColumn("curve", curve).toPandas()  # at most `most` short rows
     rows = list(local.itertuples(index=False, name=None))
     chosen = spark.createDataFrame(rows, "doc_id long, label double, curve boolean")
-    counts = gram_counts(docs, chosen.filter("NOT curve").select("doc_id", "label")).toPandas()
+    chosen = stage(labelled_texts(docs, chosen), "labelled")
+    counts = gram_counts(docs, chosen.filter("NOT curve")).toPandas()
     table = ratio_table(
         counts["gram"].to_numpy(np.int64),
         counts["toxic"].to_numpy(np.float64),
@@ -246,7 +250,7 @@ def train(
                 names=["label", "x"],
             )
 
-    fitted = docs.join(F.broadcast(chosen.filter("curve")), "doc_id").select("text", "label")
+    fitted = chosen.filter("curve").orderBy("doc_id").select("text", "label")
     fitted = fitted.mapInArrow(run, "label double, x array<double>").toPandas()
     if len(fitted):
         x, y = np.vstack(fitted["x"].to_list()), fitted["label"].to_numpy(np.float64)

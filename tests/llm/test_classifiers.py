@@ -78,6 +78,21 @@ def test_rules_are_sparse_and_compiled(spark):
     assert all((r["s"] >= 0.5) == (r["label"] == 1) for r in scored)
 
 
+def test_a_repeated_document_is_fitted_once(spark, monkeypatch):
+    texts = [(i, f"plain words number {i} and {'bad ' * (i % 2)}more of them") for i in range(60)]
+    kind = "doc_id long, text string"
+    docs = spark.createDataFrame(texts, kind)
+    hot = docs.unionByName(spark.createDataFrame([t for t in texts if t[0] % 7 == 3] * 30, kind)).repartition(5)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, toxic int, quality int")
+    once, again = toxicity.train(docs, labels), toxicity.train(hot, labels)
+    assert np.array_equal(once.table, again.table) and np.allclose(once.weights, again.weights)
+    rows = []
+    monkeypatch.setattr(quality, "fit", lambda training: rows.append(training.count()))
+    quality.train(docs, labels)
+    quality.train(hot, labels)
+    assert rows[0] == rows[1] > 20
+
+
 def test_grams_stay_inside_their_text():
     texts = ["abc  Def", "", "1é", None]
     found, offsets = toxicity.symbols(pa.array(texts, pa.string()))
