@@ -65,6 +65,8 @@ SHAPES = {
 }
 #: Code points before a span that the gazetteer sees.
 REACH = 24
+#: What the counts of a kind's vote patterns add up to in the fit.
+WEIGHT = 10_000
 LABELERS = ("strict", "announced", "shape", "apart", "length")
 
 _SPAN = "struct<start:int,end:int,text:string>"
@@ -224,7 +226,8 @@ def _classifier(votes: list[str], counts: list[int], right: np.ndarray) -> np.nd
     signs = _signs(votes)
     x = np.ones((len(signs), 1 + 2 * len(LABELERS)))
     x[:, 1::2], x[:, 2::2] = signs > 0, signs < 0
-    n = np.minimum(np.asarray(counts, float), 1e6)
+    n = np.asarray(counts, float)
+    n = n * (WEIGHT / n.sum())  # shares: the fit is the same at any size of the input
     w = np.zeros(x.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))

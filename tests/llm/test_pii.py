@@ -101,3 +101,11 @@ def test_estimation_finds_the_bad_labeler():
     right, reliability = pii.estimate(sorted(set(votes)), [votes.count(v) for v in sorted(set(votes))])
     assert reliability[3] < 0.7 < min(reliability[[0, 1, 2, 4]])
     assert right[sorted(set(votes)).index("+++++")] > 0.99
+
+
+def test_classifier_weighs_patterns_by_their_share():
+    votes, counts = ["+++++", "--0-+", "-+0+-", "-+-+-", "+-0++"], [50, 900, 30, 4, 16]
+    right, _ = pii.estimate(votes, counts)
+    few = pii._classifier(votes, counts, right)
+    many = pii._classifier(votes, [c * 10**5 for c in counts], right)
+    assert max(abs(few - many)) < 1e-6
