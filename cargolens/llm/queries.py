@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargolens.llm import bpe, chat, editprint, hamming, minhash, packing, pii, quality, suffixes, toxicity
+from cargolens.llm import bpe, chat, editprint, hamming, minhash, packing, pii, quality, suffixes, tokencount, toxicity
 from cargolens.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hamming_top_k": op8_hamming_top_k,
     "op9_edit_fingerprints": op9_edit_fingerprints,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
+    "op13_token_counts": op13_token_counts,
 }
 
 def _escaped_sql(text: str) -> str:
