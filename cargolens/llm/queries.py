@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cargolens.llm import bpe, chat, editprint, hamming, minhash, packing, pii, quality, suffixes, tokencount, toxicity
+from cargolens.llm import audit, bpe, chat, editprint, hamming, minhash, packing, pii, quality, suffixes, tokencount, toxicity
 from cargolens.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hamming_top_k": op8_hamming_top_k,
     "op9_edit_fingerprints": op9_edit_fingerprints,
     "op10_bpe_chunk_reuse": op10_bpe_chunk_reuse,
+    "op11_filter_audit": op11_filter_audit,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -138,4 +143,45 @@ ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank,
     vec_id, CAST(distance AS INTEGER) AS distance FROM pairs)
 SELECT * FROM ranked WHERE rank <= 10""",
+    "op11_filter_audit": """
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+words AS (
+  SELECT *, [x FOR x IN string_split_regex(t, '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w,
+    min(doc_id) OVER (PARTITION BY t) AS first_id
+  FROM texts),
+marks AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+masks AS (
+  SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad,
+    list_concat(CASE WHEN len(w) < 100 THEN ['A'] ELSE [] END,
+      CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN ['B'] ELSE [] END,
+      CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN ['C'] ELSE [] END,
+      CASE WHEN regexp_matches(t, '[#$%&*|]') THEN ['D'] ELSE [] END,
+      CASE WHEN words.doc_id > first_id THEN ['E'] ELSE [] END) AS failed
+  FROM words LEFT JOIN marks ON marks.doc_id = words.doc_id),
+counts AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS toxic
+  FROM masks GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS f, string_split(substr(filter_order, 1, step - 1), '') AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+rows AS (
+  SELECT part, filter_order, step, f, n, good, toxic, list_contains(failed, f) AS fails, failed = [f] AS alone,
+    list_has_any(failed, before) AS gone FROM counts, steps),
+figures AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE fails AND gone), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE alone), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE fails AND NOT gone), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE fails AND NOT gone), 0) AS toxic_lost
+  FROM rows GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM figures""",
 }
