@@ -62,17 +62,23 @@ def header_mapping(columns: Iterable[str]) -> dict[str, str]:
     return {c: target for c, target in known if target}
 
 
-def normalize_columns(df: DataFrame) -> DataFrame:
-    """Trim headers and rename the recognised ones.
+def canonical_names(columns: Iterable[str]) -> list[str]:
+    """Trimmed headers, the recognised ones under their fixed names.
 
     Two headers that would end up with one name are an error: Spark could not address them.
     """
-    mapping = header_mapping(df.columns)
-    targets = [mapping.get(c, c.replace("\ufeff", "").strip()) for c in df.columns]
+    columns = list(columns)
+    mapping = header_mapping(columns)
+    targets = [mapping.get(c, c.replace("\ufeff", "").strip()) for c in columns]
     twice = sorted({t for t in targets if targets.count(t) > 1})
     if twice:
         raise SchemaError(f"Several headers map to one column: {twice}")
-    return df.toDF(*targets)
+    return targets
+
+
+def normalize_columns(df: DataFrame) -> DataFrame:
+    """The table under its ``canonical_names``."""
+    return df.toDF(*canonical_names(df.columns))
 
 
 def missing_fields(columns: Iterable[str]) -> list[str]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from io import StringIO
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ from cargolens.constants import (
     TEXT_NO_EXPLANATION,
 )
 from cargolens.functions.columns import col, to_double
-from cargolens.schema import SchemaError, normalize_columns
+from cargolens.schema import SchemaError, canonical_names, normalize_columns
+from cargolens.sources.records import first_lines, join_records, split_maps
 
 INGEST_ORDER = ["ingest_file", "ingest_block", "ingest_seq"]
 SURPLUS = "ingest_surplus"
@@ -70,8 +72,16 @@ def read_csv(
     *,
     null_tokens: Iterable[str] = NULL_TOKENS,
     hs_as_int: bool = False,
+    line_breaks: bool = False,
 ) -> DataFrame:
-    """Plain scan of files with one header line each."""
+    """Plain scan of files with one header line each.
+
+    ``line_breaks`` says that quoted cells may hold line breaks; files stay splittable then too, and
+    each file has its own header.
+    """
+    if line_breaks:
+        line = F.regexp_replace("value", LINE_ENDS, "").alias("line")
+        return _read_records(spark.read.text(path).select(line, *_ingest_columns()), null_tokens, hs_as_int)
     names = spark.read.option("header", True).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
@@ -87,48 +97,70 @@ def read_uploaded_csv(
     null_tokens: Iterable[str] = NULL_TOKENS,
     hs_as_int: bool = False,
 ) -> DataFrame:
-    """Defensive scan (S2): BOM, empty fields at line ends, blank lines, unnamed columns.
+    """Defensive scan (S2): BOM, empty fields at line ends, blank lines, unnamed columns, quoted line breaks.
 
     Lines are cleaned before they are split into fields, so a trailing comma cannot shift the
-    columns. The first line of each file that is not blank is its header; files with the same header
-    are parsed together, and columns are brought together by name. A row with more fields than its
-    header keeps the first surplus one in ``ingest_surplus``, by which C10 rejects it. A quoted line
-    break is not supported here, as cleaning works line by line.
+    columns; a line break inside a quoted cell stays there as one line feed. The first record of each file is its header;
+    all files are parsed in one scan, whatever their headers, and columns are brought together by name. A row
+    with more fields than its header keeps the first surplus one in ``ingest_surplus``, by which C10 rejects it.
+    A file that ends inside a quoted cell is an error.
     """
-    lines = spark.read.text(path).select(
-        F.regexp_replace(
-            F.regexp_replace("value", LINE_ENDS, ""), EMPTY_FIELDS, ""
-        ).alias("line"),
-        *_ingest_columns(),
-    ).where(F.trim("line") != "")
+    tidy = F.regexp_replace(F.regexp_replace("value", LINE_ENDS, ""), EMPTY_FIELDS, "")
+    return _read_records(spark.read.text(path).select(tidy.alias("line"), *_ingest_columns()), null_tokens, hs_as_int)
+
+
+def _read_records(lines: DataFrame, null_tokens: Iterable[str], hs_as_int: bool) -> DataFrame:
+    """Lines of files, each with its header, as one table by column names."""
+    maps = split_maps(lines)
+    records, broken = join_records(lines, maps)
     place = F.struct("ingest_block", "ingest_seq")
-    heads = lines.groupBy("ingest_file").agg(
+    heads = records.groupBy("ingest_file").agg(
         F.min(place).alias("_head"), F.min_by("line", place).alias("_header")
     )
-    headers = sorted(r[0] for r in heads.select("_header").distinct().collect())  # distinct headers
+    found = [r[0] for r in heads.select("_header").distinct().collect()] if broken else first_lines(maps).values()
+    headers = sorted(set(found))
     if not headers:
         raise SchemaError("the file has no header line")
-    rows = lines.join(heads, "ingest_file").where(place != col("_head"))
-    parts = [_parsed(rows.where(col("_header") == F.lit(h)), h) for h in headers]
-    df = blank_tokens(drop_blank_unnamed(union_inputs(parts)), null_tokens)
+    # one row for each file, which the driver lists itself
+    numbered = F.array_position(F.array(*map(F.lit, headers)), col("_header")).cast("int") - 1
+    heads = F.broadcast(heads.select("ingest_file", "_head", numbered.alias("_kind")))
+    rows = records.join(heads, "ingest_file").where(place != col("_head"))
+    parsed = _parsed(rows, [_header_names(h) for h in headers])
+    df = blank_tokens(drop_blank_unnamed(parsed), null_tokens)
     own = [c for c in df.columns if c not in INGEST_COLUMNS]
     df = df.select(*map(col, own), *INGEST_COLUMNS)
     return whole_number_codes(df) if hs_as_int and "HS_Code" in df.columns else df
 
 
-def _parsed(rows: DataFrame, header: str) -> DataFrame:
-    """Lines of files with one header as columns under their fixed names."""
-    names = [
-        name if name.strip() else f"Unnamed: {i}" for i, name in enumerate(next(csv.reader([header])))
+def _header_names(header: str) -> list[str]:
+    """The columns of a header record under their fixed names."""
+    cells = next(csv.reader(StringIO(header, newline="")))
+    names = [name.replace(".", "_") if name.strip() else f"Unnamed: {i}" for i, name in enumerate(cells)]
+    return canonical_names(names)
+
+
+def _parsed(rows: DataFrame, headers: Sequence[Sequence[str]]) -> DataFrame:
+    """Records of files with several headers as columns by name; ``_kind`` numbers a row's header.
+
+    A record is split into as many cells as the widest header has, and one more; for each column a
+    list by header says which cell it is.
+    """
+    width = max(map(len, headers)) + 1
+    fields = ", ".join(f"c{i} string" for i in range(width))
+    options = {"escape": '"', "maxColumns": str(max(20480, width))}
+    cells = rows.select(F.from_csv("line", fields, options).alias("f"), "_kind", *INGEST_ORDER)
+    cells = cells.select(F.array(*(F.col(f"f.c{i}") for i in range(width))).alias("_cells"), "_kind", *INGEST_ORDER)
+
+    def cell(places: Sequence[int | None]) -> Column:
+        same = len(set(places)) == 1
+        return F.get("_cells", F.lit(places[0]) if same else F.get(F.array(*map(F.lit, places)), col("_kind")))
+
+    names = list(dict.fromkeys(name for header in headers for name in header))
+    named = [
+        cell([header.index(name) if name in header else None for header in headers]).alias(name) for name in names
     ]
-    fields = ", ".join(f"c{i} string" for i in range(len(names) + 1))
-    parsed = rows.select(F.from_csv("line", fields, {"escape": '"'}).alias("f"), *INGEST_ORDER)
-    named = parsed.select(
-        *[F.col(f"f.c{i}").alias(n.replace(".", "_")) for i, n in enumerate(names)],
-        *INGEST_ORDER,
-        F.nullif(F.trim(F.col(f"f.c{len(names)}")), F.lit("")).alias(SURPLUS),
-    )
-    return normalize_columns(named)
+    surplus = F.nullif(F.trim(cell([len(header) for header in headers])), F.lit(""))
+    return cells.select(*named, *INGEST_ORDER, surplus.alias(SURPLUS))
 
 
 def with_row_numbers(df: DataFrame, name: str = "ingest_row") -> DataFrame:

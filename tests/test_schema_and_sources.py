@@ -1,5 +1,9 @@
 import glob
+import io
+import random
+import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +12,7 @@ from cargolens.operators.cleaning import clean, reject_reasons, standardize
 from cargolens.schema import SchemaError, header_mapping, missing_fields, normalize_columns, require_schema
 from cargolens.sources import csv as source
 from cargolens.sources import sinks
+from cargolens.sources.records import inside_after
 from cargolens.sources.store import BatchStore
 
 HEADER = (
@@ -90,6 +95,90 @@ def test_reader_takes_each_file_by_its_own_header(spark, tmp_path):
     assert (rows["A"]["ingest_surplus"], rows["A2"]["ingest_surplus"]) == (None, "EXTRA")
 
 
+BROKEN = [
+    "id,note,score",
+    'a,"one\ntwo, ""three"",\n\n ,four",1',
+    "",
+    'b,5" pipe,2',
+    'c,"x""y",3',
+    'd,"\n",4,',
+    'e,plain,5',
+    'f,"ends, here",6',
+    'g,"""\n""\n""",7',
+]
+
+
+def pandas_rows(text):
+    lines = [re.sub(r"(,\s*)+$", "", line) for line in text.splitlines()]
+    df = pd.read_csv(io.StringIO("\n".join(lines)), index_col=False, dtype=str, keep_default_na=False)
+    return sorted(tuple(x or None if isinstance(x, str) else None for x in row) for row in df.itertuples(index=False))
+
+
+@pytest.mark.parametrize("size", [7, 16, 40, 1 << 20])
+def test_quoted_line_breaks_at_any_split_border(spark, tmp_path, size):
+    """Every split border falls somewhere in a record; the rows are those of a reader of whole files."""
+    text = "\n".join(BROKEN) + "\n"
+    (tmp_path / "a.csv").write_text(text)
+    (tmp_path / "b.csv").write_text(text.replace("\n", "\r\n"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        df = source.read_uploaded_csv(spark, str(tmp_path), null_tokens=[""])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    rows = df.collect()
+    found = sorted((r["id"], r["note"], r["score"]) for r in rows)
+    assert found == sorted(2 * pandas_rows(text))
+    assert all(r["ingest_surplus"] is None for r in rows)
+    ids = [r["id"] for r in sorted(rows, key=lambda r: tuple(r[c] for c in source.INGEST_ORDER))]
+    assert ids == 2 * list("abcdefg")
+
+
+def test_line_states_follow_a_reader_of_characters():
+    rng = random.Random(7)
+
+    def plain(line, inside):
+        state = "quoted" if inside else "begin"
+        for c in line:
+            if state == "quoted":
+                state = "closed" if c == '"' else "quoted"
+            elif c == ",":
+                state = "begin"
+            elif c == '"' and state in ("begin", "closed"):
+                state = "quoted"
+            else:
+                state = "plain"
+        return state == "quoted"
+
+    for _ in range(20_000):
+        line = "".join(rng.choices('",ab', k=rng.randrange(9)))
+        for inside in (False, True):
+            assert inside_after(line, inside) == plain(line, inside), (line, inside)
+    assert inside_after('a,"' + '""' * 100_000, False)
+
+
+def test_header_over_two_lines_and_open_quotes(spark, tmp_path):
+    write(tmp_path, '\ufeff"Container\n_ID",Declared_Value', 'A,"1\n"', name="a.csv")
+    df = source.read_uploaded_csv(spark, str(tmp_path))
+    assert [r["Declared_Value"] for r in df.collect()] == ["1\n"]
+    write(tmp_path, "Container_ID", 'A,"1', name="b.csv")
+    with pytest.raises(SchemaError, match="not closed"):
+        source.read_uploaded_csv(spark, str(tmp_path))
+    plain = source.read_csv(spark, write(tmp_path, "x,y", '1,"a, \nb"', name="c.csv") + "/c.csv", line_breaks=True)
+    assert [(r["x"], r["y"]) for r in plain.collect()] == [("1", "a, \nb")]
+
+
+def test_many_headers_are_one_scan(spark, tmp_path):
+    for i, names in enumerate(["a,b", "b,a,c", "c", "d.e,a"]):
+        write(tmp_path, names, ",".join(str(10 * i + k) for k in range(names.count(",") + 1)), name=f"{i}.csv")
+    df = source.read_uploaded_csv(spark, str(tmp_path))
+    rows = {tuple(r[c] for c in ("a", "b", "c", "d_e")) for r in df.collect()}
+    assert rows == {("0", "1", None, None), ("11", "10", "12", None), (None, None, "20", None), ("31", None, None, "30")}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # the rows, and the first line of each file
+    assert plan.count("Relation [") <= 2 and "Union" not in plan
+
+
 def test_surplus_fields_are_a_reject_reason(spark, tmp_path):
     path = write(tmp_path, HEADER, *ROWS[:2], ROWS[2].rstrip(", ") + ",1,2,3,4,5,6,7,8")
     df = standardize(source.read_uploaded_csv(spark, path))
