@@ -216,29 +216,28 @@ def clean(
 # --- C9, C10: what was removed and why --------------------------------------------------
 
 
-def _reject_reason(
-    columns: Sequence[str], medians: Mapping[str, float], limits: Mapping[str, tuple]
-) -> Column:
+def _missing_reason(columns: Sequence[str]) -> Column:
     missing = reduce(or_, [col(c).isNull() for c in _critical(columns)])
-    good = F.coalesce(in_ranges(columns, limits, medians), F.lit(False))
     # a row with more fields than its header: its values may stand in the wrong columns
     surplus = col("ingest_surplus").isNotNull() if "ingest_surplus" in columns else F.lit(False)
-    return (
-        F.when(surplus, "surplus_fields")
-        .when(missing, "missing_critical")
-        .when(~good, "invalid_range")
-    )
+    return F.when(surplus, "surplus_fields").when(missing, "missing_critical")
 
 
-def reject_reasons(
-    df: DataFrame,
-    order_cols: Sequence[str],
-    medians: Mapping[str, float],
-    *,
-    limits: Mapping[str, tuple] = RANGE_LIMITS,
-    unique_order: bool = False,
-) -> DataFrame:
-    """Every input row with the reason it failed, NULL for a good one.
+def _range_reason(
+    columns: Sequence[str], medians: Mapping[str, float], limits: Mapping[str, tuple]
+) -> Column:
+    good = F.coalesce(in_ranges(columns, limits, medians), F.lit(False))
+    return F.when(~good, "invalid_range")
+
+
+def _reject_reason(
+    columns: Sequence[str], medians: Mapping[str, float], limits: Mapping[str, tuple]
+) -> Column:
+    return F.coalesce(_missing_reason(columns), _range_reason(columns, medians, limits))
+
+
+def tag_rows(df: DataFrame, order_cols: Sequence[str], *, unique_order: bool = False) -> DataFrame:
+    """Standardised rows with ``copies`` and what C3 and C4 say of them in ``reject_reason``.
 
     Exact copies are counted once in ``copies`` before anything moves, so a row repeated over a
     third of the table is one row from there on. The first row of each container comes from a
@@ -258,19 +257,81 @@ def reject_reasons(
     first = rows.groupBy(col(ID).alias("_id")).agg(F.min(place).alias("_first"))
     matched = rows.join(first, col(ID).eqNullSafe(F.col("_id")))
     duplicate = F.lit("duplicate")
-    reason = _reject_reason(columns, medians, limits)
 
     def part(copies: Column, why: Column) -> Column:
         return F.struct(copies.cast("long").alias("copies"), why.alias("reject_reason"))
 
     parts = F.when(
         place.eqNullSafe(F.col("_first")),
-        F.array(part(F.lit(1), reason), part(F.col("_n") - 1, duplicate)),
+        F.array(part(F.lit(1), _missing_reason(columns)), part(F.col("_n") - 1, duplicate)),
     ).otherwise(F.array(part(F.col("_n"), duplicate)))
     kept = F.filter(parts, lambda x: x["copies"] > 0)
     return matched.select(*map(col, columns), F.inline(kept))
 
 
+def tagged_medians(
+    tagged: DataFrame, extra_numeric: Sequence[str] = (), *, exact: bool = True
+) -> dict[str, float]:
+    """Medians that C5 fills in, from tagged rows; these should be staged, several passes read them."""
+    rows = tagged.where(col("reject_reason").isNull())
+    return numeric_medians(rows, _fillable(rows, extra_numeric), exact=exact)
+
+
+def judge_rows(
+    tagged: DataFrame, medians: Mapping[str, float], *, limits: Mapping[str, tuple] = RANGE_LIMITS
+) -> DataFrame:
+    """Tagged rows with the final ``reject_reason``: what C7 says of those that are left."""
+    reason = F.coalesce(col("reject_reason"), _range_reason(tagged.columns, medians, limits))
+    return tagged.withColumn("reject_reason", reason)
+
+
+def reject_reasons(
+    df: DataFrame,
+    order_cols: Sequence[str],
+    medians: Mapping[str, float],
+    *,
+    limits: Mapping[str, tuple] = RANGE_LIMITS,
+    unique_order: bool = False,
+) -> DataFrame:
+    """Every input row with the reason it failed, NULL for a good one."""
+    return judge_rows(tag_rows(df, order_cols, unique_order=unique_order), medians, limits=limits)
+
+
+def cleaned_of(
+    judged: DataFrame, medians: Mapping[str, float], *, keep_null: Sequence[str] = ()
+) -> DataFrame:
+    """The rows of C8 from judged ones: the good ones, filled."""
+    good = judged.where(col("reject_reason").isNull()).drop("copies", "reject_reason")
+    return fill_categorical(fill_numeric(good, medians), keep_null)
+
+
+#: Counters of judged rows by reason, to be observed while they are written.
+REASON_COUNTS = {
+    "duplicates": ("duplicate",),
+    "missing": ("missing_critical", "surplus_fields"),
+    "invalid": ("invalid_range",),
+}
+
+
+def reason_counts() -> list[Column]:
+    """The counters of ``REASON_COUNTS`` as aggregates, for ``DataFrame.observe``."""
+    return [
+        F.coalesce(F.sum(F.when(col("reject_reason").isin(*reasons), col("copies"))), F.lit(0).cast("long")).alias(name)
+        for name, reasons in REASON_COUNTS.items()
+    ]
+
+
+def observed_accounting(spark, rejected: Mapping[str, int], valid: int) -> DataFrame:
+    """The row of C9 from counters that were observed."""
+    failed = sum(rejected[name] for name in REASON_COUNTS)
+    row = (
+        "success" if valid else "partial_success", failed + valid, valid, failed,
+        *(rejected[name] for name in REASON_COUNTS),
+    )
+    names = ["rows_received", "rows_valid", "rows_failed", "duplicates_removed", "rows_with_missing_critical", "invalid_value_ranges"]
+    return spark.createDataFrame([row], "status string, " + ", ".join(f"{n} long" for n in names))
+
+
 def row_accounting(
     df: DataFrame,
     order_cols: Sequence[str | Column],

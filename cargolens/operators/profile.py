@@ -19,7 +19,9 @@ from cargolens.functions.columns import col
 from cargolens.plans.staging import stage
 
 ROUTE = ["Origin_Country", "Destination_Port"]
-_MOMENTS = ["weight", "density", "dwell"]
+#: What the moments are taken of.
+MOMENT_SOURCES = {"weight": "weight_diff_abs", "density": "value_per_kg", "dwell": "Dwell_Time_Hours"}
+_MOMENTS = list(MOMENT_SOURCES)
 
 
 @dataclass
@@ -81,10 +83,9 @@ class Profile:
 
 def moment_columns() -> list:
     """Mean and sample deviation of weight gap, value density and dwell as one aggregate."""
-    sources = dict(zip(_MOMENTS, ["weight_diff_abs", "value_per_kg", "Dwell_Time_Hours"]))
     return [
         agg(col(c)).alias(f"{name}_{suffix}")
-        for name, c in sources.items()
+        for name, c in MOMENT_SOURCES.items()
         for suffix, agg in (("mean", F.avg), ("std", F.stddev_samp))
     ]
 

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cargolens.constants import ANOMALY_WEIGHT, CLASSIFIER_WEIGHT
@@ -16,13 +16,18 @@ from cargolens.operators.cleaning import (
     CleanOptions,
     clean,
     clean_medians,
+    cleaned_of,
     finish_rows,
+    judge_rows,
+    observed_accounting,
     prepare_rows,
     readable_labels,
-    reject_reasons,
+    reason_counts,
     row_accounting,
     standardize,
     standardize_history,
+    tag_rows,
+    tagged_medians,
     unique_medians,
 )
 from cargolens.operators.explain import INPUTS
@@ -155,7 +160,9 @@ def score_table(
 ) -> str:
     """Clean and score a table and store the batch; returns the batch id.
 
-    Without a profile the statistics are those of this batch. Cleaned rows and predictions are
+    Without a profile the statistics are those of this batch. The input is read once and written
+    as typed rows; one tagged table of them says what C3 and C4 drop, and rejects and cleaned rows are
+    filters of it, counted as they are written (by steps that a retry does not count twice). Cleaned rows and predictions are
     written once each, and everything behind them reads those tables. ``model`` may also be a
     function that adds classifier_score and anomaly_score to feature rows. The batch also holds
     the row counters (C9), the rejected rows with their reasons (C10) and the rows per clearance
@@ -163,27 +170,25 @@ def score_table(
     """
     batch_id = batch_id or uuid.uuid4().hex[:8]
     bounds = profile.anomaly_bounds if profile else None
-    with Staging(df.sparkSession) as staging:
+    spark = df.sparkSession
+    with Staging(spark) as staging:
         rows = standardize(df, cleaning.date_formats)
         if missing_fields(df.columns):
             store.write_accounting(row_accounting(rows, order_cols, {}), batch_id)
         require_schema(df)
+        typed = staging(rows, "typed")
+        tagged = staging(tag_rows(typed, order_cols, unique_order=list(order_cols) == INGEST_ORDER), "tagged")
         medians = profile.medians if profile and profile.medians else None
         if medians is None:
-            medians = clean_medians(
-                rows, order_cols, extra_numeric=cleaning.extra_numeric, exact=cleaning.exact
-            )
-        judged = reject_reasons(
-            rows, order_cols, medians, limits=cleaning.limits, unique_order=list(order_cols) == INGEST_ORDER
-        )
-        store.write_rejects(judged.where("reject_reason IS NOT NULL"), batch_id)
-        counters = row_accounting(rows, order_cols, medians, limits=cleaning.limits)
-        store.write_accounting(counters, batch_id)
-        cleaned = clean(
-            df, order_cols, medians=medians, staging=staging, limits=cleaning.limits,
-            keep_null=cleaning.keep_null, date_formats=cleaning.date_formats,
-        )
+            medians = tagged_medians(tagged, cleaning.extra_numeric, exact=cleaning.exact)
+        judged = judge_rows(tagged, medians, limits=cleaning.limits)
+        rejected, kept = Observation(), Observation()
+        rejects = judged.where("reject_reason IS NOT NULL").observe(rejected, *reason_counts())
+        store.write_rejects(rejects, batch_id)
+        cleaned = cleaned_of(judged, medians, keep_null=cleaning.keep_null)
+        cleaned = cleaned.observe(kept, F.count(F.lit(1)).alias("valid"))
         store.write_cleaned(cleaned, batch_id)
+        store.write_accounting(observed_accounting(spark, rejected.get, kept.get["valid"]), batch_id)
         cleaned = store.cleaned(batch_id)
         features = engineer_features(cleaned, profile, staging=staging)
         keep = [c for c in ("Container_ID", "ingest_seq") if c in features.columns]

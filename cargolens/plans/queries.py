@@ -17,6 +17,7 @@ from cargolens.functions.columns import col, to_double
 from cargolens.operators import cleaning, explain, labels, metrics, models, profile, reports, scoring
 from cargolens.operators import features as feature_ops
 from cargolens.operators.forest import fit_forest, isolation_score, max_depth, scaled_anomaly, score_bounds
+from cargolens.operators.profile_state import RANK_ERROR, ProfileLog
 from cargolens.plans import derived, jobs
 from cargolens.plans.oracle import STEPS, sql
 from cargolens.plans.staging import stage, stage_path
@@ -726,6 +727,55 @@ def p3(spark, sf_dir):
     return csv_source.union_inputs(parts)
 
 
+def _profile_log(spark, sf_dir) -> ProfileLog:
+    """The table in three batches of odd sizes, one of them taken in twice."""
+    log = ProfileLog(spark, stage_path(spark, "profile-log"))
+    cleaned = feature_ops.with_measures(derived.cleaned(spark, sf_dir))
+    unfilled = cleaning.drop_missing_critical(derived.unique(spark, sf_dir))
+    part = F.when(F.crc32(col("Container_ID").cast("binary")) % 10 == 0, 0).when(col("HS_Code") < "300000", 1).otherwise(2)
+    for i in (0, 1, 2, 1):
+        log.add(f"part{i}", cleaned.where(part == i), unfilled.where(part == i))
+    return log
+
+
+@query("p1_merged_moments", ORACLE["p1_moments"])
+def p1_merged(spark, sf_dir):
+    return rounded(_profile_log(spark, sf_dir).profile(medians=False).as_row(spark), 4)
+
+
+@query("p2_merged_routes", ORACLE["p2_route_counts"])
+def p2_merged(spark, sf_dir):
+    return _profile_log(spark, sf_dir).profile(medians=False).lookup("route")
+
+
+@query("p3_merged_categories", ORACLE["p3_category_counts"])
+def p3_merged(spark, sf_dir):
+    found = _profile_log(spark, sf_dir).profile(medians=False)
+    parts = [
+        t.select(F.lit(c).alias("category"), col(c).alias("name"), col(f"{c}_rows").alias("n"))
+        for c, t in found.categories.items()
+    ]
+    return csv_source.union_inputs(parts)
+
+
+@query("c5_sketched_median", "SELECT 'Dwell_Time_Hours' AS name, TRUE AS within_bound")
+def c5_sketched(spark, sf_dir):
+    """The share of values below and up to the sketched median encloses one half, but for the sketch's stated error."""
+    medians = _profile_log(spark, sf_dir).medians()
+    rows = cleaning.drop_missing_critical(derived.unique(spark, sf_dir))
+    shares = [
+        rows.where(col(name).isNotNull()).agg(
+            F.lit(name).alias("name"),
+            (
+                (F.avg((col(name) < m).cast("double")) <= 0.5 + RANK_ERROR)
+                & (F.avg((col(name) <= m).cast("double")) >= 0.5 - RANK_ERROR)
+            ).alias("within_bound"),
+        )
+        for name, m in medians.items()
+    ]
+    return csv_source.union_inputs(shares)
+
+
 # --- M: models and metrics --------------------------------------------------------------
 
 
@@ -1315,6 +1365,48 @@ def j3(spark, sf_dir):
     return rounded(store.predictions(batch))
 
 
+def _blended(rows: DataFrame) -> list[Column]:
+    """Whether a prediction's score, level and confidence follow from its two model scores."""
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.7 * col("classifier_score") + 0.3 * col("anomaly_score")))
+    level = F.when(score >= 0.75, "Critical").when(score >= 0.5, "High").when(score >= 0.25, "Medium").otherwise("Low")
+    best = F.greatest("classifier_score", "anomaly_score")
+    return [
+        (F.abs(col("risk_score") - score * 100) < 1e-9).alias("blended"),
+        (col("risk_level") == level).alias("levelled"),
+        (F.abs(col("confidence") - best) < 1e-12).alias("confident"),
+    ]
+
+
+def _same_scores(spark, sf_dir, run, rows: DataFrame, name: str, *more: Column) -> DataFrame:
+    """Stored scores beside those of a trained model on the cleaned rows."""
+    features = feature_ops.engineer_features(derived.cleaned(spark, sf_dir), run.profile)
+    own = models.predict_scores(features, run.model, run.profile.anomaly_bounds).select(
+        col("Container_ID").alias("_id"), col("classifier_score").alias("_c"), col("anomaly_score").alias("_a")
+    )
+    same = F.abs(col("classifier_score") - col("_c")) + F.abs(col("anomaly_score") - col("_a")) < 1e-12
+    return rows.join(own, col(name) == col("_id")).select(col(name).alias("Container_ID"), same.alias("same_scores"), *more)
+
+
+@query(
+    "j3_trained_batch",
+    sql("cleaned", "SELECT Container_ID, TRUE AS same_scores, TRUE AS blended, TRUE AS levelled, TRUE AS confident FROM cleaned"),
+)
+def j3_trained(spark, sf_dir):
+    """A batch scored by a trained model with its own profile, whose rows a frozen one would score alike."""
+    run = derived.trained(spark, sf_dir)
+    store = BatchStore(spark, stage_path(spark, "batches"))
+    batch = jobs.score_table(shipments(spark, sf_dir), ORDER, run.model, store, profile=run.profile)
+    rows = store.predictions(batch)
+    return _same_scores(spark, sf_dir, run, rows, "container_id", *_blended(rows))
+
+
+@query("j6_trained_scores", sql("cleaned", "SELECT Container_ID, TRUE AS same_scores FROM cleaned"))
+def j6_trained(spark, sf_dir):
+    run = derived.trained(spark, sf_dir)
+    rows = jobs.score_rows_of(derived.unique(spark, sf_dir), ORDER, run.model, profile=run.profile)
+    return _same_scores(spark, sf_dir, run, rows, "container_id")
+
+
 #: Scored rows of the shipments whose status is a readable label, with row counts of the input.
 _STATUS_STEPS = sql("judged", "").replace(
     "ships AS (", "received AS (", 1
@@ -1342,6 +1434,33 @@ def _status_report(spark, sf_dir) -> DataFrame:
     return report
 
 
+@query(
+    "j4_trained_evaluate",
+    _STATUS_STEPS + """
+SELECT (SELECT count(*) FROM received) AS total_rows, (SELECT count(*) FROM ships) AS rows_with_valid_labels,
+  (SELECT count(*) FROM judged) AS rows_after_cleaning, (SELECT count(*) FROM judged WHERE status = 1) AS risky,
+  TRUE AS cells_agree, TRUE AS accuracy_agrees, TRUE AS auc_in_range""",
+)
+def j4_trained(spark, sf_dir):
+    """The report of a trained model, its cells and accuracy counted again from the row-level table."""
+    run = derived.trained(spark, sf_dir)
+    report, rows = jobs.evaluate(shipments(spark, sf_dir), ORDER, run.model, label="Clearance_Status")
+    truth, said = col("actual_label"), col("predicted_label")
+    pairs = ((0, 0), (0, 1), (1, 0), (1, 1))
+    counted = rows.agg(
+        F.count_if(truth == 1).alias("risky"),
+        F.array(*(F.count_if((truth == t) & (said == p)) for t, p in pairs)).alias("cells"),
+        F.avg((truth == said).cast("double")).alias("right"),
+    )
+    cells = F.array(*(col("confusion_matrix")[c] for c in _CELLS))
+    return report.crossJoin(counted).select(  # one row each
+        "total_rows", "rows_with_valid_labels", "rows_after_cleaning", "risky",
+        (cells == col("cells")).alias("cells_agree"),
+        (F.abs(col("accuracy") - col("right")) < 1e-12).alias("accuracy_agrees"),
+        col("roc_auc").between(0, 1).alias("auc_in_range"),
+    )
+
+
 @query("m14_evaluate", _STATUS_REPORT_SQL)
 def m14(spark, sf_dir):
     return _flat_report(_status_report(spark, sf_dir))

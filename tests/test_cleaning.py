@@ -150,3 +150,34 @@ def test_preview(spark):
 
 def test_required_columns_are_fifteen():
     assert len(REQUIRED_COLUMNS) == 15
+
+
+def test_a_batch_reads_its_input_once(spark, tmp_path):
+    """All tables of J3 come from one pass over the input, with the counters of separate passes."""
+    from cargolens.functions.columns import col
+    from cargolens.plans import jobs
+    from cargolens.plans.testtables import ORDER, rule_columns, shipments
+    from cargolens.sources.store import BatchStore
+
+    raw = shipments(spark, "/root/testdata/sf0.001").withColumn("ingest_surplus", F.when(col("k_part") % 50 == 0, "x"))
+    raw = raw.unionByName(raw.where("k_part % 7 = 0"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    counted = raw.mapInPandas(count, raw.schema)
+    total = raw.count()
+    store = BatchStore(spark, str(tmp_path))
+    batch = jobs.score_table(counted, ORDER, rule_columns, store)
+    assert seen.value == total
+    rows = C.standardize(raw)
+    medians = C.clean_medians(rows, ORDER)
+    assert store.accounting(batch).first() == C.row_accounting(rows, ORDER, medians).first()
+    names = ["Container_ID", "reject_reason", "copies"]
+    alone = C.reject_reasons(rows, ORDER, medians).where("reject_reason IS NOT NULL").select(names)
+    assert sorted(store.rejects(batch).select(names).collect(), key=str) == sorted(alone.collect(), key=str)
+    cleaned = C.clean(raw, ORDER)
+    assert sorted(store.cleaned(batch).select(cleaned.columns).collect(), key=str) == sorted(cleaned.collect(), key=str)
