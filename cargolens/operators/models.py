@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.functions.columns import col, draw60
+from cargolens.operators.descent import Descent, fit_descent
 from cargolens.operators.features import available_features
 from cargolens.operators.forest import (
     Forest,
@@ -23,6 +24,7 @@ from cargolens.operators.forest import (
 )
 from cargolens.operators.labels import guard_single_class
 from cargolens.operators.metrics import binary_metrics, class_report, roc_auc
+from cargolens.operators.selection import order_statistic_of_groups
 from cargolens.plans.staging import checkpoint_folder, stage
 
 
@@ -49,6 +51,29 @@ def split(
     return df.where(~held_out), df.where(held_out)
 
 
+def stratified_split(
+    df: DataFrame,
+    label: str = "label",
+    test_share: float = 0.2,
+    *,
+    id_col: str = "Container_ID",
+    seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows with the same share of each class, to the row (M2).
+
+    Of the n rows of a class the round(share * n) with the lowest draws are held out (halves go up); their
+    highest draw is found exactly for all classes in the same few passes over the narrow column, so
+    rows are not sorted or moved. Rows with one id stay together; rows without a label are trained on.
+    """
+    draw = draw60(id_col, seed)
+    cuts = order_statistic_of_groups(df, col(label), draw, lambda n: int(test_share * n + 0.5) - 1)
+    held_out = F.lit(False)
+    for value, cut in cuts.items():
+        held_out = F.when(col(label) == value, draw <= cut).otherwise(held_out)
+    held_out = F.coalesce(held_out, F.lit(False))
+    return df.where(~held_out), df.where(held_out)
+
+
 def scaler(input_col: str = "assembled", output_col: str = "features") -> StandardScaler:
     """Standard scaling to mean 0 and deviation 1 (M3); Spark's own, with the sample deviation."""
     return StandardScaler(inputCol=input_col, outputCol=output_col, withMean=True, withStd=True)
@@ -148,7 +173,8 @@ def classifier_scores(df: DataFrame, model: RiskModel) -> DataFrame:
     """Probability of class 1, within [0, 1]."""
     extra = ["assembled", "features", "rawPrediction", "probability", "prediction"]
     scored = model.classifier.transform(feature_matrix(df, model.features))
-    chance = vector_to_array(col("probability"))[1]
+    own = "classifier_score" in scored.columns  # a model by gradient descent gives the number itself
+    chance = col("classifier_score") if own else vector_to_array(col("probability"))[1]
     chance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), chance))
     return scored.withColumn("classifier_score", chance).drop(*extra)
 
@@ -187,6 +213,8 @@ def train(
     label: str = "label",
     *,
     use_logistic: bool = False,
+    use_descent: bool = False,
+    exact_split: bool = False,
     use_balanced_weights: bool = True,
     test_share: float = 0.2,
     max_iter: int | None = None,
@@ -197,6 +225,8 @@ def train(
 ) -> RiskModel:
     """Fit classifier and forest on 80 percent and measure on the rest.
 
+    ``use_descent`` fits the logistic model by full-batch gradient descent on scaled features, without
+    class weights; ``exact_split`` holds out the same share of each class to the row.
     The assembled matrix is staged, since fitting reads it many times. ``bounds`` of the model
     are the lowest and highest isolation score of all rows, for frozen scoring.
     """
@@ -208,16 +238,22 @@ def train(
     if flip_single_class:
         matrix = guard_single_class(matrix, label, seed=seed)
     matrix = staging(matrix.withColumn("_draw", split_draw(seed=seed)), "matrix")
-    train_rows = matrix.where(col("_draw") >= test_share)
-    test_rows = matrix.where(col("_draw") < test_share)
+    if exact_split:
+        train_rows, test_rows = stratified_split(matrix, label, test_share, seed=seed)
+    else:
+        train_rows, test_rows = matrix.where(col("_draw") >= test_share), matrix.where(col("_draw") < test_share)
     weights = balanced_weights(train_rows, label) if use_balanced_weights else {0: 1.0, 1: 1.0}
     weighted = with_class_weight(train_rows, weights, label)
     if use_logistic:
         recipe = logistic(features, max_iter=max_iter or 500, label=label)
     else:
         recipe = boosted_trees(features, max_iter=max_iter or 200, label=label, seed=seed)
+    fitted: Descent | None = None
+    if use_descent:
+        scales = {r["feature"]: (r["mean"], r["deviation"]) for r in scale_table(train_rows, features).collect()}
+        fitted = fit_descent(train_rows, features, label, steps=max_iter or 500, scales=scales)
     model = RiskModel(
-        recipe.fit(weighted), fit_forest(train_rows, features, trees=trees, seed=seed), features
+        fitted.pipeline() if fitted else recipe.fit(weighted), fit_forest(train_rows, features, trees=trees, seed=seed), features
     )
     model.bounds = score_bounds(matrix.select(isolation_score(model.forest).alias("isolation")))
     judged = staging(
@@ -235,4 +271,6 @@ def train(
         "n_features": len(features),
         "class_weights": weights,
     }
+    if fitted:
+        model.stats["losses"] = fitted.losses
     return model

@@ -118,7 +118,8 @@ class ProfileLog:
 
     def medians(self) -> dict[str, float]:
         """Medians of the filled columns, within ``RANK_ERROR`` of the middle rank."""
-        found = merge_sketches(self._read("sketches")).select(
+        sketches = merge_sketches(self._read("sketches")).where(F.kll_sketch_get_n_double("sketch") > 0)
+        found = sketches.select(
             "column", F.kll_sketch_get_quantile_double("sketch", F.lit(0.5)).alias("median")
         )
         return {r["column"]: r["median"] for r in found.collect()}  # a row per column

@@ -16,6 +16,7 @@ from cargolens import constants as K
 from cargolens.functions.columns import col, to_double
 from cargolens.operators import cleaning, explain, labels, metrics, models, profile, reports, scoring
 from cargolens.operators import features as feature_ops
+from cargolens.operators.descent import fit_descent
 from cargolens.operators.forest import fit_forest, isolation_score, max_depth, scaled_anomaly, score_bounds
 from cargolens.operators.profile_state import RANK_ERROR, ProfileLog
 from cargolens.plans import derived, jobs
@@ -837,6 +838,56 @@ def m5(spark, sf_dir):
     return _fit_row(spark, derived.trained(spark, sf_dir).model.stats)
 
 
+@query(
+    "m2_stratified_split",
+    sql("judged", f"""SELECT Container_ID, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY {_DRAW_SQL})
+  <= floor(0.2 * count(*) OVER (PARTITION BY label) + 0.5) THEN 'test' ELSE 'train' END AS part FROM judged"""),
+)
+def m2_stratified(spark, sf_dir):
+    sides = models.stratified_split(derived.judged(spark, sf_dir).select("Container_ID", "label"))
+    train_rows, test_rows = (d.withColumn("part", F.lit(p)) for d, p in zip(sides, ("train", "test")))
+    return train_rows.unionByName(test_rows)
+
+
+_DESCENT_FEATURES = ["flag_weight_mismatch", "origin_country_risk", "is_night"]
+_DESCENT_STEPS, _DESCENT_RATE, _DESCENT_REG = 6, 0.8, 50.0
+
+
+def _descent_sql() -> str:
+    """Each step as two common table expressions: weights before it, and its loss and gradient."""
+    names = [f"w{i}" for i in range(len(_DESCENT_FEATURES))]
+    z = " + ".join(["b", *(f"{w} * x{i}" for i, w in enumerate(names))])
+    steps = ["s0 AS (SELECT 0 AS step, 0e0 AS b, " + ", ".join(f"0e0 AS {w}" for w in names) + ")"]
+    for k in range(_DESCENT_STEPS):
+        gradient = ", ".join(f"avg((p - y) * x{i}) + {_DESCENT_REG}e0 / count(*) * any_value({w}) AS g{i}" for i, w in enumerate(names))
+        square = " + ".join(f"any_value({w}) * any_value({w})" for w in names)
+        steps.append(f"p{k} AS (SELECT *, 1 / (1 + exp(-({z}))) AS p FROM matrix, s{k})")
+        steps.append(
+            f"g{k} AS (SELECT -avg(y * ln(p + 1e-15) + (1 - y) * ln(1 - p + 1e-15)) + {_DESCENT_REG}e0 / (2 * count(*)) * ({square}) AS loss,"
+            f" {gradient}, avg(p - y) AS gb FROM p{k})"
+        )
+        moved = ", ".join(f"{w} - {_DESCENT_RATE}e0 * g{i} AS {w}" for i, w in enumerate(names))
+        steps.append(f"s{k + 1} AS (SELECT {k + 1} AS step, b - {_DESCENT_RATE}e0 * gb AS b, {moved} FROM s{k}, g{k})")
+    matrix = ", ".join(f"CAST({c} AS DOUBLE) AS x{i}" for i, c in enumerate(_DESCENT_FEATURES))
+    parts = [f"SELECT {k} AS step, round(loss, 8) AS value, 'loss' AS name FROM g{k}" for k in range(_DESCENT_STEPS)]
+    parts += [f"SELECT {_DESCENT_STEPS}, round({w}, 8), '{c}' FROM s{_DESCENT_STEPS}" for c, w in zip(_DESCENT_FEATURES, names)]
+    parts.append(f"SELECT {_DESCENT_STEPS}, round(b, 8), 'bias' FROM s{_DESCENT_STEPS}")
+    return sql(
+        "feats",
+        f", matrix AS (SELECT {matrix}, CAST({_RETRAIN_SQL} AS DOUBLE) AS y FROM feats),\n" + ",\n".join(steps) + "\n" + " UNION ALL ".join(parts),
+    )
+
+
+@query("m6_descent", _descent_sql())
+def m6_descent(spark, sf_dir):
+    """Losses and weights of a few steps of gradient descent over the whole table."""
+    rows = labels.label_retrain(derived.features(spark, sf_dir), "label").select(*_DESCENT_FEATURES, "label")
+    fitted = fit_descent(stage(rows, "descent"), _DESCENT_FEATURES, rate=_DESCENT_RATE, steps=_DESCENT_STEPS, reg=_DESCENT_REG)
+    last = zip([*fitted.features, "bias"], [*fitted.weights, fitted.bias])
+    found = [(k, float(v), "loss") for k, v in enumerate(fitted.losses)] + [(_DESCENT_STEPS, v, c) for c, v in last]
+    return rounded(spark.createDataFrame(found, "step int, value double, name string"), 8)
+
+
 @query(
     "m6_logistic",
     sql("feats", f"SELECT {_SIDES_SQL}, TRUE AS cells_add_up, TRUE AS shares_in_range, TRUE AS better_than_chance,"
@@ -1614,6 +1665,38 @@ def st2(spark, sf_dir):
     return spark.read.parquet(target).select("Container_ID")
 
 
+@query("st2_first_in_order", ORACLE["c3_deduplicate"])
+def st2_in_order(spark, sf_dir):
+    """C3 over files whose rows stand in no order; a row far in the future lets the watermark pass the others."""
+    source, target, state = (stage_path(spark, n) for n in ("st2-arrivals", "st2-first", "st2-order"))
+    rows = shipments(spark, sf_dir).withColumn("ts", col("Declaration_Date").cast("timestamp"))
+    mixed = F.xxhash64("k_price", "k_part", "k_tax")
+    rows.repartitionByRange(5, mixed).write.parquet(source)
+    first = streams.first_in_order(streams.read_stream(spark, source, rows.schema, files_per_trigger=2), "ts", "3650 days", ORDER)
+    streams.run_available(first, target, state)
+    end = rows.limit(1).withColumns({"Container_ID": F.lit("END"), "ts": F.lit("2100-01-01").cast("timestamp")})
+    end.coalesce(1).write.mode("append").parquet(source)
+    streams.run_available(first, target, state)
+    return _ship_out(spark.read.schema(rows.schema).parquet(target).where("Container_ID <> 'END'"))
+
+
+@query("st1_exactly_once", sql("explained", PREDICTION_SQL))
+def st1_once(spark, sf_dir):
+    """A scored stream whose micro-batches are all run a second time, as after a lost checkpoint."""
+    rows = derived.unique(spark, sf_dir)
+    source = stage_path(spark, "arrivals")
+    rows.repartition(3, "Container_ID").write.parquet(source)
+    fitted = profile.fit_profile(feature_ops.with_measures(derived.cleaned(spark, sf_dir)))
+    fitted.medians = cleaning.unique_medians(rows)
+    store = BatchStore(spark, stage_path(spark, "streamed"))
+    for _ in range(2):
+        arriving = streams.read_stream(spark, source, rows.schema, files_per_trigger=1)
+        streams.store_batches(
+            arriving, lambda batch: streams.score_stream(batch, fitted, rule_scores), store, "arrivals", stage_path(spark, "st1-once")
+        )
+    return rounded(store.committed("arrivals").drop("batch_id"))
+
+
 @query(
     "st3_level_windows",
     "WITH e AS (SELECT date_trunc('day', ts) AS d, least(1, greatest(0, value / 100)) AS s FROM events),"

@@ -9,12 +9,19 @@ from datetime import datetime, timezone
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cargolens.constants import LEVELS
 from cargolens.functions.columns import col
 from cargolens.operators.forest import Forest
 from cargolens.operators.models import RiskModel
 from cargolens.operators.profile import Profile
+from cargolens.schema import PREDICTION_SCHEMA
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
 class BatchStore:
@@ -73,6 +80,33 @@ class BatchStore:
     def summary(self, batch_id: str) -> DataFrame:
         return self._read("summary", batch_id)
 
+    def commit(self, batch_id: str) -> None:
+        """Mark a batch as whole; a second commit replaces the first."""
+        row = self.spark.createDataFrame([(batch_id,)], "id string").coalesce(1)
+        self._write(row, "commits", batch_id)
+
+    def commits(self) -> DataFrame:
+        """(batch_id) of whole batches."""
+        if not _exists(self.spark, f"{self.path}/commits"):
+            return self.spark.createDataFrame([], "batch_id string")
+        return self.spark.read.schema("id string").parquet(f"{self.path}/commits/*").select(col("id").alias("batch_id"))
+
+    def is_committed(self, batch_id: str) -> bool:
+        return _exists(self.spark, f"{self.path}/commits/batch_id={batch_id}/_SUCCESS")
+
+    def committed(self, prefix: str = "") -> DataFrame:
+        """Predictions of all whole batches whose id begins with ``prefix``, with ``batch_id``.
+
+        Folders of other batches are not opened.
+        """
+        ids = sorted(r["batch_id"] for r in self.commits().where(col("batch_id").startswith(prefix)).collect())
+        table = f"{self.path}/predictions"
+        schema = T.StructType([*PREDICTION_SCHEMA.fields, T.StructField("batch_id", T.StringType())])
+        if not ids:
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{table}/batch_id={i}" for i in ids]
+        return self.spark.read.schema(schema).option("basePath", table).parquet(*paths)
+
     def by_level(self, batch_id: str, level: str) -> DataFrame:
         """One level of one batch; other levels' files are not opened (A1)."""
         if level not in LEVELS:
