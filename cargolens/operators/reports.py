@@ -49,19 +49,14 @@ _ATTRIBUTES = [
 ]
 
 
-def attach_attributes(
-    predictions: DataFrame,
-    raw: DataFrame,
-    *,
-    keep: str = "first",
-    order_cols: Sequence[str | Column] | None = None,
+def attribute_rows(
+    raw: DataFrame, *, keep: str = "first", order_cols: Sequence[str | Column] | None = None
 ) -> DataFrame:
-    """Left-join predictions to raw rows on the trimmed id, with defaults for gaps.
+    """One row of attributes per trimmed id, in ``_id``, with defaults for gaps.
 
     ``keep="last"`` takes the last raw row of an id in ``order_cols`` (T21); without them the
     order is that of the attributes themselves. Raw rows are cut to one per trimmed id before the
-    shuffle, so the join meets at most one row per key on that side and repeats no prediction.
-    Raw ids may stand in Container_ID, container_id or id; the first that is not NULL counts.
+    shuffle. Raw ids may stand in Container_ID, container_id or id; the first that is not NULL counts.
     """
     names = [c for c in ("Container_ID", "container_id", "id") if c in raw.columns]
     found = F.trim(F.coalesce(*[col(c).cast("string") for c in names]))
@@ -81,7 +76,7 @@ def attach_attributes(
         value = col(name).try_cast("double") if name in has else F.lit(None).cast("double")
         return F.coalesce(F.when(~F.isnan(value), value), F.lit(0.0))
 
-    facts = raw.select(
+    return raw.select(
         col("Container_ID").alias("_id"),
         text("Origin_Country", "N/A").alias("origin"),
         text("Destination_Port", "N/A").alias("port"),
@@ -93,7 +88,10 @@ def attach_attributes(
         text("Shipping_Line", "N/A").alias("line"),
         text("Declaration_Date", "").alias("date"),
     )
-    joined = predictions.join(facts, F.trim(col("container_id")) == col("_id"), "left")
+
+
+def with_attribute_defaults(joined: DataFrame) -> DataFrame:
+    """Predictions beside their ``attribute_rows`` under the report's names; those without one get defaults."""
     absent = {"origin": "N/A", "port": "N/A", "hs": "N/A", "line": "N/A", "date": ""}
     absent |= {"value": 0.0, "dw": 0.0, "mw": 0.0, "dwell": 0.0}
     return joined.na.fill(absent).select(
@@ -109,6 +107,21 @@ def attach_attributes(
     )
 
 
+def attach_attributes(
+    predictions: DataFrame,
+    raw: DataFrame,
+    *,
+    keep: str = "first",
+    order_cols: Sequence[str | Column] | None = None,
+) -> DataFrame:
+    """Left-join predictions to raw rows on the trimmed id, with defaults for gaps.
+
+    The join meets at most one row per key of ``attribute_rows`` and repeats no prediction.
+    """
+    facts = attribute_rows(raw, keep=keep, order_cols=order_cols)
+    return with_attribute_defaults(predictions.join(facts, F.trim(col("container_id")) == col("_id"), "left"))
+
+
 # --- A1-A6: batch summary ---------------------------------------------------------------
 
 

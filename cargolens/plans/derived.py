@@ -37,7 +37,8 @@ def _files(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted(found))
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
+    """What ``make`` gives, kept under ``name`` for this session and these input files."""
     key = (spark.sparkContext.applicationId, sf_dir, _files(spark, sf_dir), name)
     if key not in _kept:
         _kept[key] = make()
@@ -46,21 +47,21 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object
 
 def unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per container, staged."""
-    return _once(
+    return once(
         spark, sf_dir, "unique", lambda: stage(remove_duplicates(shipments(spark, sf_dir), ORDER))
     )
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned table, staged."""
-    return _once(
+    return once(
         spark, sf_dir, "cleaned", lambda: stage(clean(shipments(spark, sf_dir), ORDER), "cleaned")
     )
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table over the staged cleaned rows, lazily."""
-    return _once(spark, sf_dir, "features", lambda: engineer_features(cleaned(spark, sf_dir)))
+    return once(spark, sf_dir, "features", lambda: engineer_features(cleaned(spark, sf_dir)))
 
 
 def levelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = label_fallback(levelled(spark, sf_dir), "label").withColumn(
         "prediction", (col("score") >= 0.5).cast("int")
     )
-    return _once(
+    return once(
         spark,
         sf_dir,
         "judged",
@@ -94,7 +95,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions beside their attributes, staged: what the reports read."""
-    return _once(
+    return once(
         spark,
         sf_dir,
         "scored",
@@ -107,6 +108,6 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trained(spark: SparkSession, sf_dir: str, **options) -> TrainedRun:
     """A model trained on the whole table with the job's own settings, labelled for retraining."""
     name = "trained" + repr(sorted(options.items()))
-    return _once(
+    return once(
         spark, sf_dir, name, lambda: train_model(shipments(spark, sf_dir), ORDER, rules="retrain", **options)
     )

@@ -26,6 +26,7 @@ from cargolens.plans.testtables import ORDER, rule_columns, rule_scores, shipmen
 from cargolens.schema import missing_fields, normalize_columns
 from cargolens.sources import csv as csv_source
 from cargolens.sources import sinks
+from cargolens.sources.indexed import BucketedStore, RankIndex
 from cargolens.sources.store import BatchStore, ModelStore
 from cargolens.streaming import streams
 
@@ -1385,6 +1386,52 @@ def a28_last(spark, sf_dir):
     return rows.select("id", r("score").alias("score"), r("value", 4).alias("value"), r("mw", 4).alias("mw"), "origin")
 
 
+def _rank_index(spark, sf_dir) -> RankIndex:
+    """The scored table in ranges of about 4,000 rows, written once for all queries over it."""
+
+    def make() -> RankIndex:
+        index = RankIndex(spark, stage_path(spark, "rank-index"))
+        index.write(derived.scored(spark, sf_dir), range_rows=4000, bucket_rows=8000, posting_rows=100_000)
+        return index
+
+    return derived.once(spark, sf_dir, "rank-index", make)
+
+
+@query("a12_indexed_search", ORACLE["a12_search"])
+def a12_indexed(spark, sf_dir):
+    return _listed(_rank_index(spark, sf_dir).search("D#4"))
+
+
+@query("a14_indexed_page", ORACLE["a14_deep_page"])
+def a14_indexed(spark, sf_dir):
+    return _listed(_rank_index(spark, sf_dir).page(100))
+
+
+@query("a22_indexed_lookup", ORACLE["a22_lookup"])
+def a22_indexed(spark, sf_dir):
+    return rounded(_rank_index(spark, sf_dir).find(_some_id(derived.scored(spark, sf_dir))))
+
+
+@query("a23_indexed_rank", ORACLE["a23_rank_of"])
+def a23_indexed(spark, sf_dir):
+    return _rank_index(spark, sf_dir).rank_of(_some_id(derived.scored(spark, sf_dir)))
+
+
+@query("a24_indexed_neighbours", ORACLE["a24_neighbours_of"])
+def a24_indexed(spark, sf_dir):
+    return _rank_index(spark, sf_dir).neighbours_of(_some_id(derived.scored(spark, sf_dir)))
+
+
+@query("a28_bucketed_attach", ORACLE["a28_attach_attributes"])
+def a28_bucketed(spark, sf_dir):
+    path = stage_path(spark, "buckets")
+    store = BucketedStore(spark, path, "scored_" + path[-32:], buckets=16)
+    predicted = derived.predictions(spark, sf_dir)
+    store.write("predictions", predicted.withColumn("container_id", F.trim("container_id")), "container_id")
+    store.write("attributes", reports.attribute_rows(derived.cleaned(spark, sf_dir)), "_id")
+    return rounded(reports.with_attribute_defaults(store.joined("predictions", "container_id", "attributes", "_id")))
+
+
 @query("a29_sample_head", sql("scored", "SELECT id, level, round(score, 6) AS score, substr(expl, 1, 60) AS expl FROM scored ORDER BY id LIMIT 5"))
 def a29(spark, sf_dir):
     return rounded(reports.sample_head(derived.scored(spark, sf_dir), ["id"]))
