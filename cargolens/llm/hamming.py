@@ -7,7 +7,8 @@ differ in more than s bits. Candidates are verified on the whole code. A query l
 verified distance is within the bound, which proves that nothing nearer is left.
 
 Equal codes are one entry that keeps its k + 1 smallest ids, more than any answer can use of them, so
-a vector that a third of the table repeats is no hot bucket; equal queries are searched once.
+a vector that a third of the table repeats is no hot bucket; equal queries are searched once, those whose id
+stands in the table with other codes too each for itself and without the rows of its id.
 """
 
 from __future__ import annotations
@@ -78,12 +79,17 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest rows of ``codes`` (id, code) for each of ``queries`` (id, code).
 
     query_id, rank, id, distance: by distance, then id; a row is not its own neighbour. Fewer than k
-    rows come where the table has fewer. Repeated ids are one row for each different code.
+    rows come where the table has fewer. Repeated ids are one row for each different code; none of the rows
+    of its own id is a query's neighbour, and the k others come whole all the same.
     """
     codes = stage(codes.select("id", "code").distinct(), "codes")
     entries = _entries(codes, k)
     entries = stage(entries, "entries")
-    active = stage(queries.select("code").distinct(), "queries")
+    queries = queries.select("id", "code").distinct()
+    # whose rows do not count, where the table holds others of the id than the query itself
+    often = codes.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.col("id").alias("own"))
+    queries = stage(queries.join(often, "id", "left"), "queries-own")
+    active = stage(queries.select("code", "own").distinct(), "queries")
     size = entries.agg(F.count("*").alias("codes"), F.max(F.size("code")).alias("words")).first()
     total = codes.limit(k + 1).count()
     empty = "query_id long, rank int, id long, distance int"
@@ -101,33 +107,41 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         masks = F.array(*(F.lit(f).cast("long") for f in flips)) if len(flips) < 64 else F.from_json(
             F.lit(str(flips)), "array<bigint>"
         )
-        probes = active.select("code", F.explode(_segments(width, words)).alias("s"))
+        probes = active.select("code", "own", F.explode(_segments(width, words)).alias("s"))
         probes = probes.select(
             F.col("code").alias("query"),
+            "own",
             "s.segment",
             F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("s.value")))).alias("value"),
         )
         # Spark takes the probes for as few as the queries and would broadcast them
-        met = probes.hint("merge").join(index, ["segment", "value"]).select("query", "code", "ids")
+        met = probes.hint("merge").join(index, ["segment", "value"]).select("query", "own", "code", "ids")
         met = met.select(
-            "query", distance(F.col("query"), F.col("code")).alias("distance"), F.explode("ids").alias("id")
+            "query", "own", "code", distance(F.col("query"), F.col("code")).alias("distance"), F.explode("ids").alias("id")
         ).distinct()
+        met = met.filter("own IS NULL OR id <> own")
         met = met if best is None else met.unionByName(best).distinct()
-        order = W.partitionBy("query").orderBy("distance", "id")
+        order = W.partitionBy("query", "own").orderBy("distance", "id")
         best = stage(met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1).drop("rank"), "best")
         covered = segments * (radius + 1) - 1
-        state = best.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("worst"))
-        done = state.filter((F.col("n") >= total) & (F.col("worst") <= covered) | F.lit(radius == width))
-        done = stage(done.select("query"), "done")
-        finished.append(best.join(done, "query", "left_semi"))
-        best = best.join(done, "query", "left_anti")
-        active = stage(active.join(done, active["code"] == done["query"], "left_anti"), "active")
+        state = best.groupBy("query", "own").agg(F.count("*").alias("n"), F.max("distance").alias("worst"))
+        enough = F.when(F.col("own").isNull(), total).otherwise(min(total, k))
+        done = state.filter((F.col("n") >= enough) & (F.col("worst") <= covered) | F.lit(radius == width))
+        done = stage(done.select(F.col("query").alias("done_query"), F.col("own").alias("done_own")), "done")
+        same = (F.col("query") == F.col("done_query")) & F.col("own").eqNullSafe(F.col("done_own"))
+        finished.append(best.join(done, same, "left_semi"))
+        best = best.join(done, same, "left_anti")
+        same = (F.col("code") == F.col("done_query")) & F.col("own").eqNullSafe(F.col("done_own"))
+        active = stage(active.join(done, same, "left_anti"), "active")
         if active.isEmpty():
             break
     found = finished[0]
     for part in finished[1:]:
         found = found.unionByName(part)
-    answers = queries.distinct().select(F.col("id").alias("query_id"), F.col("code").alias("query")).join(found, "query")
+    found = found.select("query", F.col("own").alias("found_own"), "distance", "id")
+    mine = queries.select(F.col("id").alias("query_id"), F.col("code").alias("own_code"), "own")
+    same = (F.col("own_code") == F.col("query")) & F.col("own").eqNullSafe(F.col("found_own"))
+    answers = mine.join(found, same)
     order = W.partitionBy("query_id", "query").orderBy("distance", "id")
     answers = answers.filter("id <> query_id").withColumn("rank", F.row_number().over(order))
     return answers.filter(F.col("rank") <= k).select("query_id", "rank", "id", F.col("distance"))

@@ -36,3 +36,20 @@ def test_small_and_empty_tables(spark):
     assert found(spark, {0: [1.0]}, 3, 1) == []
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert hamming.neighbour_table(none).count() == 0
+
+
+def test_rows_that_repeat_ids_with_other_codes(spark):
+    """A query's own rows are no neighbours, however many there are, and the k nearest others come whole."""
+    rng = random.Random(4)
+    rows = [(rng.choice([0, 0, 0, 100, rng.randrange(300)]), [rng.gauss(0, 1) for _ in range(12)]) for _ in range(400)]
+    rows += [(0, [1.0] * 12), (0, [1.0] * 11 + [-1.0]), (1, [1.0] * 12), (2, [1.0] * 12), (100, [1.0] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = hamming.neighbour_table(df, 3, 100)
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in out.collect())
+    codes = {(i, tuple(x > 0 for x in v)) for i, v in rows}
+    expected = []
+    for q, code in codes:
+        if q % 100 == 0:
+            near = sorted((sum(a != b for a, b in zip(code, c)), i) for i, c in codes if i != q)
+            expected += [(q, rank, i, d) for rank, (d, i) in enumerate(near[:3], 1)]
+    assert found == sorted(expected)
