@@ -110,12 +110,22 @@ def read_back(rendered: DataFrame) -> DataFrame:
         text = F.substring(body, skip + 1, F.length(body) - skip - len(TEXT_END))
         return F.struct(unescaped(role).alias("role"), unescaped(text).alias("text"))
 
-    masked = F.transform(
-        "loss_spans",
-        lambda s: unescaped(
-            F.substring("formatted", s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))
-        ),
-    )
+    # one walk over rows and spans together, both in order: a span is cut out of its row, so that a long
+    # conversation is not gone through again for each of its spans
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("texts"))
+
+    def walk(state: Column, row: Column) -> Column:
+        end = state["at"] + F.length(row) + len(END)
+        span = F.get("loss_spans", state["k"])
+        here = F.coalesce(span["start"] < end, F.lit(False))
+        text = F.substring(row, (span["start"] - state["at"]).cast("int") + 1, (span["end"] - span["start"]).cast("int"))
+        return F.struct(
+            end.alias("at"),
+            (state["k"] + here.cast("int")).alias("k"),
+            F.when(here, F.concat(state["texts"], F.array(unescaped(text)))).otherwise(state["texts"]).alias("texts"),
+        )
+
+    masked = F.aggregate(rows, none, walk, lambda state: state["texts"])
     return rendered.withColumn("turns", F.transform(rows, turn)).withColumn("learnt", masked)
 
 

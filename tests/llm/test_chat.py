@@ -70,3 +70,19 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     out = {r["conv_id"]: r["n_turns"] for r in chat.chat_digest(spark.createDataFrame(rows, kind)).collect()}
     assert out == {None: 2, 1: 1}
     assert chat.chat_digest(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_time_grows_with_the_turns_of_a_conversation(spark):
+    """Eight times the turns take at most twelve times as long."""
+    import time
+
+    def seconds(n):
+        rows = spark.range(n).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat('é</s>', 60) AS text")
+        start = time.time()
+        out = chat.chat_digest(rows).collect()
+        assert out[0]["n_turns"] == n and out[0]["loss_chars"] == n // 2 * 300
+        return time.time() - start
+
+    seconds(200)
+    small = seconds(4000)
+    assert seconds(32_000) < 12 * max(small, 1.0)
