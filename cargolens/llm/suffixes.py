@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from cargolens.llm import text as tx
 from cargolens.llm.common import in_slots
+from cargolens.llm.labelled import fresh_name
 from cargolens.plans.staging import stage
 
 MIN_WORDS = 50
@@ -202,10 +203,11 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Texts without a span stay as they are. A text of which nothing but white space is left goes.
     """
     names = docs.columns
+    found, doc, version = (fresh_name(docs, n) for n in ("_spans", "_doc", "_version"))
     spans = repeated_passages(docs, min_words).groupBy("doc_id", "version").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias(found)
     )
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), "_spans")
+    spans = spans.select(F.col("doc_id").alias(doc), F.col("version").alias(version), found)
     whole = F.struct(F.lit(0).alias("at"), F.lit("").alias("kept"))
 
     def cut(state, s):
@@ -217,15 +219,15 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         )
 
     rest = F.aggregate(
-        "_spans",
+        F.col(found),
         whole,
         cut,
         lambda state: F.concat(
             state["kept"], F.substring(F.col("text"), state["at"] + 1, F.length("text"))
         ),
     )
-    same = (F.col("doc_id").cast("long") == F.col("_doc")) & (F.hash("text") == F.col("_version"))
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.hash("text") == F.col(version))
     joined = docs.join(spans, same, "left")
-    joined = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest))
-    gone = F.col("_spans").isNotNull() & (F.regexp_replace("text", r"\s+", "") == "")
+    joined = joined.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(rest))
+    gone = F.col(found).isNotNull() & (F.regexp_replace("text", r"\s+", "") == "")
     return joined.filter(~gone).select(*names)

@@ -135,3 +135,16 @@ def test_near_copies_of_near_copies(spark):
 
 def test_spans_of_kinds_are_known():
     assert pii.KINDS == ("email", "ip", "card", "phone")
+
+
+def test_columns_with_the_names_of_helpers_stay(spark):
+    from cargolens.llm import suffixes
+    import corpus_pipeline as P
+
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, passage + " one", "a", 1, 2, 3, "x"), (2, "two " + passage, "b", 1, 2, 3, "y"), (3, passage + " one", "c", 1, 2, 3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string, _spans int, _doc int, _version int, _found string")
+    kept = P.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns and {r["_gone"] for r in kept.collect()} == {"a"}
+    cut = suffixes.without_repeats(docs).collect()
+    assert {(r["doc_id"], r["text"].strip(), r["_version"]) for r in cut} == {(1, passage + " one", 3), (2, "two", 3)}
