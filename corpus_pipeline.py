@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cargolens.llm import minhash, packing, pii, quality, suffixes
 from cargolens.llm.common import table
+from cargolens.llm.labelled import fresh_name
 from cargolens.plans.staging import stage
 
 #: SQL cannot fit a classifier, so the rows are tested against a plain version instead.
@@ -36,8 +37,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that repeat a doc_id are one document and stay together.
     """
     classes = minhash.near_duplicates(docs, width=5, percent=80)
-    gone = classes.filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    name = fresh_name(docs, "_gone")
+    gone = classes.filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
