@@ -112,3 +112,72 @@ def test_backoff_and_class_models_are_distributions():
     assert not table.any()
     table = toxicity.ratio_table(gram, (gram == gram[0]) * 50.0, np.ones(len(gram)))
     assert table[gram[0]] > 0
+
+
+def test_ratios_are_those_of_plain_kneser_ney_counts():
+    """Discounted class counts over shared continuation counts, one gram after the other from dictionaries."""
+    import math
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(4)
+    order, base, d = toxicity.ORDER, toxicity.SYMBOLS, toxicity.DISCOUNT
+    texts = {
+        kind: ["".join(rng.choices("abcde ", [4, 2, 2, 1, 1, 3], k=200)) + odd for _ in range(12)]
+        for kind, odd in (("toxic", " bad bad"), ("ordinary", " good"), ("every", " rare"))
+    }
+    counts = {kind: Counter() for kind in texts}
+    for kind, rows in texts.items():
+        for t in rows:
+            code, _ = toxicity.grams(*toxicity.symbols(pa.array([t])))
+            for c in code.tolist():
+                counts[kind][tuple((c >> 5 * (order - 1 - i)) & (base - 1) for i in range(order))] += 1
+    seen = set().union(*counts.values())
+    before = defaultdict(set)  # sequence: the symbols that stand before it in a longer seen one
+    for gram in seen:
+        for width in range(1, order):
+            before[gram[-width:]].add(gram[-width - 1])
+    followers = defaultdict(list)
+    for sequence in before:
+        followers[sequence[:-1]].append(sequence)
+
+    def lower(sequence):
+        if not sequence:
+            return 1 / base
+        kin = followers[sequence[:-1]]
+        total = sum(len(before[k]) for k in kin)
+        if not total:
+            return lower(sequence[1:]) if len(sequence) > 1 else 1 / base
+        own = max(len(before[sequence]) - d, 0) / total if sequence in before else 0
+        return own + d * len(kin) / total * (lower(sequence[1:]) if len(sequence) > 1 else 1 / base)
+
+    def chance(gram, kind):
+        kin = [g for g in counts[kind] if g[:-1] == gram[:-1]]
+        total = sum(counts[kind][g] for g in kin)
+        if not total:
+            return lower(gram[1:])
+        return max(counts[kind][gram] - d, 0) / total + d * len(kin) / total * lower(gram[1:])
+
+    number = lambda g: sum(s << 5 * (order - 1 - i) for i, s in enumerate(g))
+    grams = sorted(seen, key=number)
+    columns = (np.array([counts[k][g] for g in grams]) for k in ("toxic", "ordinary"))
+    table = toxicity.ratio_table(np.array([number(g) for g in grams]), *columns)
+    unseen = [tuple(rng.randrange(6) for _ in range(order)) for _ in range(300)]
+    for gram in [*grams, *unseen]:
+        exact = math.log(chance(gram, "toxic")) - math.log(chance(gram, "ordinary"))
+        assert abs(table[number(gram)] * toxicity.STEP - max(min(exact, 127 * toxicity.STEP), -127 * toxicity.STEP)) <= 0.51 * toxicity.STEP
+
+
+def test_scores_are_those_of_the_rules_one_by_one(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs.select("doc_id", "text"), labels)
+    assert len(model.rules) > 1
+    rows = quality.scored(docs.select("doc_id", "text"), model).collect()
+    for r in rows:
+        found = quality.statistics(pa.array([r["text"]], pa.string()))[0].tolist()
+        total = model.intercept
+        for rule, weight in model.rules:
+            if all(low < found[k] <= high for k, low, high in rule):
+                total += weight
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
