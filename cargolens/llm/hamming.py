@@ -53,8 +53,11 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def segment_width(codes: int) -> int:
-    """Bits of a segment: about log2 of the number of codes, so that buckets hold a few codes."""
-    return 8 if codes < 1 << 12 else 16 if codes < 1 << 28 else 32
+    """Bits of a segment: about log2 of the number of codes, so that buckets hold a few codes.
+
+    Above 16 bits the flips of a round would be too many to list.
+    """
+    return 8 if codes < 1 << 12 else 16
 
 
 def _segments(width: int, words: int) -> Column:
@@ -103,23 +106,7 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     )
     best, finished = None, []
     for radius in range(width + 1):
-        flips = [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
-        masks = F.array(*(F.lit(f).cast("long") for f in flips)) if len(flips) < 64 else F.from_json(
-            F.lit(str(flips)), "array<bigint>"
-        )
-        probes = active.select("code", "own", F.explode(_segments(width, words)).alias("s"))
-        probes = probes.select(
-            F.col("code").alias("query"),
-            "own",
-            "s.segment",
-            F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("s.value")))).alias("value"),
-        )
-        # Spark takes the probes for as few as the queries and would broadcast them
-        met = probes.hint("merge").join(index, ["segment", "value"]).select("query", "own", "code", "ids")
-        met = met.select(
-            "query", "own", "code", distance(F.col("query"), F.col("code")).alias("distance"), F.explode("ids").alias("id")
-        ).distinct()
-        met = met.filter("own IS NULL OR id <> own")
+        met = _probed(active, index, width, words, radius)
         met = met if best is None else met.unionByName(best).distinct()
         order = W.partitionBy("query", "own").orderBy("distance", "id")
         best = stage(met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k + 1).drop("rank"), "best")
@@ -147,6 +134,27 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return answers.filter(F.col("rank") <= k).select("query_id", "rank", "id", F.col("distance"))
 
 
+def _probed(active: DataFrame, index: DataFrame, width: int, words: int, radius: int) -> DataFrame:
+    """Rows in the buckets at ``radius`` flips from the queries' segments; at most C(16, 8) flips are listed."""
+    flips = [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
+    masks = F.array(*(F.lit(f).cast("long") for f in flips)) if len(flips) < 64 else F.from_json(
+        F.lit(str(flips)), "array<bigint>"
+    )
+    probes = active.select("code", "own", F.explode(_segments(width, words)).alias("s"))
+    probes = probes.select(
+        F.col("code").alias("query"),
+        "own",
+        "s.segment",
+        F.explode(F.transform(masks, lambda m: m.bitwiseXOR(F.col("s.value")))).alias("value"),
+    )
+    # Spark takes the probes for as few as the queries and would broadcast them
+    met = probes.hint("merge").join(index, ["segment", "value"]).select("query", "own", "code", "ids")
+    rows = met.select(
+        "query", "own", "code", distance(F.col("query"), F.col("code")).alias("distance"), F.explode("ids").alias("id")
+    ).distinct()
+    return rows.filter("own IS NULL OR id <> own")
+
+
 def _entries(codes: DataFrame, k: int) -> DataFrame:
     """(code, ids): each different code with its k + 1 smallest ids."""
     order = W.partitionBy("code").orderBy("id")
