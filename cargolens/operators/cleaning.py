@@ -305,31 +305,33 @@ def cleaned_of(
     return fill_categorical(fill_numeric(good, medians), keep_null)
 
 
-#: Counters of judged rows by reason, to be observed while they are written.
+#: Counters of C9 and the reasons that they count.
 REASON_COUNTS = {
-    "duplicates": ("duplicate",),
-    "missing": ("missing_critical", "surplus_fields"),
-    "invalid": ("invalid_range",),
+    "duplicates_removed": ("duplicate",),
+    "rows_with_missing_critical": ("missing_critical", "surplus_fields"),
+    "invalid_value_ranges": ("invalid_range",),
 }
 
 
-def reason_counts() -> list[Column]:
-    """The counters of ``REASON_COUNTS`` as aggregates, for ``DataFrame.observe``."""
-    return [
+def stored_accounting(rejects: DataFrame, cleaned: DataFrame) -> DataFrame:
+    """The row of C9 from what a batch has stored: two narrow columns of its rejects, and the number of cleaned rows.
+
+    (Observing the rows as they are written would save this pass, but a session that has observed anything
+    can no longer apply a logistic model: Spark 4.1 then fails to serialise the model's summary.)
+    """
+    counts = [
         F.coalesce(F.sum(F.when(col("reject_reason").isin(*reasons), col("copies"))), F.lit(0).cast("long")).alias(name)
         for name, reasons in REASON_COUNTS.items()
     ]
-
-
-def observed_accounting(spark, rejected: Mapping[str, int], valid: int) -> DataFrame:
-    """The row of C9 from counters that were observed."""
-    failed = sum(rejected[name] for name in REASON_COUNTS)
-    row = (
-        "success" if valid else "partial_success", failed + valid, valid, failed,
-        *(rejected[name] for name in REASON_COUNTS),
-    )
-    names = ["rows_received", "rows_valid", "rows_failed", "duplicates_removed", "rows_with_missing_critical", "invalid_value_ranges"]
-    return spark.createDataFrame([row], "status string, " + ", ".join(f"{n} long" for n in names))
+    found = rejects.agg(*counts, cleaned.agg(F.count(F.lit(1))).scalar().alias("rows_valid"))
+    failed = sum((col(name) for name in list(REASON_COUNTS)[1:]), col(next(iter(REASON_COUNTS))))
+    return found.select(
+        F.when(col("rows_valid") > 0, "success").otherwise("partial_success").alias("status"),
+        (failed + col("rows_valid")).alias("rows_received"),
+        "rows_valid",
+        failed.alias("rows_failed"),
+        *REASON_COUNTS,
+    )
 
 
 def row_accounting(

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargolens.constants import ANOMALY_WEIGHT, CLASSIFIER_WEIGHT
@@ -19,13 +19,12 @@ from cargolens.operators.cleaning import (
     cleaned_of,
     finish_rows,
     judge_rows,
-    observed_accounting,
     prepare_rows,
     readable_labels,
-    reason_counts,
     row_accounting,
     standardize,
     standardize_history,
+    stored_accounting,
     tag_rows,
     tagged_medians,
     unique_medians,
@@ -162,7 +161,7 @@ def score_table(
 
     Without a profile the statistics are those of this batch. The input is read once and written
     as typed rows; one tagged table of them says what C3 and C4 drop, and rejects and cleaned rows are
-    filters of it, counted as they are written (by steps that a retry does not count twice). Cleaned rows and predictions are
+    filters of it, from which the counters come. Cleaned rows and predictions are
     written once each, and everything behind them reads those tables. ``model`` may also be a
     function that adds classifier_score and anomaly_score to feature rows. The batch also holds
     the row counters (C9), the rejected rows with their reasons (C10) and the rows per clearance
@@ -170,8 +169,7 @@ def score_table(
     """
     batch_id = batch_id or uuid.uuid4().hex[:8]
     bounds = profile.anomaly_bounds if profile else None
-    spark = df.sparkSession
-    with Staging(spark) as staging:
+    with Staging(df.sparkSession) as staging:
         rows = standardize(df, cleaning.date_formats)
         if missing_fields(df.columns):
             store.write_accounting(row_accounting(rows, order_cols, {}), batch_id)
@@ -182,14 +180,10 @@ def score_table(
         if medians is None:
             medians = tagged_medians(tagged, cleaning.extra_numeric, exact=cleaning.exact)
         judged = judge_rows(tagged, medians, limits=cleaning.limits)
-        rejected, kept = Observation(), Observation()
-        rejects = judged.where("reject_reason IS NOT NULL").observe(rejected, *reason_counts())
-        store.write_rejects(rejects, batch_id)
-        cleaned = cleaned_of(judged, medians, keep_null=cleaning.keep_null)
-        cleaned = cleaned.observe(kept, F.count(F.lit(1)).alias("valid"))
-        store.write_cleaned(cleaned, batch_id)
-        store.write_accounting(observed_accounting(spark, rejected.get, kept.get["valid"]), batch_id)
+        store.write_rejects(judged.where("reject_reason IS NOT NULL"), batch_id)
+        store.write_cleaned(cleaned_of(judged, medians, keep_null=cleaning.keep_null), batch_id)
         cleaned = store.cleaned(batch_id)
+        store.write_accounting(stored_accounting(store.rejects(batch_id), cleaned), batch_id)
         features = engineer_features(cleaned, profile, staging=staging)
         keep = [c for c in ("Container_ID", "ingest_seq") if c in features.columns]
         both = _both_scores(features, model, bounds, [*keep, *INPUTS], staging)
