@@ -71,7 +71,7 @@ def _split_maps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line = lines[k].as_py()
             states = [inside_after(line, state) for state in states]
             spans = [span or state for span, state in zip(spans, states)]
-        filled = pc.index(pc.not_equal(pc.utf8_trim_whitespace(lines), ""), True).as_py()
+        filled = pc.index(pc.not_equal(pc.utf8_trim(lines, " "), ""), True).as_py()
         yield pa.RecordBatch.from_pylist(
             [
                 {

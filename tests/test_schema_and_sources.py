@@ -88,7 +88,7 @@ def test_reader_keeps_file_order_for_first_row(spark, tmp_path):
 
 def test_reader_takes_each_file_by_its_own_header(spark, tmp_path):
     write(tmp_path, "Container_ID,Declared_Value,Shipping_Line", "A,10,x", "A2,11,y,EXTRA", name="a.csv")
-    write(tmp_path, "", "Declared_Value,Container_ID,HS_Code", "20,B,0101", "Declared_Value,Container_ID,HS_Code", name="b.csv")
+    write(tmp_path, "  ", "Declared_Value,Container_ID,HS_Code", "20,B,0101", "Declared_Value,Container_ID,HS_Code", name="b.csv")
     rows = {r["Container_ID"]: r for r in source.read_uploaded_csv(spark, str(tmp_path)).collect()}
     assert set(rows) == {"A", "A2", "B", "Container_ID"}
     assert (rows["B"]["Declared_Value"], rows["B"]["HS_Code"], rows["B"]["Shipping_Line"]) == ("20", "0101", None)
