@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_M_MMAP_THRESHOLD = -3
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back_memory() -> None:
+    """Let this Python worker return large arrays to the system as soon as they are freed.
+
+    Else the allocator keeps the most that any step before has used, for as long as the worker is reused.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # another C library: only more memory is kept
+        ctypes.CDLL(None).mallopt(_M_MMAP_THRESHOLD, 1 << 20)
+
+
 def in_slots(df: DataFrame, key: Column, ids: DataFrame, max_slots: int = 1 << 27) -> DataFrame:
     """The rows of ``df`` whose ``key`` may be in ``ids`` (one column), without a shuffle of ``df``.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm import text as tx
-from cargolens.llm.common import in_slots
+from cargolens.llm.common import give_back_memory, in_slots
 from cargolens.llm.components import components
 from cargolens.plans.staging import stage
 
@@ -37,6 +37,8 @@ GROUP = 256
 BLOCK, BLOCK_DIFFERENCES = 4096, 1 << 20
 #: Differences that more members of a block share are compared as bits, the others by lists.
 FREQUENT = 64
+#: Differences that a task passes on at a time, and members whose bits it compares at a time.
+HELD_DIFFERENCES, COMPARED = 1 << 18, 512
 
 _SIGNATURE = "doc_id long, n long, s1 long, s2 long, a array<long>, b array<long>"
 
@@ -90,6 +92,7 @@ def signatures(docs: DataFrame, width: int, side: int = SIDE, rows: int = ROWS)
     """For each row (doc_id, text): set size, two hashes of the set, both collections of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         for batch in tx.slices(batches, "text"):
             shingles, offsets = shingle_sets(batch.column("text"), width)
             sizes = np.diff(offsets)
@@ -165,7 +168,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     rows = members.unionByName(heads).repartition("centre", "part")
     rows = rows.sortWithinPartitions("centre", "part", "kind", "id")
 
+    def compared(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * 8
+        out.clear()
+        lists = pa.list_(pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), lists, pa.int64(), lists, pa.bool_())
+        names = ["id", "centre", "linked", "size", "differences", "against", "first", "short"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         held, centre_sets = None, []
         for batch in tx.slices(batches, "text"):
             values, offsets = shingle_sets(batch.column("text"), width)
@@ -173,6 +185,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                 batch.column(c).to_pylist() for c in ("centre", "part", "kind", "id")
             )
             out: list[tuple] = []
+            passed = 0
             for r in range(batch.num_rows):
                 mine = values[offsets[r] : offsets[r + 1]]
                 if held != (centre[r], part[r]):
@@ -189,13 +202,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                     most = len(mine) - -(-percent * len(mine) // 100) + 1
                     first, short = tx.signed(extra[:most]), len(extra) < most
                     out.append((ids[r], centre[r], linked, len(mine), tx.signed(apart), against, first, short))
-            columns = list(zip(*out)) or [()] * 8
-            lists = pa.list_(pa.int64())
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), lists, pa.int64(), lists, pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)],
-                names=["id", "centre", "linked", "size", "differences", "against", "first", "short"],
-            )
+                    passed += len(apart) + len(first)
+                    if passed >= HELD_DIFFERENCES:  # short members of a long centre differ in all of its set
+                        yield compared(out)
+                        passed = 0
+            if out:
+                yield compared(out)
 
     kind = (
         "id long, centre long, linked boolean, size long, differences array<long>, against long, "
@@ -304,6 +316,7 @@ def _between_members(tried: DataFrame, links: DataFrame, percent: int) -> DataFr
     right = members.select(*columns, F.lit(1).alias("side"), every("refused_blocks"), mine("blocks"))
 
     def run(rows: pa.Table) -> pa.Table:
+        give_back_memory()
         side, ids, size, label = (
             rows.column(c).to_numpy() for c in ("side", "id", "size", "component")
         )
@@ -338,8 +351,14 @@ class _CommonDifferences:
 
     def __init__(self, values: np.ndarray, lengths: np.ndarray):
         n = len(lengths)
-        owner = np.repeat(np.arange(n), lengths)
-        _, feature, uses = np.unique(values, return_inverse=True, return_counts=True)
+        order = np.argsort(values, kind="stable").astype(np.int32)
+        fresh = np.ones(len(values), bool)
+        fresh[1:] = np.diff(values[order]) != 0
+        feature = np.empty(len(values), np.int32)
+        feature[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        del order, fresh
+        owner = np.repeat(np.arange(n, dtype=np.int32), lengths)
+        uses = np.bincount(feature)
         often = uses > FREQUENT
         number = np.cumsum(often) - 1
         self._bits = np.zeros((n, max(1, -(-int(often.sum()) // 64))), np.uint64)
@@ -355,7 +374,10 @@ class _CommonDifferences:
         self._begins = np.searchsorted(owner, np.arange(n + 1))
 
     def common(self, row: int, others: np.ndarray) -> np.ndarray:
-        out = np.bitwise_count(self._bits[others] & self._bits[row]).sum(1, dtype=np.int64)
+        out = np.zeros(len(others), np.int64)
+        for at in range(0, len(others), COMPARED):
+            some = self._bits[others[at : at + COMPARED]] & self._bits[row]
+            out[at : at + COMPARED] = np.bitwise_count(some).sum(1, dtype=np.int64)
         mine = self._features[self._begins[row] : self._begins[row + 1]]
         if len(mine):
             begin, size = self._starts[mine], self._starts[mine + 1] - self._starts[mine]

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cargolens.llm import text as tx
+from cargolens.llm.common import give_back_memory
 from cargolens.llm.labelled import fresh_name, held_out, labelled_texts, training_labels
 from cargolens.plans.staging import stage
 
@@ -121,6 +122,7 @@ def with_statistics(docs: DataFrame, name: str) -> DataFrame:
     """All columns of ``docs`` and its statistics as an array of doubles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         for batch in tx.slices(batches, "text"):
             found = statistics(batch.column("text"))
             at = np.arange(len(found) + 1) * len(STATISTICS)
