@@ -170,7 +170,7 @@ def s2_breaks(spark, sf_dir):
     odd = F.length("HS_Code") + F.ascii(F.substring("HS_Code", 6, 1)) % 2
     halves = (raw.where(odd == 6), raw.where(odd != 6).select("HS_Code", "Declared_Value", "Shipping_Line", "Container_ID"))
     for half in halves:
-        writer = half.coalesce(2).write.mode("append").options(header=True, escape='"', ignoreTrailingWhiteSpace=False)
+        writer = half.write.mode("append").options(header=True, escape='"', ignoreTrailingWhiteSpace=False)
         writer.csv(path)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))

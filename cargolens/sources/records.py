@@ -113,9 +113,9 @@ def first_lines(maps: list[Row]) -> dict[str, str]:
     return heads
 
 
-def _begin_states(maps: list[Row]) -> tuple[set[tuple], set[tuple], bool]:
-    """All splits, those that begin inside a quoted cell, and whether any line ends inside one."""
-    seen, inside, spans = set(), set(), False
+def _begin_states(maps: list[Row]) -> tuple[dict[tuple, bool], bool]:
+    """Whether each split begins inside a quoted cell, and whether any line ends inside one."""
+    begins, spans = {}, False
     file, state = None, False
     for row in maps:
         if row["ingest_file"] != file:
@@ -123,69 +123,63 @@ def _begin_states(maps: list[Row]) -> tuple[set[tuple], set[tuple], bool]:
                 raise SchemaError(f"a quoted cell of {file} is not closed")
             file, state = row["ingest_file"], False
         key = (file, row["ingest_block"])
-        if key not in seen and state:
-            inside.add(key)
-        seen.add(key)
+        begins.setdefault(key, state)
         spans = spans or row["spans_inside" if state else "spans_outside"]
         state = row["from_inside" if state else "from_outside"]
     if state:
         raise SchemaError(f"a quoted cell of {file} is not closed")
-    return seen, inside, spans
+    return begins, spans
 
 
 _WHOLE, _OPEN, _MIDDLE = 0, 1, 2
 
 
-def _joined(splits: set[tuple], inside: set[tuple]):
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines of a task to records: whole ones, and the first and later pieces of those that cross a border."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, state, kind = None, False, _WHOLE
-        held: list[str] = []  # the lines of the record that is open
-        place: tuple = ()
-        out: list[tuple] = []
-
-        def finish(kind: int) -> None:
-            out.append(("\n".join(held), *place, kind))
-            held.clear()
-
-        def batch() -> pa.RecordBatch:
-            columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()))]
-            out.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["line", *PLACE, "piece"])
-
-        for key, rows in _pieces(batches):
-            if key != split:
-                if held:
-                    finish(_OPEN if kind == _WHOLE else _MIDDLE)
-                if key not in splits:
-                    raise RuntimeError("the file splits have changed since the file was opened; read it again")
-                split, state = key, key in inside
-                kind = _MIDDLE if state else _WHOLE
-            quoted = _quoted(rows)
-            if not quoted and not state:  # plain lines pass as they are
-                if out:
-                    yield batch()
-                whole = pa.array([_WHOLE] * rows.num_rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("line", *PLACE)), whole], names=["line", *PLACE, "piece"])
-                continue
-            marked = set(quoted)
-            for k, (line, *at) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("line", *PLACE)))):
-                if not held:
-                    place = tuple(at)
-                held.append(line)
-                if k in marked:
-                    state = inside_after(line, state)
-                if not state:
-                    finish(kind)
-                    kind = _WHOLE
+    split, state, kind = None, False, _WHOLE
+    held: list[str] = []  # the lines of the record that is open
+    place: tuple = ()
+    out: list[tuple] = []
+
+    def finish(kind: int) -> None:
+        out.append(("\n".join(held), *place, kind))
+        held.clear()
+
+    def batch() -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()))]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["line", *PLACE, "piece"])
+
+    for key, rows in _pieces(batches):
+        if key != split:
+            if held:
+                finish(_OPEN if kind == _WHOLE else _MIDDLE)
+            split, state = key, rows.column("begins_inside")[0].as_py()
+            if state is None:
+                raise RuntimeError("the file splits have changed since the file was opened; read it again")
+            kind = _MIDDLE if state else _WHOLE
+        quoted = _quoted(rows)
+        if not quoted and not state:  # plain lines pass as they are
             if out:
                 yield batch()
-        if held:
-            finish(_OPEN if kind == _WHOLE else _MIDDLE)
+            whole = pa.array([_WHOLE] * rows.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("line", *PLACE)), whole], names=["line", *PLACE, "piece"])
+            continue
+        marked = set(quoted)
+        for k, (line, *at) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("line", *PLACE)))):
+            if not held:
+                place = tuple(at)
+            held.append(line)
+            if k in marked:
+                state = inside_after(line, state)
+            if not state:
+                finish(kind)
+                kind = _WHOLE
+        if out:
             yield batch()
-
-    return run
+    if held:
+        finish(_OPEN if kind == _WHOLE else _MIDDLE)
+        yield batch()
 
 
 def join_records(lines: DataFrame, maps: list[Row]) -> tuple[DataFrame, bool]:
@@ -195,10 +189,14 @@ def join_records(lines: DataFrame, maps: list[Row]) -> tuple[DataFrame, bool]:
     as the maps hold for the file splits of this moment.
     """
     filled = F.trim("line") != ""
-    splits, inside, spans = _begin_states(maps)
+    begins, spans = _begin_states(maps)
     if not spans:
         return lines.where(filled), False
-    pieces = stage(lines.mapInArrow(_joined(splits, inside), _LINES + ", piece int"), "csv-records")
+    # a row for each split, as in the maps; a task's lines look up their own instead of carrying the list of all
+    kind = f"{PLACE[0]} string, {PLACE[1]} long, begins_inside boolean"
+    states = lines.sparkSession.createDataFrame([(*key, state) for key, state in begins.items()], kind)
+    known = lines.join(F.broadcast(states), PLACE[:2], "left").select("line", *PLACE, "begins_inside")
+    pieces = stage(known.mapInArrow(_joined, _LINES + ", piece int"), "csv-records")
     number = F.sum((F.col("piece") == _OPEN).cast("long")).over(
         Window.partitionBy("ingest_file").orderBy("ingest_block", "ingest_seq")
     )

@@ -1,6 +1,10 @@
 """What must not grow faster than the input."""
 
+from pyspark import cloudpickle
+
 from cargolens.plans import testtables
+from cargolens.sources import csv as csv_source
+from cargolens.sources import records
 
 ROWS = {
     "customer": ("c_custkey long, c_nationkey long", [(1, 3), (2, 4), (2, 5), (None, 6), (3, None)]),
@@ -38,3 +42,28 @@ def test_line_items_do_not_move_for_customers(spark, tmp_path):
     joins = [n for n in _nodes(found._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join"]
     of_customers = [n for n in joins if "c_custkey" in n.condition().toString()]
     assert len(of_customers) == 1 and "l_orderkey" not in of_customers[0].output().mkString(",")
+
+
+def test_a_task_carries_nothing_of_other_file_splits(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("x,y\n" + "".join(f'{i},"a\nb {i}"\n' for i in range(300)))
+    sizes, kind = [], type(spark.range(1))
+    plain = kind.mapInArrow
+
+    def noted(df, run, schema, *more, **options):
+        sizes.append(len(cloudpickle.dumps(run)))
+        return plain(df, run, schema, *more, **options)
+
+    monkeypatch.setattr(kind, "mapInArrow", noted)
+    seen, before = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for cut in ("2000", "100"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+            sizes.clear()
+            lines = spark.read.text(str(tmp_path)).selectExpr("value AS line", "*").select("line", *csv_source._ingest_columns())
+            maps = records.split_maps(lines)
+            joined, _ = records.join_records(lines, maps)
+            assert sorted(r["line"] for r in joined.collect()) == sorted(["x,y", *(f'{i},"a\nb {i}"' for i in range(300))])
+            seen.append((len({(m["ingest_file"], m["ingest_block"]) for m in maps}), max(sizes)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[1][0] > 3 * seen[0][0] and seen[1][1] == seen[0][1]
