@@ -1727,17 +1727,22 @@ def st2_in_order(spark, sf_dir):
     return _ship_out(spark.read.schema(rows.schema).parquet(target).where("Container_ID <> 'END'"))
 
 
+#: Rows of an arriving file, about.
+ARRIVAL_ROWS = 500_000
+
+
 @query("st1_exactly_once", sql("explained", PREDICTION_SQL))
 def st1_once(spark, sf_dir):
     """A scored stream whose micro-batches are all run a second time, as after a lost checkpoint."""
     rows = derived.unique(spark, sf_dir)
     source = stage_path(spark, "arrivals")
-    rows.repartition(3, "Container_ID").write.parquet(source)
+    third = -(-rows.count() // (3 * ARRIVAL_ROWS)) or 1  # files of each of the three micro-batches
+    rows.repartition(3 * third, "Container_ID").write.parquet(source)
     fitted = profile.fit_profile(feature_ops.with_measures(derived.cleaned(spark, sf_dir)))
     fitted.medians = cleaning.unique_medians(rows)
     store = BatchStore(spark, stage_path(spark, "streamed"))
     for _ in range(2):
-        arriving = streams.read_stream(spark, source, rows.schema, files_per_trigger=1)
+        arriving = streams.read_stream(spark, source, rows.schema, files_per_trigger=third)
         streams.store_batches(
             arriving, lambda batch: streams.score_stream(batch, fitted, rule_scores), store, "arrivals", stage_path(spark, "st1-once")
         )

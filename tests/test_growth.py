@@ -1,8 +1,10 @@
 """What must not grow faster than the input."""
 
+import os
+
 from pyspark import cloudpickle
 
-from cargolens.plans import testtables
+from cargolens.plans import queries, testtables
 from cargolens.sources import csv as csv_source
 from cargolens.sources import records
 
@@ -67,3 +69,18 @@ def test_a_task_carries_nothing_of_other_file_splits(spark, tmp_path, monkeypatc
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert seen[1][0] > 3 * seen[0][0] and seen[1][1] == seen[0][1]
+
+
+def test_arriving_files_keep_their_size(spark, small, monkeypatch):
+    made = []
+    plain = queries.stage_path
+    monkeypatch.setattr(queries, "stage_path", lambda s, name: made.append(plain(s, name)) or made[-1])
+    expected = queries.QUERIES["st1_exactly_once"](spark, small).collect()
+    monkeypatch.setattr(queries, "ARRIVAL_ROWS", 50)
+    made.clear()
+    found = queries.QUERIES["st1_exactly_once"](spark, small).collect()
+    assert sorted(found, key=str) == sorted(expected, key=str)
+    source = next(p for p in made if "/arrivals-" in p)
+    assert sum(f.endswith(".parquet") for f in os.listdir(source)) > 3
+    store = next(p for p in made if "/streamed-" in p)
+    assert sum(d.startswith("batch_id=") for d in os.listdir(f"{store}/predictions")) == 3
