@@ -110,23 +110,27 @@ def read_back(rendered: DataFrame) -> DataFrame:
         text = F.substring(body, skip + 1, F.length(body) - skip - len(TEXT_END))
         return F.struct(unescaped(role).alias("role"), unescaped(text).alias("text"))
 
-    # one walk over rows and spans together, both in order: a span is cut out of its row, so that a long
-    # conversation is not gone through again for each of its spans
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("texts"))
-
-    def walk(state: Column, row: Column) -> Column:
-        end = state["at"] + F.length(row) + len(END)
-        span = F.get("loss_spans", state["k"])
-        here = F.coalesce(span["start"] < end, F.lit(False))
-        text = F.substring(row, (span["start"] - state["at"]).cast("int") + 1, (span["end"] - span["start"]).cast("int"))
-        return F.struct(
-            end.alias("at"),
-            (state["k"] + here.cast("int")).alias("k"),
-            F.when(here, F.concat(state["texts"], F.array(unescaped(text)))).otherwise(state["texts"]).alias("texts"),
+    # spans are cut out of a few rows put together, about the square root of all, so that a long conversation is not
+    # gone through again for each of its spans (a walk that gathers texts copies all of them at each step)
+    some = F.greatest(F.ceil(F.sqrt(F.size("_rows"))).cast("int"), F.lit(1))
+    parts = F.transform(
+        F.filter(F.sequence(F.lit(0), F.size("_rows"), some), lambda i: i < F.size("_rows")),
+        lambda i: F.concat(F.array_join(F.slice("_rows", i + 1, some), END), F.lit(END)),
+    )
+    begins = F.aggregate(
+        "_parts", F.array(F.lit(0).cast("long")), lambda at, part: F.concat(at, F.array(F.element_at(at, -1) + F.length(part)))
+    )
+
+    def texts(part: Column, i: Column) -> Column:
+        begin, end = F.get("_begins", i), F.get("_begins", i + 1)
+        inside = F.filter("loss_spans", lambda s: (s["start"] >= begin) & (s["start"] < end))
+        return F.transform(
+            inside, lambda s: unescaped(F.substring(part, (s["start"] - begin).cast("int") + 1, (s["end"] - s["start"]).cast("int")))
         )
 
-    masked = F.aggregate(rows, none, walk, lambda state: state["texts"])
-    return rendered.withColumn("turns", F.transform(rows, turn)).withColumn("learnt", masked)
+    cut = rendered.withColumn("_rows", rows).withColumn("_parts", parts).withColumn("_begins", begins)
+    cut = cut.withColumn("turns", F.transform("_rows", turn)).withColumn("learnt", F.flatten(F.transform("_parts", texts)))
+    return cut.drop("_rows", "_parts", "_begins")
 
 
 def event_log(conversations: DataFrame) -> DataFrame:
