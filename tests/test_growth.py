@@ -84,3 +84,21 @@ def test_arriving_files_keep_their_size(spark, small, monkeypatch):
     assert sum(f.endswith(".parquet") for f in os.listdir(source)) > 3
     store = next(p for p in made if "/streamed-" in p)
     assert sum(d.startswith("batch_id=") for d in os.listdir(f"{store}/predictions")) == 3
+
+
+def test_an_ordered_stream_reads_more_files_and_holds_its_state_on_disk(spark, small, monkeypatch):
+    """st2_first_in_order: files grow in number, in three micro-batches, and the session's settings come back."""
+    made = []
+    plain = queries.stage_path
+    monkeypatch.setattr(queries, "stage_path", lambda s, name: made.append(plain(s, name)) or made[-1])
+    monkeypatch.setattr(queries, "ARRIVAL_ROWS", 200)
+    before = dict(spark.conf.getAll)
+    found = queries.QUERIES["st2_first_in_order"](spark, small).count()
+    assert dict(spark.conf.getAll) == before
+    assert found == queries.QUERIES["c3_deduplicate"](spark, small).count()
+    source, state = (next(p for p in made if f"/{n}-" in p) for n in ("st2-arrivals", "st2-order"))
+    assert sum(f.endswith(".parquet") for f in os.listdir(source)) > 25
+    with open(f"{state}/offsets/2") as f:
+        assert "RocksDBStateStoreProvider" in f.read()
+    with open(f"{state}/offsets/3") as f:  # the fourth one has the row that ends the stream
+        assert '"batchWatermarkMs":0' not in f.read()
