@@ -4,7 +4,7 @@ import os
 
 from pyspark import cloudpickle
 
-from cargolens.plans import queries, testtables
+from cargolens.plans import derived, queries, testtables
 from cargolens.sources import csv as csv_source
 from cargolens.sources import records
 
@@ -46,6 +46,38 @@ def test_line_items_do_not_move_for_customers(spark, tmp_path):
     assert len(of_customers) == 1 and "l_orderkey" not in of_customers[0].output().mkString(",")
 
 
+def test_line_items_are_not_sorted_for_joins(spark, tmp_path):
+    """Sorts for two joins beside the sort by container made tasks spill; what can be broadcast still is."""
+    for name, (kind, rows) in ROWS.items():
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def found(limit):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        df = testtables.shipments(spark, str(tmp_path))
+        nodes = df._jdf.queryExecution().sparkPlan().toString()
+        return sorted(df.collect(), key=str), {n: nodes.count(n) for n in ("SortMergeJoin [l_", "ShuffledHashJoin [l_", "BroadcastHashJoin [l_")}
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        small, broadcast = found("10MB")
+        large, hashed = found("-1")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert small == large != []
+    assert broadcast["BroadcastHashJoin [l_"] >= 2 and broadcast["SortMergeJoin [l_"] == 0
+    assert hashed["ShuffledHashJoin [l_"] == 2 and hashed["SortMergeJoin [l_"] == 1  # that of the few suppliers
+
+
+def test_cleaned_rows_are_written_once(spark, small, monkeypatch):
+    written = []
+    plain = derived.stage
+    monkeypatch.setattr(derived, "_small", lambda df, name="stage": written.append(name) or plain(df, name, codec="zstd"))
+    derived.forget()
+    rows = derived.cleaned(spark, small)
+    assert written == ["unique"] and rows.count() > 0
+    derived.forget()
+
+
 def test_a_task_carries_nothing_of_other_file_splits(spark, tmp_path, monkeypatch):
     (tmp_path / "a.csv").write_text("x,y\n" + "".join(f'{i},"a\nb {i}"\n' for i in range(300)))
     sizes, kind = [], type(spark.range(1))
