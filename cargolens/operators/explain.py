@@ -16,10 +16,14 @@ INPUTS = [
 ]
 
 
+#: Stands between findings that are put together; no finding holds it.
+_BREAK = "\x01"
+
+
 def _listed(template: str, *reasons: Column) -> Column:
     """``template`` filled with the reasons that apply; NULL when none does."""
-    found = F.array_compact(F.array(*reasons))
-    return F.when(F.size(found) > 0, fill_text(template, F.array_join(found, ", ")))
+    found = F.concat_ws(", ", *reasons)  # leaves NULLs out
+    return F.when(found != "", fill_text(template, found))
 
 
 def weight_text() -> Column:
@@ -74,18 +78,19 @@ def hs_text() -> Column:
 
 def explanation(level: str = "risk_level", score: str = "score") -> Column:
     """The first findings, as many and as worded as the level asks for."""
-    found = F.slice(
-        F.array_compact(
-            F.array(
-                weight_text(), value_text(), route_text(), dwell_text(), timing_text(), hs_text()
-            )
-        ),
-        1,
-        2,
+    found = F.concat_ws(
+        _BREAK, weight_text(), value_text(), route_text(), dwell_text(), timing_text(), hs_text()
     )
-    return (
-        F.when(F.size(found) == 0, fill_text(K.TEXT_NORMAL, fixed(col(score), 2)))
-        .when(col(level) == "Critical", F.array_join(found, " "))
-        .when(col(level).isin("High", "Medium"), F.get(found, F.lit(0)))
-        .otherwise(fill_text(K.TEXT_MINOR, F.array_join(found, "; ")))
+    # no lambdas, and ``found`` stands in parts that every row needs: Spark then generates code for
+    # it and evaluates it once a row
+    none, head, tail = found == "", *K.TEXT_MINOR.split("%s")
+    short = col(level).isin("High", "Medium")
+    minor = ~F.coalesce(short | (col(level) == "Critical"), F.lit(False))
+    most = F.when(short, 1).otherwise(2)
+    joint = F.when(minor, "; ").otherwise(" ")
+    first = F.call_function("substring_index", found, F.lit(_BREAK), most)
+    return F.concat(
+        F.when(none, fill_text(K.TEXT_NORMAL, fixed(col(score), 2))).when(minor, head).otherwise(""),
+        F.replace(first, F.lit(_BREAK), joint),
+        F.when(~none & minor, tail).otherwise(""),
     )
