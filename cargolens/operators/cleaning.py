@@ -236,37 +236,80 @@ def _reject_reason(
     return F.coalesce(_missing_reason(columns), _range_reason(columns, medians, limits))
 
 
+#: Container ids are counted in so many buckets; rows of a bucket with more than ``CROWDED`` rows may share one id.
+BUCKETS, CROWDED = 1 << 16, 50_000
+
+
 def tag_rows(df: DataFrame, order_cols: Sequence[str], *, unique_order: bool = False) -> DataFrame:
     """Standardised rows with ``copies`` and what C3 and C4 say of them in ``reject_reason``.
 
-    Exact copies are counted once in ``copies`` before anything moves, so a row repeated over a
-    third of the table is one row from there on. The first row of each container comes from a
-    partial aggregate, and the rows meet it through an equi-join whose big side AQE can split.
-    A kept row with copies appears twice: once as kept, once for the copies that were dropped.
+    Rows move once, by container, and are sorted there: the first one is kept, exact copies are one
+    row that says how many there are in ``copies``. A kept row with copies appears twice: once as
+    kept, once for the copies that were dropped. Rows whose id may fill a large part of the table
+    go another way, which splits them.
 
     ``unique_order`` says that no two rows agree in ``order_cols``, as with the ingest columns
-    of the readers. There are no exact copies then, and one shuffle less is needed.
+    of the readers. There are no exact copies then.
+    """
+    bucket = F.pmod(F.hash(col(ID)), F.lit(BUCKETS))
+    sizes = df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows"))
+    # one number per bucket: the size bound of this broadcast is BUCKETS
+    crowded = F.broadcast(sizes.where(F.col("_rows") > CROWDED).select("_bucket"))
+    few = df.join(crowded, bucket == F.col("_bucket"), "left_anti")
+    many = df.join(crowded, bucket == F.col("_bucket"), "left_semi")
+    return _tag_sorted(few, order_cols, unique_order).unionByName(_tag_split(many, order_cols, unique_order))
+
+
+def _tags(columns: Sequence[str], is_first: Column, rows: Column) -> Column:
+    """``copies`` and ``reject_reason`` of ``rows`` equal rows, as one or two lines."""
+
+    def part(copies: Column, why: Column) -> Column:
+        return F.struct(copies.cast("long").alias("copies"), why.cast("string").alias("reject_reason"))
+
+    kept, duplicate = part(F.lit(1), _missing_reason(columns)), F.lit("duplicate")
+    return F.inline(
+        F.when(is_first & (rows > 1), F.array(kept, part(rows - 1, duplicate)))
+        .when(is_first, F.array(kept))
+        .otherwise(F.array(part(rows, duplicate)))
+    )
+
+
+def _ties(columns: Sequence[str], order_cols: Sequence[str]) -> list[Column]:
+    return [col(c) for c in columns if c not in order_cols and c != ID]
+
+
+def _tag_sorted(df: DataFrame, order_cols: Sequence[str], unique_order: bool) -> DataFrame:
+    """``tag_rows`` by one shuffle and one sort; all rows of an id meet in one task."""
+    columns = df.columns
+    order = [*_order(order_cols), *([] if unique_order else _ties(columns, order_cols))]
+    places = Window.partitionBy(ID).orderBy(*order)
+    rows = df.withColumn("_rank", F.rank().over(places))  # equal rows have one rank
+    n = F.lit(1)
+    if not unique_order:
+        same = Window.partitionBy(ID, *order)
+        rows = rows.withColumn("_place", F.row_number().over(places))
+        rows = rows.withColumn("_n", F.count(F.lit(1)).over(same)).where("_place = _rank")
+        n = F.col("_n")
+    return rows.select(*map(col, columns), _tags(columns, F.col("_rank") == 1, n))
+
+
+def _tag_split(df: DataFrame, order_cols: Sequence[str], unique_order: bool) -> DataFrame:
+    """``tag_rows`` for ids that many rows share.
+
+    Exact copies are counted once before anything moves, so a row repeated over a third of the table
+    is one row from there on. The first row of each container comes from a partial aggregate, and
+    the rows meet it through an equi-join whose big side AQE can split.
     """
     columns = df.columns
     if unique_order:
         ties, rows = [], df.withColumn("_n", F.lit(1).cast("long"))
     else:
-        ties = [col(c) for c in columns if c not in order_cols and c != ID]
+        ties = _ties(columns, order_cols)
         rows = df.groupBy(*map(col, columns)).agg(F.count(F.lit(1)).alias("_n"))
     place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*_order(order_cols), *ties])])
     first = rows.groupBy(col(ID).alias("_id")).agg(F.min(place).alias("_first"))
     matched = rows.join(first, col(ID).eqNullSafe(F.col("_id")))
-    duplicate = F.lit("duplicate")
-
-    def part(copies: Column, why: Column) -> Column:
-        return F.struct(copies.cast("long").alias("copies"), why.alias("reject_reason"))
-
-    parts = F.when(
-        place.eqNullSafe(F.col("_first")),
-        F.array(part(F.lit(1), _missing_reason(columns)), part(F.col("_n") - 1, duplicate)),
-    ).otherwise(F.array(part(F.col("_n"), duplicate)))
-    kept = F.filter(parts, lambda x: x["copies"] > 0)
-    return matched.select(*map(col, columns), F.inline(kept))
+    return matched.select(*map(col, columns), _tags(columns, place.eqNullSafe(F.col("_first")), F.col("_n")))
 
 
 def tagged_medians(

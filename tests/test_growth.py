@@ -3,8 +3,9 @@
 import os
 
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
-from cargolens.operators import explain
+from cargolens.operators import cleaning, explain
 from cargolens.plans import derived, queries, testtables
 from cargolens.sources import csv as csv_source
 from cargolens.sources import records
@@ -137,6 +138,38 @@ def test_an_ordered_stream_reads_more_files_and_holds_its_state_on_disk(spark, s
         assert '"batchWatermarkMs":0' not in f.read()
 
 
+def _rows_to_tag(spark):
+    """Repeated ids, exact copies, ties in the order, nulls in every column and rows of no id."""
+    kind = "Container_ID string, Declared_Value double, Declared_Weight double, Measured_Weight double, seq int, place int"
+    ids, values = ("a", "b", "b", "c", None, "crowd", "crowd", "crowd"), (1.0, None, 2.0, 0.0, -0.0, float("nan"))
+    rows = [(i, v, w, w, q, p) for i in ids for v in values for w in (None, 1.0) for q in (2, 1, None) for p in (None, 1)]
+    return spark.createDataFrame(rows + rows[::3] + [("one", 1.0, 1.0, 1.0, 1, 1), ("two", None, 1.0, 1.0, 1, 1)] + rows[::50] * 4, kind)
+
+
+def test_rows_are_tagged_alike_by_both_ways(spark, monkeypatch):
+    """j3_rejects: ids that few rows share are sorted, others are split; one id is on the one way, one on the other."""
+    rows = _rows_to_tag(spark).withColumns({"Declared_Value": F.col("Declared_Value") + 0.0})
+    for unique in (True, False):
+        order = ["seq", "place"]
+        seen = []
+        for limit in (10**6, 150, 0):
+            monkeypatch.setattr(cleaning, "CROWDED", limit)
+            seen.append(sorted(cleaning.tag_rows(rows, order, unique_order=unique).collect(), key=str))
+        plain = sorted(cleaning._tag_split(rows, order, unique).collect(), key=str)
+        assert str(seen[0]) == str(seen[1]) == str(seen[2]) == str(plain) != "[]"
+        assert sum(r["copies"] for r in plain) == rows.count()
+
+
+def test_tagged_rows_move_once(spark):
+    """j3_rejects: whole rows moved for their copies, for the first one of an id and for the join with it."""
+    rows = _rows_to_tag(spark)
+    tagged = cleaning.tag_rows(rows, ["seq"])
+    tagged.collect()
+    plan = tagged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning(Container_ID#") == 1 and "Exchange hashpartitioning(_id#" not in plan
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
+
+
 def test_explanations_need_no_lambdas(spark, small):
     """s9_report_export, j3_score_batch: lambdas were interpreted row by row, and the findings were made up to three times."""
     plan = derived.predictions(spark, small)._jdf.queryExecution().executedPlan().toString()
