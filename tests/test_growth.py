@@ -1,14 +1,16 @@
 """What must not grow faster than the input."""
 
 import os
+import time
 
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from cargolens.operators import cleaning, explain
-from cargolens.plans import derived, queries, testtables
+from cargolens.plans import derived, queries, staging, testtables
 from cargolens.sources import csv as csv_source
-from cargolens.sources import records
+from cargolens.sources import records, sinks
+from cargolens.sources.store import BatchStore
 
 ROWS = {
     "customer": ("c_custkey long, c_nationkey long", [(1, 3), (2, 4), (2, 5), (None, 6), (3, None)]),
@@ -70,6 +72,46 @@ def test_line_items_are_not_sorted_for_joins(spark, tmp_path):
     assert hashed["ShuffledHashJoin [l_"] == 2 and hashed["SortMergeJoin [l_"] == 1  # that of the few suppliers
 
 
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_writes_leave_no_shuffle_files(spark, tmp_path):
+    """They stayed until the driver's heap was collected, so a query's disk was the sum of all its steps."""
+    rows = spark.range(20_000).repartition(4, "id")
+    kept = spark.conf.get(staging.FREED)
+    before = _shuffle_files(spark)
+    rows.write.parquet(f"{tmp_path}/plain")
+    assert _shuffle_files(spark) - before
+    before = _shuffle_files(spark)
+    store = BatchStore(spark, f"{tmp_path}/store")
+    with staging.Staging(spark) as own:
+        written = [own(rows), staging.stage(rows)]
+        store.write_cleaned(rows, "b")
+        sinks.write_csv(rows, f"{tmp_path}/csv")
+        for _ in range(50):  # files go a moment after the query
+            if not _shuffle_files(spark) - before:
+                break
+            time.sleep(0.1)
+        assert not _shuffle_files(spark) - before
+        assert [found.count() for found in (*written, store.cleaned("b"))] == [20_000] * 3
+    assert spark.conf.get(staging.FREED) == kept
+
+
+def test_unique_and_cleaned_rows_come_from_one_run_of_the_joins(spark, small, monkeypatch):
+    runs = []
+    plain = derived.shipments
+    monkeypatch.setattr(derived, "shipments", lambda *where: runs.append(where) or plain(*where))
+    derived.forget()
+    unique, cleaned = derived.unique(spark, small), derived.cleaned(spark, small)
+    assert len(runs) == 1
+    expected = cleaning.clean(plain(spark, small), testtables.ORDER)
+    assert cleaned.schema == expected.schema and cleaned.count() > 0 and unique.count() > cleaned.count()
+    assert cleaned.exceptAll(expected).isEmpty() and expected.exceptAll(cleaned).isEmpty()
+    derived.forget()
+
+
 def test_cleaned_rows_are_written_once(spark, small, monkeypatch):
     written = []
     plain = derived.stage
