@@ -91,3 +91,26 @@ def test_odd_tables(spark):
     one_class = table(spark).withColumn("label", F.lit(1))
     scored = BoostedTrees(NAMES, rounds=2).fit(one_class).transform(one_class)
     assert scored.where("prediction <> 1").count() == 0
+
+
+def test_scores_by_places_among_borders_are_those_of_the_plain_walk(spark):
+    """Equal to the bit, with values on a border, without a number, without an end, and nodes without a split."""
+    rng = np.random.default_rng(5)
+    table = [
+        {"feature": rng.integers(0, 2, 7).tolist(), "border": [None if rng.random() < 0.2 else float(v) for v in rng.integers(0, 5, 7)],
+         "value": rng.normal(size=8).tolist()}
+        for _ in range(40)
+    ]
+    values = [*range(-1, 6), 2.5, float("inf"), float("-inf"), float("nan")]
+    rows = spark.createDataFrame([(float(a), float(b)) for a in values for b in values], "a double, b double")
+    model = boosting.BoostedTreesModel().set_trees(["a", "b"], table)
+    for row in model.transform(rows).collect():
+        margin = 0.0
+        for tree in table:
+            at = 0
+            while at < 7:
+                border = tree["border"][at]
+                at = 2 * at + (1 if row[tree["feature"][at]] <= (np.inf if border is None else border) else 2)
+            margin += tree["value"][at - 7]
+        assert row["rawPrediction"][1] == margin
+    assert all(array.dtype == "float64" for array in boosting._ranked_trees(table, 3)[0])
