@@ -167,6 +167,7 @@ def s2_breaks(spark, sf_dir):
     """Cells with line breaks, quotes and commas, in files that are cut every 64 KB, under two headers."""
     path = stage_path(spark, "s2b")
     raw = shipments(spark, sf_dir).select("Container_ID", F.expr(_BROKEN_SQL).alias("Shipping_Line"), "HS_Code", "Declared_Value")
+    raw = stage(raw, "s2-rows")  # both halves read it
     odd = F.length("HS_Code") + F.ascii(F.substring("HS_Code", 6, 1)) % 2
     halves = (raw.where(odd == 6), raw.where(odd != 6).select("HS_Code", "Declared_Value", "Shipping_Line", "Container_ID"))
     for half in halves:

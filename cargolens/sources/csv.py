@@ -109,8 +109,20 @@ def read_uploaded_csv(
     return _read_records(spark.read.text(path).select(tidy.alias("line"), *_ingest_columns()), null_tokens, hs_as_int)
 
 
+#: A task takes up to so many file splits, once there are so many for each core.
+SPLITS = 64
+
+
+def _several_splits(lines: DataFrame) -> DataFrame:
+    """The same lines and splits; where files are cut into very many pieces, a task takes several of them in turn."""
+    splits = lines.rdd.getNumPartitions()
+    least = SPLITS * lines.sparkSession.sparkContext.defaultParallelism
+    return lines.coalesce(max(least, -(-splits // SPLITS))) if splits > least else lines
+
+
 def _read_records(lines: DataFrame, null_tokens: Iterable[str], hs_as_int: bool) -> DataFrame:
     """Lines of files, each with its header, as one table by column names."""
+    lines = _several_splits(lines)
     maps = split_maps(lines)
     records, broken = join_records(lines, maps)
     place = F.struct("ingest_block", "ingest_seq")

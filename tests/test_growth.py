@@ -6,8 +6,8 @@ import time
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from cargolens.operators import cleaning, explain
-from cargolens.plans import derived, queries, staging, testtables
+from cargolens.operators import cleaning, explain, forest
+from cargolens.plans import derived, jobs, queries, staging, testtables
 from cargolens.sources import csv as csv_source
 from cargolens.sources import records, sinks
 from cargolens.sources.store import BatchStore
@@ -231,3 +231,59 @@ def test_explanations_need_no_lambdas(spark, small):
         f"Minor risk indicators noted: {weight}; {value}.", f"Minor risk indicators noted: {weight}; {value}.", night,
         f"Minor risk indicators noted: {night}; {hs}.",
     ]
+
+
+def test_a_task_reads_several_small_splits(spark, tmp_path, monkeypatch):
+    rows = spark.range(3_000).select(F.concat(F.lit("C"), "id").alias("Container_ID"), F.concat(F.lit('x\n"y",'), "id").alias("HS_Code"))
+    rows.coalesce(1).write.option("header", True).option("escape", '"').csv(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = {}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+        for splits in (1_000_000, 1):
+            monkeypatch.setattr(csv_source, "SPLITS", splits)
+            plain = spark.read.text(f"{tmp_path}/in")
+            found[splits] = csv_source.read_uploaded_csv(spark, f"{tmp_path}/in").select("Container_ID", "HS_Code").collect()
+            tasks = csv_source._several_splits(plain).rdd.getNumPartitions()
+            assert tasks == plain.rdd.getNumPartitions() > 8  # one split a task is as many tasks as before
+        monkeypatch.setattr(csv_source, "SPLITS", 3)
+        splits = plain.rdd.getNumPartitions()
+        assert csv_source._several_splits(plain).rdd.getNumPartitions() == max(3 * spark.sparkContext.defaultParallelism, -(-splits // 3)) < splits
+        found[3] = csv_source.read_uploaded_csv(spark, f"{tmp_path}/in").select("Container_ID", "HS_Code").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(found[3]) == sorted(found[1]) == sorted(found[1_000_000]) == sorted(map(tuple, rows.collect()))
+
+
+def test_trained_queries_share_one_run_of_the_joins(spark, small, monkeypatch):
+    runs = []
+    plain = derived.shipments
+    monkeypatch.setattr(derived, "shipments", lambda *where: runs.append(where) or plain(*where))
+    monkeypatch.setattr(derived, "train_model", lambda df, *_, **__: df.count())
+    derived.forget()
+    trained, unique = derived.trained(spark, small), derived.unique(spark, small)
+    assert len(runs) == 1 and trained == derived.declared(spark, small).count() > unique.count() > 0
+    derived.forget()
+
+
+def test_cleaned_rows_to_score_are_moved_once(spark, small):
+    rows = derived.unique(spark, small)
+    staged = []
+    scored = jobs.score_rows_of(
+        rows, testtables.ORDER, testtables.rule_columns, staging=lambda df, name: staged.append(name) or staging.stage(df, name)
+    )
+    assert staged == ["cleaned"] and scored.count() == derived.cleaned(spark, small).count()
+    assert "Window" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_draws_of_the_forest_are_compiled(spark):
+    rows = spark.range(500).select(F.concat(F.lit("C"), "id").alias("Container_ID"), F.col("id").cast("double").alias("a"))
+    drawn = forest.draw_rows(rows, "Container_ID", 5, 10, 42, F.array("a"))
+    assert "lambda" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+    keep = F.filter(
+        F.sequence(F.lit(0), F.lit(4)),
+        lambda t: F.pmod(F.xxhash64("Container_ID", t.cast("long"), F.lit(43)), F.lit(500)) < int(10 * forest.OVERDRAW),
+    )
+    expected = rows.select(F.explode(keep).alias("tree"), "a", "Container_ID")
+    expected = expected.select("tree", F.xxhash64("Container_ID", F.col("tree").cast("long"), F.lit(43)), F.array("a"))
+    assert sorted(drawn.collect()) == sorted(map(tuple, expected.collect())) != []
