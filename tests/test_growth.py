@@ -2,6 +2,7 @@
 
 import os
 import time
+from datetime import datetime
 
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -29,6 +30,15 @@ ROWS = {
 }
 
 
+def _tables(spark, path):
+    """The tables above, with another order of whole rows."""
+    for name, (kind, rows) in ROWS.items():
+        more = [(9, 1, datetime(2024, 1, 2), "O")] if name == "orders" else []
+        more += [(9, 1, 1, n, 3.0 + n, 50.0 * n, 0.1, 0.02, "A", "O", datetime(2024, 1, 3)) for n in (1, 2, 2)] if name == "lineitem" else []
+        spark.createDataFrame(rows + more, kind).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
 def _nodes(plan):
     yield plan
     for i in range(plan.children().size()):
@@ -99,14 +109,15 @@ def test_writes_leave_no_shuffle_files(spark, tmp_path):
     assert spark.conf.get(staging.FREED) == kept
 
 
-def test_unique_and_cleaned_rows_come_from_one_run_of_the_joins(spark, small, monkeypatch):
+def test_unique_and_cleaned_rows_come_from_one_run_of_the_joins(spark, tmp_path, monkeypatch):
+    folder = _tables(spark, tmp_path)
     runs = []
     plain = derived.shipments
     monkeypatch.setattr(derived, "shipments", lambda *where: runs.append(where) or plain(*where))
     derived.forget()
-    unique, cleaned = derived.unique(spark, small), derived.cleaned(spark, small)
+    unique, cleaned = derived.unique(spark, folder), derived.cleaned(spark, folder)
     assert len(runs) == 1
-    expected = cleaning.clean(plain(spark, small), testtables.ORDER)
+    expected = cleaning.clean(plain(spark, folder), testtables.ORDER)
     assert cleaned.schema == expected.schema and cleaned.count() > 0 and unique.count() > cleaned.count()
     assert cleaned.exceptAll(expected).isEmpty() and expected.exceptAll(cleaned).isEmpty()
     derived.forget()
@@ -255,25 +266,29 @@ def test_a_task_reads_several_small_splits(spark, tmp_path, monkeypatch):
     assert sorted(found[3]) == sorted(found[1]) == sorted(found[1_000_000]) == sorted(map(tuple, rows.collect()))
 
 
-def test_trained_queries_share_one_run_of_the_joins(spark, small, monkeypatch):
+def test_trained_queries_share_one_run_of_the_joins(spark, tmp_path, monkeypatch):
+    folder = _tables(spark, tmp_path)
     runs = []
     plain = derived.shipments
     monkeypatch.setattr(derived, "shipments", lambda *where: runs.append(where) or plain(*where))
     monkeypatch.setattr(derived, "train_model", lambda df, *_, **__: df.count())
     derived.forget()
-    trained, unique = derived.trained(spark, small), derived.unique(spark, small)
-    assert len(runs) == 1 and trained == derived.declared(spark, small).count() > unique.count() > 0
+    trained, unique = derived.trained(spark, folder), derived.unique(spark, folder)
+    assert len(runs) == 1 and trained == derived.declared(spark, folder).count() > unique.count() > 0
     derived.forget()
 
 
-def test_cleaned_rows_to_score_are_moved_once(spark, small):
-    rows = derived.unique(spark, small)
+def test_cleaned_rows_to_score_are_moved_once(spark, tmp_path):
+    folder = _tables(spark, tmp_path)
+    derived.forget()
+    rows = derived.unique(spark, folder)
     staged = []
     scored = jobs.score_rows_of(
         rows, testtables.ORDER, testtables.rule_columns, staging=lambda df, name: staged.append(name) or staging.stage(df, name)
     )
-    assert staged == ["cleaned"] and scored.count() == derived.cleaned(spark, small).count()
+    assert staged == ["cleaned"] and scored.count() == derived.cleaned(spark, folder).count()
     assert "Window" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    derived.forget()
 
 
 def test_draws_of_the_forest_are_compiled(spark):
